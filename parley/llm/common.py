@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,7 +89,7 @@ def drop_staged(df: DataFrame) -> None:
 def text_batches(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Slices of the incoming batches with about max_bytes of text each: at least a row, never part of one."""
     for batch in batches:
-        lengths = pa.compute.binary_length(batch.column(text)).to_pylist()
+        lengths = pc.binary_length(batch.column(text)).to_pylist()
         start = total = 0
         for i, n in enumerate(lengths):
             n = n or 0

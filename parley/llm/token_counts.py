@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,7 +90,7 @@ def token_counts(docs: DataFrame, model_path: str, carry: tuple[str, ...] = ("do
         for batch in text_batches(batches, "text", batch_bytes):
             texts = batch.column("text")
             found = count_batch(texts.to_pylist(), shipped.value, piece_bytes)
-            sizes = pa.compute.binary_length(texts).cast(pa.int64())
+            sizes = pc.binary_length(texts).cast(pa.int64())
             kept = [batch.column(f"c{i}") for i in range(len(carry))]
             yield pa.RecordBatch.from_arrays([*kept, sizes, pa.array(found, pa.int64()), pa.array([n > limit for n in found], pa.bool_())], names=[*[f"c{i}" for i in range(len(carry))], "n_bytes", "n_tokens", "over_limit"])
 
