@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_round_trip
 from .common import documents
+from .flac import flac_round_trip
 from .language_id import language_id
 from .lm_scoring import lm_scores
 from .quality_rules import quality_rules
 from .simhash import simhash_components
 from .token_counts import token_counts
+from .url_rules import ORACLE as URL_ORACLE
+from .url_rules import rule_table, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +33,10 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules(spark.read.parquet(f"{sf_dir}/pages.parquet"), rule_table(spark))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir))
 
@@ -38,9 +45,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(documents(spark, sf_dir))
 
 
+def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac_round_trip(documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op3_bpe_round_trip, op5_lm_scoring, op7_simhash, op8_language_id, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op3_bpe_round_trip, op5_lm_scoring, op6_url_rules, op7_simhash, op8_language_id, op9_flac, op10_quality_rules)}
+ORACLES: dict[str, str] = {"op6_url_rules": URL_ORACLE}
