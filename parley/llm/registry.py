@@ -11,7 +11,10 @@ from .bpe import bpe_round_trip
 from .common import documents
 from .flac import flac_round_trip
 from .language_id import language_id
+from .license_scan import license_scan
 from .lm_scoring import lm_scores
+from .mixing import mixing_weights
+from .mixing import oracle as mixing_oracle
 from .quality_rules import quality_rules
 from .simhash import simhash_components
 from .token_counts import token_counts
@@ -25,10 +28,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_weights(documents(spark, sf_dir))
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(documents(spark, sf_dir))
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -53,5 +64,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op3_bpe_round_trip, op5_lm_scoring, op6_url_rules, op7_simhash, op8_language_id, op9_flac, op10_quality_rules)}
-ORACLES: dict[str, str] = {"op6_url_rules": URL_ORACLE}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_bpe_round_trip, op4_license_scan, op5_lm_scoring, op6_url_rules, op7_simhash, op8_language_id, op9_flac, op10_quality_rules)}
+ORACLES: dict[str, str] = {"op2_mixing": mixing_oracle(), "op6_url_rules": URL_ORACLE}
