@@ -167,22 +167,25 @@ def interval_widths(ci: DataFrame) -> DataFrame:
     return ci.agg(F.min(half).alias("min_half"), F.avg(half).alias("avg_half"), F.max(half).alias("max_half"))
 
 
-def ranked(rows: DataFrame, score: str, tie: str, ok: Column | None = None, into: str = "rank", excluded: int = 999999) -> DataFrame:
-    """WIN1, WIN2: 1-based rank by score, the largest first, nulls last; rows that are not ok get a rank beyond all.
+def numbered(rows: DataFrame, order: list[Column], into: str) -> DataFrame:
+    """1-based numbers in an order over all rows.
 
-    A rank over all rows has no group to part by. Rows are sorted in ranges, counted by range, and ranked within theirs: no task sees all rows.
+    Rows are sorted in ranges, counted by range, and numbered within theirs: no task sees all rows. The ranges are staged, as drawn twice they could differ; their counts are a row for each range.
     """
-    mark = F.coalesce(ok, F.lit(False)) if ok is not None else F.lit(True)
-    order = [F.desc_nulls_last(score), F.asc(tie)]
-    kept = rows.where(mark)
-    # Staged, as ranges drawn twice could differ.
-    spread = staged(kept.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranked")
-    placed = spread.withColumns({"_part": F.shiftright("_at", 33), "_in": F.col("_at") - F.shiftleft(F.shiftright("_at", 33), 33)})
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    spread = staged(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    placed = spread.withColumn("_part", F.shiftright("_at", 33))
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
-    out = placed.join(F.broadcast(before), "_part").withColumn(into, F.col("_before") + F.col("_in") + 1).drop("_at", "_part", "_in", "_before")
-    return out if ok is None else out.unionByName(rows.where(~mark).withColumn(into, F.lit(excluded).cast("bigint")))
+    before = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(before), "_part").withColumn(into, F.col("_before") + F.col("_at") - F.shiftleft("_part", 33) + 1).drop("_at", "_part", "_before")
+
+
+def ranked(rows: DataFrame, score: str, tie: str, ok: Column | None = None, into: str = "rank", excluded: int = 999999) -> DataFrame:
+    """WIN1, WIN2: 1-based rank by score, the largest first, nulls last; rows that are not ok get a rank beyond all."""
+    order = [F.desc_nulls_last(score), F.asc(tie)]
+    if ok is None:
+        return numbered(rows, order, into)
+    mark = F.coalesce(ok, F.lit(False))
+    return numbered(rows.where(mark), order, into).unionByName(rows.where(~mark).withColumn(into, F.lit(excluded).cast("bigint")))
 
 
 def ranked_within(rows: DataFrame, keys: list[str], order: list[Column], into: str = "rank") -> DataFrame:

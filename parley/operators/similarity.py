@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
+from .aggregates import numbered
 
 #: Candidates in a block.
 BLOCK = 4096
@@ -79,12 +80,13 @@ def drawn(queries: DataFrame, candidates: DataFrame, k: int, by: str | None = No
     """
     bucket = F.col(by).cast("string") if by else F.lit("")
     place = lambda c: F.xxhash64(F.lit("drawn"), c)
-    w = Window.partitionBy("bucket").orderBy("_p", "cid")
-    c = candidates.select(F.col("id").alias("cid"), bucket.alias("bucket"), place(F.col("id")).alias("_p")).withColumn("at", F.row_number().over(w) - 1)
-    n = c.groupBy("bucket").agg(F.count("*").alias("_n"))
+    c = candidates.select(F.col("id").alias("cid"), bucket.alias("bucket"), place(F.col("id")).alias("_p"))
+    c = numbered(c, [F.asc("bucket"), F.asc("_p"), F.asc("cid")], "_no")
+    n = c.groupBy("bucket").agg(F.count("*").alias("_n"), F.min("_no").alias("_first"))
+    c = c.join(n.select("bucket", "_first"), "bucket").withColumn("at", F.col("_no") - F.col("_first"))
     q = queries.select(F.col("id").alias("qid"), bucket.alias("bucket")).join(n, "bucket")
     start = F.pmod(F.xxhash64(F.lit("start"), "qid"), F.col("_n"))
-    q = q.withColumn("step", F.explode(F.sequence(F.lit(0), F.least(F.lit(k), F.col("_n") - 1).cast("int")))).withColumn("at", F.pmod(start + F.col("step"), F.col("_n")).cast("int"))
+    q = q.withColumn("step", F.explode(F.sequence(F.lit(0), F.least(F.lit(k), F.col("_n") - 1).cast("int")))).withColumn("at", F.pmod(start + F.col("step"), F.col("_n")))
     rows = q.join(c, ["bucket", "at"]).where("qid <> cid")
     own = Window.partitionBy("qid").orderBy("step")
     return rows.select(F.col("qid").alias("query_id"), F.col("cid").alias("candidate_id"), F.lit(0.0).alias("score"), F.row_number().over(own).cast("bigint").alias("rank")).where(F.col("rank") <= k)
