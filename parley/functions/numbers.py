@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,8 +115,6 @@ def student_p(rho: float | None, n: int) -> float | None:
 
 
 def p_value_udf():
-    import pandas as pd
-
     @F.pandas_udf("double")
     def run(rho: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([student_p(None if pd.isna(r) else float(r), int(k)) for r, k in zip(rho, n)], dtype="float64")

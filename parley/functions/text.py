@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,10 +49,6 @@ def _squeezed(x: Column) -> Column:
 
 def unescape_html() -> Column:
     """An Arrow function for HTML entities, for which there is no built-in."""
-    import html
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: html.unescape(t) if isinstance(t, str) and "&" in t else t)

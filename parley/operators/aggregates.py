@@ -233,4 +233,4 @@ def in_buckets(items: DataFrame, key: str, size: str, buckets: int) -> DataFrame
         return pd.DataFrame(out, columns=[key, size, "bucket"])
 
     kinds = {f.name: f.dataType.simpleString() for f in items.schema.fields}
-    return items.select(key, size).groupBy(F.lit(0)).applyInPandas(run, f"{key} {kinds[key]}, {size} {kinds[size]}, bucket int")
+    return items.select(key, size).groupBy(F.lit("all")).applyInPandas(run, f"{key} {kinds[key]}, {size} {kinds[size]}, bucket int")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,8 +71,6 @@ class NoFetcher:
 
 
 def _mapped(rows: DataFrame, column: str, into: str, kind: str, factory: Callable[[], object], call: Callable[[object, list], list]) -> DataFrame:
-    import pandas as pd
-
     @F.pandas_udf(kind)
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = factory()

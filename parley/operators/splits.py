@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +26,6 @@ def shuffled_options(rules: Column, comment_id: Column, suffix: str, rng: str =
         return N.labelled_options(F.transform(keyed, lambda x: x["o"]))
     import random
 
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def order(options: pd.Series, ids: pd.Series) -> pd.Series:
         out = []
@@ -63,8 +62,6 @@ def _shuffled(pairs: DataFrame, by: str, key: str) -> DataFrame:
     """Places of the keys of each group in its seeded shuffle. A group's keys are held together, no other column is."""
     import random
 
-    import pandas as pd
-
     def run(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values(key)
         order = list(range(len(df)))
@@ -94,8 +91,6 @@ def stratified(pool: DataFrame, total: int, seed: int, key: str = "key") -> Data
     """
     import random
 
-    import pandas as pd
-
     digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("rule_cluster_label"), F.col("subreddit"), F.col(key).cast("string")), 256)
     one = pool.withColumn("_o", digest).groupBy("rule_cluster_label", "subreddit").agg(F.min_by(key, "_o").alias(key), F.min("_o").alias("_o"))
     w = Window.partitionBy("rule_cluster_label").orderBy("_o")
@@ -125,7 +120,7 @@ def stratified(pool: DataFrame, total: int, seed: int, key: str = "key") -> Data
         return pd.DataFrame(out, columns=["rule_cluster_label", "subreddit", key])
 
     kind = pool.schema[key].dataType.simpleString()
-    return few.groupBy(F.lit(0)).applyInPandas(run, f"rule_cluster_label string, subreddit string, {key} {kind}")
+    return few.groupBy(F.lit("all")).applyInPandas(run, f"rule_cluster_label string, subreddit string, {key} {kind}")
 
 
 def bootstrap(scores: DataFrame, groups: tuple[str, ...] = (), replicates: int = REPLICATES, seed: int = SEED, level: float = LEVEL) -> DataFrame:
@@ -134,8 +129,6 @@ def bootstrap(scores: DataFrame, groups: tuple[str, ...] = (), replicates: int =
     A replicate draws as many rows as there are, with replacement. What it needs of a group is how many of its rows it drew with each pair of scores: rows are counted in cells of (groups, scores) first, and a replicate is a multinomial draw over cells, which has the distribution that drawing rows has and needs memory for cells, not rows. Chunks of replicates are seeded apart, so they run anywhere in any order.
     """
     import numpy as np
-    import pandas as pd
-
     cells = scores.groupBy(*groups, "violating", "compliant").agg(F.count("*").alias("n")).orderBy(*groups, "violating", "compliant").toPandas()
     spark = scores.sparkSession
     if cells.empty:
