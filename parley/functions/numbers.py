@@ -92,6 +92,8 @@ def student_p(rho: float | None, n: int) -> float | None:
         return None
     if abs(rho) >= 1:
         return 0.0
+    if rho == 0:
+        return 1.0
     df = n - 2
     x = 1 - rho * rho  # df / (df + t^2)
     a, b = df / 2, 0.5

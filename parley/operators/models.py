@@ -104,8 +104,8 @@ def generated(rows: DataFrame, factory: Callable[[], Generator] = EchoGenerator,
 
 def fetched(plan: DataFrame, factory: Callable[[], Fetcher] = NoFetcher) -> DataFrame:
     """SNK12: success and error of each item of a media plan."""
-    rows = _mapped(plan, "url", "_r", "struct<success:boolean,error:string>", factory, lambda m, u: [{"success": a, "error": b} for a, b in m.fetch(u)])
-    return rows.withColumns({"success": F.col("_r.success"), "error": F.col("_r.error")}).drop("_r")
+    rows = _mapped(plan, "url", "_r", "array<string>", factory, lambda m, u: [[str(a), b] for a, b in m.fetch(u)])
+    return rows.withColumns({"success": F.col("_r")[0].cast("boolean"), "error": F.col("_r")[1]}).drop("_r")
 
 
 def token_lengths(rows: DataFrame, factory: Callable[[], Callable[[list[str]], list[int]]], column: str = "text") -> DataFrame:
