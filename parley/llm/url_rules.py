@@ -88,7 +88,7 @@ def _dealt(rows: DataFrame, cuts: list[bytes]) -> DataFrame:
 
 def _sweep(default: str):
     def run(batches):
-        now, stack, open_here = None, [], {}
+        now, stack = None, []
         for batch in batches:
             out = []
             for r, key, is_url, page, host, path, verdict in zip(*(batch.column(c).to_pylist() for c in ("range", "key", "is_url", "page_id", "host", "path", "verdict")), strict=True):
@@ -98,17 +98,19 @@ def _sweep(default: str):
                     stack.pop()
                 if not is_url:
                     if not stack or stack[-1][0] != key:
-                        stack.append((key, {}))
+                        stack.append((key, {}, set()))
                     # Of repeated rules, block stands.
                     known = stack[-1][1].get(path)
                     stack[-1][1][path] = (host, "block" if known and "block" in (known[1], verdict) else verdict)
+                    stack[-1][2].add(len(path))
                     continue
                 best = None
                 if key:
-                    for _, rules in stack:
-                        for start, (rule_host, rule_verdict) in rules.items():
-                            if path.startswith(start) and (best is None or (len(rule_host) + len(start), len(rule_host)) > best[0]):
-                                best = (len(rule_host) + len(start), len(rule_host)), rule_host + start, rule_verdict
+                    for _, rules, lengths in stack:
+                        # Of a host's rules, one lookup for each length that their paths have.
+                        for n in lengths:
+                            if n <= len(path) and (rule := rules.get(path[:n])) and (best is None or (len(rule[0]) + n, len(rule[0])) > best[0]):
+                                best = (len(rule[0]) + n, len(rule[0])), rule[0] + path[:n], rule[1]
                 out.append((page, host, path, best[1] if best else None, best[2] if best else default))
             if out:
                 kinds = [pa.int64(), *[pa.string()] * 4]
