@@ -24,6 +24,7 @@ from .operators import reports, similarity, splits, trees
 from .operators import validation as V
 from .plans import evaluate
 from .sources import tables
+from .staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -498,7 +499,9 @@ SELECT CAST(v AS VARCHAR) AS violating_id, CAST(a AS VARCHAR) AS alt_id, CAST(co
 def tree_best_alternative(t: Tables) -> DataFrame:
     tree = _tree(t)
     comments = _comments(t).withColumn("score", F.lit(None).cast("bigint")).drop("score").join(t.events.select(F.col("event_id").cast("string").alias("id"), F.round("value").cast("bigint").alias("score")), "id")
-    ranked = trees.ranked_candidates(trees.candidates(_violating(tree), tree), trees.threads(comments, tree))
+    # Staged, as both sides of a pair read it.
+    thread = staged(trees.threads(comments, tree), "threads")
+    ranked = trees.ranked_candidates(trees.candidates(_violating(tree), tree), thread)
     return _big(ranked.where("rank = 1").select("violating_id", "alt_id", "common_ancestors"), "common_ancestors")
 
 
