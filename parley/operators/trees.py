@@ -35,8 +35,10 @@ def depths(tree: DataFrame) -> DataFrame:
     """
     now = staged(tree.select("submission_id", "comment_id", "parent_id", "is_root", F.when(F.col("is_root"), F.lit(0)).alias("depth"), F.col("parent_id").alias("up"), F.lit(1).alias("far")), "depths")
     left = now.where("depth IS NULL").count()
-    for _ in range(MOST_ROUNDS):
-        if not left:
+    # No thread is longer than its submission: pointers that reach farther go in circles.
+    longest = now.groupBy("submission_id").count().agg(F.max("count")).first()[0] or 0
+    for i in range(MOST_ROUNDS):
+        if not left or 1 << i > longest:
             break
         above = now.select("submission_id", F.col("comment_id").alias("up"), F.col("depth").alias("_d"), F.col("up").alias("_up"), F.col("far").alias("_far"))
         settled, open_ = now.where("depth IS NOT NULL"), now.where("depth IS NULL")
