@@ -34,22 +34,20 @@ MOST_REPEATED_PERCENT = 50
 BALANCE = 0.85
 KEEP_FROM = 0.5
 ROUNDS = 20
+#: Rates that moved by less than this have settled.
+SETTLED = 1e-5
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 COUNTS = (*FEATURES, "n_lines", "n_marks")
 
 
-def _share(part: str, whole: str) -> Column:
-    return F.col(part) / F.greatest(F.col(whole), F.lit(1))
-
-
-#: name: (condition of a good vote, condition of a bad vote). Between them a rule abstains.
+#: name: (condition of a good vote, condition of a bad vote), in SQL. Between them a rule abstains.
 RULES = {
-    "length": (lambda: F.col("n_words") >= 100, lambda: F.col("n_words") < 10),
-    "symbols": (lambda: _share("n_symbols", "n_words") <= 0.02, lambda: _share("n_symbols", "n_words") > 0.1),
-    "repetition": (lambda: _share("n_repeat_words", "n_words") <= 0.1, lambda: _share("n_repeat_words", "n_words") > 0.45),
-    "lines": (lambda: F.col("n_dup_lines") == 0, lambda: (F.col("n_dup_lines") > 2) & (_share("n_dup_lines", "n_lines") > 0.3)),
-    "marks": (lambda: _share("n_marks", "n_words") <= 0.05, lambda: _share("n_marks", "n_words") > 0.3),
-    "word_length": (lambda: _share("word_chars", "n_words").between(3.5, 10), lambda: ~_share("word_chars", "n_words").between(2, 20)),
+    "length": ("n_words >= 100", "n_words < 10"),
+    "symbols": ("n_symbols / greatest(n_words, 1) <= 0.02", "n_symbols / greatest(n_words, 1) > 0.1"),
+    "repetition": ("n_repeat_words / greatest(n_words, 1) <= 0.1", "n_repeat_words / greatest(n_words, 1) > 0.45"),
+    "lines": ("n_dup_lines = 0", "n_dup_lines > 2 AND n_dup_lines / greatest(n_lines, 1) > 0.3"),
+    "marks": ("n_marks / greatest(n_words, 1) <= 0.05", "n_marks / greatest(n_words, 1) > 0.3"),
+    "word_length": ("word_chars / greatest(n_words, 1) BETWEEN 3.5 AND 10", "word_chars / greatest(n_words, 1) NOT BETWEEN 2 AND 20"),
 }
 #: A rule that votes: how often it calls a bad text bad, and a good text bad, at first and within which bounds.
 FIRST = (0.25, 0.004)
@@ -96,7 +94,7 @@ def count_texts(rows: DataFrame, text: str) -> DataFrame:
 
 
 def vote() -> list[Column]:
-    return [F.when(bad(), F.lit(-1)).when(good(), F.lit(1)).otherwise(F.lit(0)).cast("tinyint").alias(f"v_{name}") for name, (good, bad) in RULES.items()]
+    return [F.when(F.expr(bad), F.lit(-1)).when(F.expr(good), F.lit(1)).otherwise(F.lit(0)).cast("tinyint").alias(f"v_{name}") for name, (good, bad) in RULES.items()]
 
 
 def posterior(rates: dict[str, tuple[float, float]], balance: float = BALANCE) -> Column:
@@ -123,7 +121,7 @@ def fit_rates(votes: DataFrame, rounds: int = ROUNDS, balance: float = BALANCE)
         new = {n: tuple(min(high, max(low, (row[f"b{k}_{n}"] or 0.0) / row[f"a{k}_{n}"])) if row[f"a{k}_{n}"] else found[n][k] for k, (low, high) in enumerate(BOUNDS)) for n in RULES}
         moved = max(abs(x - y) for n in RULES for x, y in zip(new[n], found[n], strict=True))
         found = new
-        if moved < 1e-5:
+        if moved < SETTLED:
             break
     return found
 
@@ -144,7 +142,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     rows = packed(docs)
     rows = rows.select(column(rows, "doc_id", "bigint").alias("doc_id"), column(rows, "text", "string").alias("_text"))
     counted = count_texts(rows, "_text").select("doc_id", *COUNTS)
-    return _judged(counted, "quality").select("doc_id", *FEATURES, "base_failed", "kept", "posterior")
+    return _judged(counted, "quality").select("doc_id", *FEATURES, "base_failed", "kept", F.round("posterior", 9).alias("posterior"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -153,3 +151,33 @@ def keep_good(docs: DataFrame) -> DataFrame:
     rows = rows.select("_row", column(rows, "text", "string").alias("_text"))
     counted = count_texts(rows, "_text").select("_row", *COUNTS)
     return unpacked(_judged(counted, "quality").where("kept"))
+
+
+def oracle() -> str:
+    """The same in DuckDB's SQL, rounds unrolled; a round after the rates have settled keeps them."""
+    steps = [
+        r"""
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS MATERIALIZED (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+k AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+c AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n FROM k) WHERE n > 1) GROUP BY r),
+f AS MATERIALIZED (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(len(l) AS BIGINT) AS n_lines, CAST(length(t) - length(replace(t, '!', '')) AS BIGINT) AS n_marks, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN c ON w.r = c.r)""",
+        "v AS MATERIALIZED (SELECT *, " + ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS v_{n}" for n, (good, bad) in RULES.items()) + " FROM f)",
+        "p AS MATERIALIZED (SELECT " + ", ".join(f"v_{n}" for n in RULES) + ", count(*) AS n FROM v GROUP BY ALL)",
+        "r0 AS MATERIALIZED (SELECT " + ", ".join(f"{FIRST[0]}::DOUBLE AS b_{n}, {FIRST[1]}::DOUBLE AS g_{n}" for n in RULES) + ", FALSE AS done)",
+    ]
+    odds = f"ln({BALANCE}::DOUBLE / (1 - {BALANCE}::DOUBLE))" + "".join(f" + CASE v_{n} WHEN -1 THEN ln(g_{n} / b_{n}) WHEN 1 THEN ln((1 - g_{n}) / (1 - b_{n})) ELSE 0 END" for n in RULES)
+    for i in range(ROUNDS):
+        steps.append(f"s{i} AS MATERIALIZED (SELECT p.*, r.*, 1 / (1 + exp(-({odds}))) AS q FROM p, r{i} r)")
+        fresh = []
+        for n in RULES:
+            for k, (weight, (low, high)) in {"b": ("(1 - q)", BOUNDS[0]), "g": ("q", BOUNDS[1])}.items():
+                fresh.append(f"coalesce(least({high}, greatest({low}, coalesce(sum(n * {weight}) FILTER (v_{n} = -1), 0) / nullif(sum(n * {weight}) FILTER (v_{n} <> 0), 0))), any_value({k}_{n}))::DOUBLE AS {k}_{n}")
+        steps.append(f"n{i} AS MATERIALIZED (SELECT {', '.join(fresh)} FROM s{i})")
+        every = [f"{k}_{n}" for n in RULES for k in "bg"]
+        steps.append(f"r{i + 1} AS MATERIALIZED (SELECT " + ", ".join(f"CASE WHEN r.done THEN r.{c} ELSE n.{c} END AS {c}" for c in every) + ", r.done OR greatest(" + ", ".join(f"abs(r.{c} - n.{c})" for c in every) + f") < {SETTLED} AS done FROM r{i} r, n{i} n)")
+    failed = f"(n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words)"
+    return f"WITH {', '.join(steps)} SELECT doc_id, {', '.join(FEATURES)}, {failed} AS base_failed, NOT {failed} AND q >= {KEEP_FROM} AS kept, round(q, 9) AS posterior FROM (SELECT v.*, 1 / (1 + exp(-({odds}))) AS q FROM v, r{ROUNDS})"

@@ -15,6 +15,7 @@ from .license_scan import license_scan
 from .lm_scoring import lm_scores
 from .mixing import mixing_weights
 from .mixing import oracle as mixing_oracle
+from .quality_rules import oracle as quality_oracle
 from .quality_rules import quality_rules
 from .simhash import simhash_components
 from .token_counts import token_counts
@@ -65,4 +66,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_bpe_round_trip, op4_license_scan, op5_lm_scoring, op6_url_rules, op7_simhash, op8_language_id, op9_flac, op10_quality_rules)}
-ORACLES: dict[str, str] = {"op2_mixing": mixing_oracle(), "op6_url_rules": URL_ORACLE}
+ORACLES: dict[str, str] = {"op2_mixing": mixing_oracle(), "op6_url_rules": URL_ORACLE, "op10_quality_rules": quality_oracle()}
