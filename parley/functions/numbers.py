@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import cumulative, percentiles
+
 
 def divergence(parts: DataFrame, by: list[str], n: str) -> DataFrame:
     """MTH1, AGG6: Jensen-Shannon divergence from the uniform distribution, natural logarithm, over the categories given (zeros count as categories). No mass: 1."""
@@ -25,8 +27,8 @@ def divergence_of(counts: Column) -> Column:
 
 def thresholds(scores: DataFrame, score: str, ambiguous: float = 98.0, gold: float = 99.2) -> DataFrame:
     """MTH2, SIM2: one row with both percentiles over all scores, linearly interpolated and as FLOAT like the scores."""
-    cut = F.percentile(score, F.array(F.lit(ambiguous / 100), F.lit(gold / 100)))
-    return scores.agg(cut.alias("c")).select(F.col("c")[0].cast("float").alias("ambiguous"), F.col("c")[1].cast("float").alias("gold"))
+    low, high = percentiles(scores, score, [ambiguous / 100, gold / 100])
+    return scores.sparkSession.createDataFrame([(low, high)], "ambiguous float, gold float")
 
 
 def index_percentile(values: Column, q: float) -> Column:
@@ -75,8 +77,7 @@ def rank_correlation(rows: DataFrame, x: str, y: str) -> DataFrame:
     """MTH8: Spearman's rho with average ranks, its two-sided p-value, and the least-squares line. Ranks come from counts by value, not from one task."""
     def ranks(c: str) -> DataFrame:
         values = rows.groupBy(c).agg(F.count("*").alias("k"))
-        w = Window.orderBy(c)
-        return values.select(F.col(c).alias(f"_{c}"), (F.sum("k").over(w) - (F.col("k") - 1) / 2).alias(f"r_{c}"))
+        return cumulative(values, c, "k", "before").select(F.col(c).alias(f"_{c}"), (F.col("before") + (F.col("k") + 1) / 2).alias(f"r_{c}"))
 
     both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = both.join(ranks(x), F.col(x) == F.col(f"_{x}")).join(ranks(y), F.col(y) == F.col(f"_{y}"))

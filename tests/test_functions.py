@@ -134,3 +134,13 @@ def test_seeded_options(spark):
     random.Random(int("k3j", 36) + N.stable_hash("k3jviolating")).shuffle(wanted)
     row = spark.createDataFrame([(["x", "y", "z"], "k3j")], "r array<string>, i string").select(shuffled_options(F.col("r"), F.col("i"), "violating").alias("o")).first()
     assert [(o["label"], o["rule"]) for o in row["o"]] == [(f"({c})", w) for c, w in zip("abcd", wanted)]
+
+
+def test_percentiles_over_ranges(spark):
+    from parley.functions.ordering import percentiles
+
+    rng = np.random.default_rng(1)
+    for x in (rng.normal(size=2001), rng.integers(0, 5, 300).astype(float), np.array([3.0])):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double")
+        assert np.allclose(percentiles(df, "v", [0.0, 0.5, 0.98, 0.992, 1.0]), np.percentile(x, [0, 50, 98, 99.2, 100]), rtol=1e-12)
+    assert percentiles(spark.createDataFrame([], "v double"), "v", [0.5]) == [None]
