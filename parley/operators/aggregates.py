@@ -179,6 +179,13 @@ def numbered(rows: DataFrame, order: list[Column], into: str) -> DataFrame:
     return placed.join(F.broadcast(before), "_part").withColumn(into, F.col("_before") + F.col("_at") - F.shiftleft("_part", 33) + 1).drop("_at", "_part", "_before")
 
 
+def numbered_within(rows: DataFrame, key: str, order: list[Column], into: str) -> DataFrame:
+    """1-based numbers within groups of any size: numbers over all rows by key and order, less each group's first."""
+    out = numbered(rows, [F.asc(key), *order], "_no")
+    first = out.groupBy(F.col(key).alias("_key")).agg(F.min("_no").alias("_first"))
+    return out.join(first, F.col(key).eqNullSafe(F.col("_key"))).withColumn(into, F.col("_no") - F.col("_first") + 1).drop("_no", "_key", "_first")
+
+
 def ranked(rows: DataFrame, score: str, tie: str, ok: Column | None = None, into: str = "rank", excluded: int = 999999) -> DataFrame:
     """WIN1, WIN2: 1-based rank by score, the largest first, nulls last; rows that are not ok get a rank beyond all."""
     order = [F.desc_nulls_last(score), F.asc(tie)]

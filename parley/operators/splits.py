@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
+from .aggregates import numbered_within
 
 NO_RULE = "No rules broken"
 #: Bootstrap: replicates, seed and level.
@@ -49,8 +50,7 @@ def assigned(pairs: DataFrame, by: str, key: str, rng: str = "sha2") -> DataFram
     n = pairs.groupBy(by).agg(F.count("*").alias("_n"))
     if rng == "sha2":
         order = F.sha2(F.concat_ws(":", F.col(by).cast("string"), F.col(key).cast("string")), 256)
-        w = Window.partitionBy(by).orderBy("_o", key)
-        placed = pairs.withColumn("_o", order).withColumn("_place", F.row_number().over(w)).drop("_o")
+        placed = numbered_within(pairs.withColumn("_o", order), by, [F.asc("_o"), F.asc(key)], "_place").drop("_o")
     else:
         placed = pairs.join(_shuffled(pairs, by, key), [by, key])
     rows = placed.join(n, by)
