@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from .common import column, held_out, packed, read_shipped, shared_folder, staged, text_batches
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 #: Rounds of expectation-maximisation over all distinct training words.
 ROUNDS = 2
 #: Added to each piece's expected count.
