@@ -627,9 +627,7 @@ def clu_kmeans_quality(t: Tables) -> DataFrame:
 
 @query()
 def clu_grid_search(t: Tables) -> DataFrame:
-    few = C.grid(t.spark, neighbours=(5,), components=(2, 5), min_sizes=(5, 10), min_samples=(1, 5))
-    points = t.embeddings.where("vec_id < 400").select(F.col("vec_id").alias("id"), "embedding")
-    return C.searched(points, few)
+    return C.searched(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), C.grid(t.spark))
 
 
 @query("SELECT '1' AS stage, 'WARNING' AS severity, o_custkey || ': ' || count(*) || ' of 12' AS message FROM orders GROUP BY o_custkey HAVING count(*) < 12")
