@@ -390,6 +390,23 @@ def sim_match_threshold(t: Tables) -> DataFrame:
     return _big(P.matched(s, N.thresholds(s.withColumn("score", F.col("score").cast("double")), "score")).select("subreddit", "comment_id", "rule_index"), "subreddit")
 
 
+def _all_scores(t: Tables) -> DataFrame:
+    """Every vector as a comment against every vector as a rule of its bucket, itself left out."""
+    c = t.embeddings.select(F.col("label").alias("subreddit"), F.col("vec_id").alias("comment_id"), "embedding")
+    return similarity.similarities(c, c.withColumnRenamed("comment_id", "rule_index")).where("comment_id <> rule_index")
+
+
+@query()
+def sim_matrix_all(t: Tables) -> DataFrame:
+    return _big(_all_scores(t), "subreddit").withColumn("score", F.round(F.col("score").cast("double"), 5))
+
+
+@query()
+def sim_match_threshold_all(t: Tables) -> DataFrame:
+    s = _all_scores(t)
+    return _big(P.matched(s, N.thresholds(s.withColumn("score", F.col("score").cast("double")), "score")).select("subreddit", "comment_id", "rule_index"), "subreddit")
+
+
 _NEAR = f"""SELECT query_id, candidate_id, score, rank, thread_type, rule FROM (SELECT a.vec_id AS query_id, b.vec_id AS candidate_id, {_DOT} AS score, CASE WHEN b.vec_id % 3 = 0 THEN 'violating' ELSE 'compliant' END AS thread_type, CAST(b.label AS BIGINT) AS rule,
 row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_DOT}, 12) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 5 = 0)"""
 

@@ -43,3 +43,20 @@ def test_spanning_tree_is_minimal():
         if group[i] != group[j]:
             total, group = total + w, [group[i] if g == group[j] else g for g in group]
     assert np.isclose(sum(w for w, _, _ in tree), total)
+
+
+def test_similarities_take_all_vectors(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x, label = rng.normal(size=(90, 8)), rng.integers(0, 3, 90)
+    ids = [int(i) for i in rng.choice(np.arange(1, 5000), 90, replace=False)]
+    spark.createDataFrame([(i, v.tolist(), int(k)) for i, v, k in zip(ids, x, label)], "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    scores = {(int(label[a]), ids[a], ids[b]): np.float32(x[a] @ x[b]) for a in range(90) for b in range(90) if a != b and label[a] == label[b]}
+    got = {(r["subreddit"], r["comment_id"], r["rule_index"]): r["score"] for r in catalog.QUERIES["sim_matrix_all"](spark, str(tmp_path)).collect()}
+    assert got.keys() == scores.keys() and all(abs(got[k] - float(scores[k])) < 2e-5 for k in got)
+    low, high = (np.float32(np.percentile([float(s) for s in scores.values()], q)) for q in (98, 99.2))
+    want = set()
+    for k, i in zip(label, ids):
+        own = [(s, b) for (_, a, b), s in scores.items() if a == i]
+        if own and sum(s > low for s, _ in own) <= 1 and max(own)[0] >= high:
+            want.add((int(k), i, max(own)[1]))
+    assert want and {tuple(r) for r in catalog.QUERIES["sim_match_threshold_all"](spark, str(tmp_path)).collect()} == want
