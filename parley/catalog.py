@@ -600,7 +600,7 @@ def eval_accuracy_sets(t: Tables) -> DataFrame:
 
 @query()
 def bst_ci(t: Tables) -> DataFrame:
-    return evaluate.evaluated(_results(t), ("lang",), replicates=2000)
+    return evaluate.evaluated(_results(t), ("lang", "source"))
 
 
 _ANN = "SELECT event_id // 3 AS q, event_id AS a, CASE WHEN event_id % 7 = 0 THEN 'x' ELSE event_type END AS s FROM events"

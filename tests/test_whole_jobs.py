@@ -6,6 +6,7 @@ import numpy as np
 
 from parley import catalog
 from parley.operators import clusters as C
+from parley.operators import splits
 
 
 def test_grid_takes_all_points_and_combinations(spark, tmp_path):
@@ -60,3 +61,10 @@ def test_similarities_take_all_vectors(spark, tmp_path):
         if own and sum(s > low for s, _ in own) <= 1 and max(own)[0] >= high:
             want.add((int(k), i, max(own)[1]))
     assert want and {tuple(r) for r in catalog.QUERIES["sim_match_threshold_all"](spark, str(tmp_path)).collect()} == want
+
+
+def test_intervals_of_both_groups_with_all_replicates(spark, smallest):
+    got = {(r["grouping"], r["value"]): (r["low"], r["high"]) for r in catalog.QUERIES["bst_ci"](spark, smallest).collect()}
+    assert {g for g, _ in got} == {"overall", "lang", "source"}
+    want = splits.bootstrap(catalog._results(catalog.Tables(spark, smallest)), ("lang", "source"), 100_000).collect()
+    assert {(r["grouping"], r["value"]): (r["low"], r["high"]) for r in want} == got
