@@ -8,6 +8,12 @@ their resemblance is at least 0.8 / (1.5 + 0.2 + rounding), over 0.36 for the sh
 and 0.47 for long ones; with BANDS bands of ROWS rows it is retrieved with probability
 over 1 - (1 - 0.36 ** ROWS) ** BANDS, which is beyond 0.9999.
 
+If no window holds all of a template, containment is verified over two template
+lengths either side of each retrieved window too: a template with up to a length of
+text inserted is verified whole, if any window that overlaps it is retrieved. Windows
+of a part of a template are retrieved with a lesser probability than the above. The
+stretch given, where that holds more, is from the first to the last of the template's shingles in it.
+
 A band matches only if a window's minima are the template's, so only windows that hold
 one of the templates' minima can be retrieved: others are passed over by one lookup of
 each shingle, which leaves the retrieved set as it is.
@@ -84,7 +90,7 @@ class Templates:
                 sets = {tuple(tokens[i : i + width]) for i in range(len(tokens) - width + 1)}
                 mixed = self.mixed(hashes)
                 n = len(hashes)
-                self.of_width.setdefault(width, []).append((name, sets, self.banded(mixed.min(1)), n + -(-n // 2), max(1, n // 2), np.unique(hashes[mixed.argmin(1)])))
+                self.of_width.setdefault(width, []).append((name, sets, self.banded(mixed.min(1)), n + -(-n // 2), max(1, n // 2), np.unique(hashes[mixed.argmin(1)]), n))
         self.minima = {w: np.unique(np.concatenate([t[5] for t in own])) for w, own in self.of_width.items()}
 
     def mixed(self, hashes: np.ndarray) -> np.ndarray:
@@ -96,12 +102,12 @@ class Templates:
 
     def matches(self, tokens: list[bytes], hashes: np.ndarray, hit: np.ndarray, width: int, least: float):
         """(name, containment, first word, words, windows) of each template in a text; hit: places of minima among its shingles."""
-        for name, own, bands, size, step, _ in self.of_width[width]:
+        for name, own, bands, size, step, _, n in self.of_width[width]:
             # A window begins at each step; a shorter text is one window.
             last = max(0, -(-(len(hashes) - size) // step))
             low = np.maximum(0, -(-(hit - size + 1) // step))
             starts = {w for a, b in zip(low.tolist(), np.minimum(last, hit // step).tolist(), strict=True) for w in range(a, b + 1)}
-            best, windows = None, 0
+            best, wider, windows, near = None, None, 0, []
             for w in sorted(starts):
                 a = w * step
                 window = hashes[a : a + size]
@@ -113,6 +119,17 @@ class Templates:
                     windows += 1
                     if best is None or share > best[0]:
                         best = share, a, len(window) + width - 1
+                near.append((max(0, a - 2 * n), a + size + 2 * n, share >= least))
+            # No window holds all: text may be inserted, so two lengths either side of those retrieved are looked at.
+            for a, b, counted in near if best is None or best[0] < 1 else ():
+                at = [i for i in range(a, min(b, len(hashes))) if tuple(tokens[i : i + width]) in own]
+                share = len({tuple(tokens[i : i + width]) for i in at}) / len(own)
+                if share >= least:
+                    windows += not counted
+                    if wider is None or share > wider[0]:
+                        wider = share, at[0], at[-1] - at[0] + width
+            if wider and (best is None or wider[0] > best[0]):
+                best = wider
             if best:
                 yield name, *best, windows
 
