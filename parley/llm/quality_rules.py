@@ -2,16 +2,20 @@
 
 Rules look at counts of a text and vote good (1) or bad (-1), or abstain (0).
 Expectation-maximisation over the patterns of votes (at most 3 to the number of
-rules, whatever the input) estimates how often each rule, when it votes, is right
-on bad and on good texts; the posterior probability that a text is good then follows from its votes, and
-replaces a filter that all rules must pass.
+rules, whatever the input) estimates the share of good texts and how often each
+rule, when it votes, calls a bad and a good text bad. The posterior probability that
+a text is good then follows from its votes, and replaces a filter that all rules must
+pass: a bad vote of a rule that often blames good texts weighs little.
 
-The classes' balance is a parameter of the model rather than estimated: most bad
-texts draw a single vote, which would not tell balance and accuracy apart.
+Nothing is held fixed. Several rules look at the same fault from different sides (symbols
+to words, symbols to characters, words with symbols, mean length of words), which is
+what tells the accuracies from the balance. A pseudo-count of each outcome keeps
+the rates off 0 and 1. Of the two classes the one that rules call bad less often, over
+all rules, is the good one, whichever way the rounds went.
 
 Cases. Null text: no words, so the base rule fails. Texts without white space are
 one word. Empty table: no rows; the rules keep their first accuracies. Repeated
-rows: one result each, each counted. Null ids are kept as they are. Further
+rows: one result each, each counted. A posterior at KEEP_FROM exactly: kept. Null ids are kept as they are. Further
 columns of any name are carried untouched by keep_good, and not looked at
 otherwise. Windows of words are compared by their 64-bit hashes within one text.
 """
@@ -23,35 +27,41 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, column, packed, staged, unpacked
+from .common import WHITE, column, drop_staged, packed, staged, unpacked
 
 #: Counted symbols, ASCII white space as characters, least words and largest repeated share of the base rule.
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\f\r"
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
-#: Share of good documents that the model presumes, and the posterior from which a document is kept.
-BALANCE = 0.85
+#: The posterior from which a document is kept.
 KEEP_FROM = 0.5
-ROUNDS = 20
-#: Rates that moved by less than this have settled.
+ROUNDS = 40
+#: Rates and a balance that moved by less than this have settled.
 SETTLED = 1e-5
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-COUNTS = (*FEATURES, "n_lines", "n_marks")
+COUNTS = (*FEATURES, "n_lines", "n_marks", "n_marked")
 
 
 #: name: (condition of a good vote, condition of a bad vote), in SQL. Between them a rule abstains.
 RULES = {
-    "length": ("n_words >= 100", "n_words < 10"),
+    "length": ("n_words >= 100", "n_words < 20"),
     "symbols": ("n_symbols / greatest(n_words, 1) <= 0.02", "n_symbols / greatest(n_words, 1) > 0.1"),
-    "repetition": ("n_repeat_words / greatest(n_words, 1) <= 0.1", "n_repeat_words / greatest(n_words, 1) > 0.45"),
-    "lines": ("n_dup_lines = 0", "n_dup_lines > 2 AND n_dup_lines / greatest(n_lines, 1) > 0.3"),
-    "marks": ("n_marks / greatest(n_words, 1) <= 0.05", "n_marks / greatest(n_words, 1) > 0.3"),
-    "word_length": ("word_chars / greatest(n_words, 1) BETWEEN 3.5 AND 10", "word_chars / greatest(n_words, 1) NOT BETWEEN 2 AND 20"),
+    "symbol_chars": ("n_symbols / greatest(word_chars, 1) <= 0.002", "n_symbols / greatest(word_chars, 1) > 0.05"),
+    "marked_words": ("n_marked / greatest(n_words, 1) <= 0.01", "n_marked / greatest(n_words, 1) > 0.25"),
+    "word_length": ("word_chars / greatest(n_words, 1) BETWEEN 4.5 AND 6.5", "word_chars / greatest(n_words, 1) NOT BETWEEN 4.3 AND 7"),
+    "repetition": ("n_repeat_words / greatest(n_words, 1) <= 0.05", "n_repeat_words / greatest(n_words, 1) > 0.25"),
+    "lines": ("n_dup_lines = 0", "n_dup_lines / greatest(n_lines, 1) > 0.25"),
+    "marks": ("n_marks / greatest(n_words, 1) <= 0.02", "n_marks / greatest(n_words, 1) > 0.2"),
 }
-#: A rule that votes: how often it calls a bad text bad, and a good text bad, at first and within which bounds.
-FIRST = (0.25, 0.004)
-BOUNDS = ((0.2, 0.5), (0.001, 0.005))
+#: Where the rounds begin: the share of good texts, and how often a rule that votes calls a bad and a good text bad.
+BALANCE = 0.8
+FIRST = (0.5, 0.05)
+#: Added to the count of each of a rule's two votes, and of the two classes.
+PSEUDO = 1.0
+
+
+MARKED = rf"[{SYMBOLS}][^\x20\x09-\x0D]*"
 
 
 def count_texts(rows: DataFrame, text: str) -> DataFrame:
@@ -75,6 +85,8 @@ def count_texts(rows: DataFrame, text: str) -> DataFrame:
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("bigint").alias("n_dup_lines"),
         F.size("_l").cast("bigint").alias("n_lines"),
         (F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit("")))).cast("bigint").alias("n_marks"),
+        # From a word's first symbol to its end: one hit a word, in one pass.
+        F.regexp_count(t, F.lit(MARKED)).cast("bigint").alias("n_marked"),
         F.transform(triples, lambda x: F.xxhash64(x["a"], x["b"], x["c"])).alias("_h"),
     )
     # Where a hash comes twice, hashes are sorted with their places; equal neighbours mark the places of repeated windows.
@@ -97,7 +109,10 @@ def vote() -> list[Column]:
     return [F.when(F.expr(bad), F.lit(-1)).when(F.expr(good), F.lit(1)).otherwise(F.lit(0)).cast("tinyint").alias(f"v_{name}") for name, (good, bad) in RULES.items()]
 
 
-def posterior(rates: dict[str, tuple[float, float]], balance: float = BALANCE) -> Column:
+Rates = dict[str, tuple[float, float]]
+
+
+def posterior(rates: Rates, balance: float) -> Column:
     """Probability that a document is good, given its votes. rates: of bad votes on bad and on good texts, by rule."""
     odds = F.lit(log(balance / (1 - balance)))
     for name, (caught, blamed) in rates.items():
@@ -106,24 +121,38 @@ def posterior(rates: dict[str, tuple[float, float]], balance: float = BALANCE) -
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
 
 
-def fit_rates(votes: DataFrame, rounds: int = ROUNDS, balance: float = BALANCE) -> dict[str, tuple[float, float]]:
-    """How often each rule, when it votes, calls a bad and a good text bad: expectation-maximisation over counted patterns."""
-    patterns = staged(votes.groupBy(*[f"v_{n}" for n in RULES]).agg(F.count("*").alias("_n")).coalesce(1), "vote-patterns")
-    found = dict.fromkeys(RULES, FIRST)
+def _round(patterns: DataFrame, rates: Rates, balance: float) -> tuple[Rates, float]:
+    """One round of expectation-maximisation, as one aggregate."""
+    p = patterns.withColumn("_p", posterior(rates, balance))
+    classes = (1 - F.col("_p"), F.col("_p"))
+    sums = [F.sum("_n").alias("all"), F.sum(F.col("_n") * F.col("_p")).alias("good")]
+    for n in rates:
+        v = F.col(f"v_{n}")
+        for k, weight in enumerate(classes):
+            sums += [F.sum(F.when(v == -1, F.col("_n") * weight)).alias(f"b{k}_{n}"), F.sum(F.when(v != 0, F.col("_n") * weight)).alias(f"a{k}_{n}")]
+    row = p.agg(*sums).first()
+    share = lambda part, whole: ((part or 0.0) + PSEUDO) / ((whole or 0.0) + 2 * PSEUDO)
+    return {n: (share(row[f"b0_{n}"], row[f"a0_{n}"]), share(row[f"b1_{n}"], row[f"a1_{n}"])) for n in rates}, share(row["good"], row["all"])
+
+
+def fit_rates(votes: DataFrame, rounds: int = ROUNDS, first: tuple[float, float] = FIRST, balance: float = BALANCE) -> tuple[Rates, float]:
+    """How often each rule, when it votes, calls a bad and a good text bad, and the share of good texts, by expectation-maximisation over counted patterns.
+
+    votes: columns v_<rule>, any rules.
+    """
+    names = [c.removeprefix("v_") for c in votes.columns if c.startswith("v_")]
+    patterns = staged(votes.groupBy(*[f"v_{n}" for n in names]).agg(F.count("*").alias("_n")).coalesce(1), "vote-patterns")
+    rates = dict.fromkeys(names, first)
     for _ in range(rounds):
-        p = patterns.withColumn("_p", posterior(found, balance))
-        sums = []
-        for n in RULES:
-            v = F.col(f"v_{n}")
-            for k, weight in enumerate((1 - F.col("_p"), F.col("_p"))):
-                sums += [F.sum(F.when(v == -1, F.col("_n") * weight)).alias(f"b{k}_{n}"), F.sum(F.when(v != 0, F.col("_n") * weight)).alias(f"a{k}_{n}")]
-        row = p.agg(*sums).first()
-        new = {n: tuple(min(high, max(low, (row[f"b{k}_{n}"] or 0.0) / row[f"a{k}_{n}"])) if row[f"a{k}_{n}"] else found[n][k] for k, (low, high) in enumerate(BOUNDS)) for n in RULES}
-        moved = max(abs(x - y) for n in RULES for x, y in zip(new[n], found[n], strict=True))
-        found = new
+        new, share = _round(patterns, rates, balance)
+        moved = max([abs(share - balance), *(abs(x - y) for n in names for x, y in zip(new[n], rates[n], strict=True))])
+        rates, balance = new, share
         if moved < SETTLED:
             break
-    return found
+    drop_staged(patterns)
+    if sum(caught - blamed for caught, blamed in rates.values()) < 0:
+        rates, balance = {n: (blamed, caught) for n, (caught, blamed) in rates.items()}, 1 - balance
+    return rates, balance
 
 
 def base_failed() -> Column:
@@ -133,7 +162,7 @@ def base_failed() -> Column:
 def _judged(rows: DataFrame, name: str) -> DataFrame:
     """rows staged with counts and votes, then judged: texts are gone through once."""
     table = staged(rows.select("*", *vote()), name)
-    p = posterior(fit_rates(table))
+    p = posterior(*fit_rates(table.select(*[f"v_{n}" for n in RULES])))
     return table.select("*", p.alias("posterior"), base_failed().alias("base_failed")).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= KEEP_FROM))
 
 
@@ -163,21 +192,27 @@ k AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM (SELECT
 c AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n FROM k) WHERE n > 1) GROUP BY r),
 f AS MATERIALIZED (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(len(l) AS BIGINT) AS n_lines, CAST(length(t) - length(replace(t, '!', '')) AS BIGINT) AS n_marks, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(len(l) AS BIGINT) AS n_lines, CAST(length(t) - length(replace(t, '!', '')) AS BIGINT) AS n_marks, CAST(len(regexp_extract_all(t, '[#*$%&|<>][^\x20\x09-\x0D]*')) AS BIGINT) AS n_marked, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN c ON w.r = c.r)""",
         "v AS MATERIALIZED (SELECT *, " + ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS v_{n}" for n, (good, bad) in RULES.items()) + " FROM f)",
         "p AS MATERIALIZED (SELECT " + ", ".join(f"v_{n}" for n in RULES) + ", count(*) AS n FROM v GROUP BY ALL)",
-        "r0 AS MATERIALIZED (SELECT " + ", ".join(f"{FIRST[0]}::DOUBLE AS b_{n}, {FIRST[1]}::DOUBLE AS g_{n}" for n in RULES) + ", FALSE AS done)",
+        "r0 AS MATERIALIZED (SELECT " + ", ".join(f"{FIRST[0]}::DOUBLE AS b_{n}, {FIRST[1]}::DOUBLE AS g_{n}" for n in RULES) + f", {BALANCE}::DOUBLE AS balance, FALSE AS done)",
     ]
-    odds = f"ln({BALANCE}::DOUBLE / (1 - {BALANCE}::DOUBLE))" + "".join(f" + CASE v_{n} WHEN -1 THEN ln(g_{n} / b_{n}) WHEN 1 THEN ln((1 - g_{n}) / (1 - b_{n})) ELSE 0 END" for n in RULES)
+    odds = "ln(balance / (1 - balance))" + "".join(f" + CASE v_{n} WHEN -1 THEN ln(g_{n} / b_{n}) WHEN 1 THEN ln((1 - g_{n}) / (1 - b_{n})) ELSE 0 END" for n in RULES)
+    every = [*(f"{k}_{n}" for n in RULES for k in "bg"), "balance"]
+    share = lambda part, whole: f"((coalesce({part}, 0) + {PSEUDO}) / (coalesce({whole}, 0) + {2 * PSEUDO}))::DOUBLE"
     for i in range(ROUNDS):
         steps.append(f"s{i} AS MATERIALIZED (SELECT p.*, r.*, 1 / (1 + exp(-({odds}))) AS q FROM p, r{i} r)")
-        fresh = []
+        fresh = [share("sum(n * q)", "sum(n)") + " AS balance"]
         for n in RULES:
-            for k, (weight, (low, high)) in {"b": ("(1 - q)", BOUNDS[0]), "g": ("q", BOUNDS[1])}.items():
-                fresh.append(f"coalesce(least({high}, greatest({low}, coalesce(sum(n * {weight}) FILTER (v_{n} = -1), 0) / nullif(sum(n * {weight}) FILTER (v_{n} <> 0), 0))), any_value({k}_{n}))::DOUBLE AS {k}_{n}")
+            for k, weight in {"b": "(1 - q)", "g": "q"}.items():
+                fresh.append(share(f"sum(n * {weight}) FILTER (v_{n} = -1)", f"sum(n * {weight}) FILTER (v_{n} <> 0)") + f" AS {k}_{n}")
         steps.append(f"n{i} AS MATERIALIZED (SELECT {', '.join(fresh)} FROM s{i})")
-        every = [f"{k}_{n}" for n in RULES for k in "bg"]
-        steps.append(f"r{i + 1} AS MATERIALIZED (SELECT " + ", ".join(f"CASE WHEN r.done THEN r.{c} ELSE n.{c} END AS {c}" for c in every) + ", r.done OR greatest(" + ", ".join(f"abs(r.{c} - n.{c})" for c in every) + f") < {SETTLED} AS done FROM r{i} r, n{i} n)")
+        kept = ", ".join(f"CASE WHEN r.done THEN r.{c} ELSE n.{c} END AS {c}" for c in every)
+        moved = ", ".join(f"abs(r.{c} - n.{c})" for c in every)
+        steps.append(f"r{i + 1} AS MATERIALIZED (SELECT {kept}, r.done OR greatest({moved}) < {SETTLED} AS done FROM r{i} r, n{i} n)")
+    swapped = " + ".join(f"b_{n} - g_{n}" for n in RULES) + " < 0"
+    steps.append(f"fitted AS MATERIALIZED (SELECT {swapped} AS swapped, * FROM r{ROUNDS})")
     failed = f"(n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words)"
-    return f"WITH {', '.join(steps)} SELECT doc_id, {', '.join(FEATURES)}, {failed} AS base_failed, NOT {failed} AND q >= {KEEP_FROM} AS kept, round(q, 9) AS posterior FROM (SELECT v.*, 1 / (1 + exp(-({odds}))) AS q FROM v, r{ROUNDS})"
+    judged = f"SELECT v.*, CASE WHEN swapped THEN 1 / (1 + exp({odds})) ELSE 1 / (1 + exp(-({odds}))) END AS q FROM v, fitted"
+    return f"WITH {', '.join(steps)} SELECT doc_id, {', '.join(FEATURES)}, {failed} AS base_failed, NOT {failed} AND q >= {KEEP_FROM} AS kept, round(q, 9) AS posterior FROM ({judged})"

@@ -199,23 +199,78 @@ def test_quality_verdicts(spark, smallest):
     assert np.mean([r["kept"] for r in rows if r["quality"] == 0]) < 0.1
 
 
+def plain_rounds(votes, first, balance):
+    """The same rounds on arrays: rates (rule, class) of bad votes, the share of good texts and each row's posterior."""
+    q = quality_rules
+    r = np.array([first] * votes.shape[1])
+    good = lambda: 1 / (1 + np.exp(-(np.log(balance / (1 - balance)) + ((votes == -1) * np.log(r[:, 1] / r[:, 0])).sum(1) + ((votes == 1) * np.log((1 - r[:, 1]) / (1 - r[:, 0]))).sum(1))))
+    for _ in range(q.ROUNDS):
+        p = good()
+        new = np.stack([[(((votes[:, j] == -1) * w).sum() + 1) / (((votes[:, j] != 0) * w).sum() + 2) for w in (1 - p, p)] for j in range(votes.shape[1])])
+        share = (p.sum() + 1) / (len(p) + 2)
+        moved = max(np.abs(new - r).max(), abs(share - balance))
+        r, balance = new, share
+        if moved < q.SETTLED:
+            break
+    return r, balance, good()
+
+
+def planted(rng, n, balance, caught, blamed, voting):
+    truth = rng.random(n) < balance
+    bad = rng.random((n, len(caught))) < np.where(truth[:, None], blamed, caught)
+    return truth, np.where(rng.random(bad.shape) < voting, np.where(bad, -1, 1), 0)
+
+
+def votes_table(spark, votes):
+    return spark.createDataFrame([tuple(int(x) for x in v) for v in votes], ", ".join(f"v_r{j} int" for j in range(votes.shape[1])))
+
+
 def test_expectation_maximisation_against_numpy(spark):
     rng = np.random.default_rng(6)
-    names = list(quality_rules.RULES)
-    votes = rng.choice([-1, 0, 1], (500, len(names)), p=[0.1, 0.2, 0.7])
-    df = spark.createDataFrame([tuple(int(x) for x in v) for v in votes], ", ".join(f"v_{n} int" for n in names))
-    found = quality_rules.fit_rates(df)
-    r = np.array([quality_rules.FIRST] * len(names))
-    bounds = np.array(quality_rules.BOUNDS)
-    for _ in range(quality_rules.ROUNDS):
-        odds = np.log(quality_rules.BALANCE / (1 - quality_rules.BALANCE)) + ((votes == -1) * np.log(r[:, 1] / r[:, 0])).sum(1) + ((votes == 1) * np.log((1 - r[:, 1]) / (1 - r[:, 0]))).sum(1)
-        p = 1 / (1 + np.exp(-odds))
-        new = np.stack([[((votes[:, j] == -1) * w).sum() / ((votes[:, j] != 0) * w).sum() for w in (1 - p, p)] for j in range(len(names))])
-        new = np.clip(new, bounds[:, 0], bounds[:, 1])
-        done, r = np.abs(new - r).max() < 1e-5, new
-        if done:
-            break
-    assert np.allclose([found[n] for n in names], r, atol=1e-9)
+    votes = rng.choice([-1, 0, 1], (500, 6), p=[0.1, 0.2, 0.7])
+    rates, balance = quality_rules.fit_rates(votes_table(spark, votes))
+    r, share, _ = plain_rounds(votes, quality_rules.FIRST, quality_rules.BALANCE)
+    if (r[:, 0] - r[:, 1]).sum() < 0:
+        r, share = r[:, ::-1], 1 - share
+    assert np.allclose(list(rates.values()), r, atol=1e-9) and abs(balance - share) < 1e-9
+
+
+def test_planted_accuracies_are_recovered(spark):
+    rng = np.random.default_rng(7)
+    caught, blamed = np.array([0.9, 0.8, 0.7, 0.6, 0.85, 0.75]), np.array([0.05, 0.1, 0.02, 0.2, 0.15, 0.3])
+    truth, votes = planted(rng, 12_000, 0.7, caught, blamed, 0.8)
+    table = votes_table(spark, votes)
+    rates, balance = quality_rules.fit_rates(table)
+    assert abs(balance - 0.7) < 0.05
+    assert np.allclose(list(rates.values()), np.stack([caught, blamed], 1), atol=0.05)
+    # Begun the wrong way round, the classes are named by what rules say of them.
+    again, share = quality_rules.fit_rates(table, first=(0.05, 0.5), balance=0.2)
+    assert np.allclose(list(again.values()), list(rates.values()), atol=1e-3) and abs(share - balance) < 1e-3
+    p = np.array([r[0] for r in table.select(quality_rules.posterior(rates, balance)).collect()])
+    kept, bad = p >= quality_rules.KEEP_FROM, (votes == -1).sum(1)
+    assert np.mean(kept == truth) > np.mean((bad == 0) == truth) + 0.1
+    # Neither does one bad vote always reject, nor does none always keep.
+    assert kept[bad == 1].any() and not kept[bad == 1].all()
+
+
+def test_no_votes_follow_the_balance(spark):
+    rates, balance = {"r0": (0.6, 0.1)}, 0.3
+    rows = spark.createDataFrame([(0,), (1,), (-1,)], "v_r0 int").select(quality_rules.posterior(rates, balance)).collect()
+    assert rows[0][0] == pytest.approx(0.3) and rows[2][0] < rows[0][0] < rows[1][0]
+    # Where most texts are bad, a text that no rule calls bad is not kept for that alone.
+    assert rows[0][0] < quality_rules.KEEP_FROM
+
+
+def test_verdicts_are_not_all_must_pass(spark, smallest):
+    docs = spark.read.parquet(smallest.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    rows = docs.select("doc_id", F.col("text").alias("_text"))
+    table = quality_rules.count_texts(rows, "_text").select("doc_id", *quality_rules.COUNTS).select("*", *quality_rules.vote())
+    rates, balance = quality_rules.fit_rates(table.select(*[f"v_{n}" for n in quality_rules.RULES]))
+    assert all(0 < x < 1 for r in rates.values() for x in r) and 0 < balance < 1
+    bad = sum((F.col(f"v_{n}") == -1).cast("int") for n in quality_rules.RULES)
+    votes = {r["doc_id"]: r["bad"] for r in table.select("doc_id", bad.alias("bad")).collect()}
+    found = [r for r in quality_rules.quality_rules(docs).collect() if not r["base_failed"]]
+    assert [r for r in found if r["kept"] and votes[r["doc_id"]]] and [r for r in found if not r["kept"]]
 
 
 def test_license_scan(spark, some, hostile, none):
