@@ -1,13 +1,18 @@
 """Document probabilities by a subword lattice, beside a word unigram base.
 
-The vocabulary is an existing one; its scores weight the segmentations at first and
-are then fitted to the training words by expectation-maximisation over whole
-lattices. A piece never reaches over white space, so a document's lattice is a chain
-of its words' lattices: a word's marginal probability, over all its segmentations, is
-computed once for each distinct word by a forward recursion in log space, and a
-document's is the sum over its words and the end. A word of the training texts is
-itself one more piece, that only it can use: its weight is its count less the
-Good-Turing discount, and what all words are discounted by is left to the lattice.
+The vocabulary is an existing one, and its scores weight all segmentations. A score is
+a log weight where the file is a unigram vocabulary. Where it is a byte-pair one its
+scores are minus a rank, and one fixed map turns them into weights: 1 / (10 + rank), as
+frequencies fall with rank; pieces without a rank (bytes) weigh as rank 100,000. The
+weights are then normalised over the pieces that can occur. A piece never reaches over
+white space, so a document's lattice is a chain of its words' lattices: a word's
+marginal probability, over all its segmentations, is computed once for each distinct
+word by a forward recursion in log space. A document's is the product over its words,
+each with the chance that the text goes on, and of the chance that it ends; the two
+chances are learned from the training texts' words and ends.
+
+`rounds` above 0 fits the pieces' weights to the training words, from the file's, by
+expectation-maximisation over whole lattices. The query does not.
 
 Texts are tokenised once, in blocks of up to BLOCK_BYTES that stay within a
 partition. A block gives its distinct words with training counts, and for each
@@ -17,15 +22,17 @@ shuffle carries a row for each word of each document, and no task needs the
 vocabulary of the corpus.
 
 Cases. Null text: the empty text, one end token. Null ids: not held out. Empty table:
-no rows. Repeated rows: one result each, each trained on. A word that no piece
-matches is spelt by byte pieces. Further columns of any name are not looked at.
+no rows. No training texts: half of all tokens are presumed ends. Repeated rows: one
+result each, each trained on. A word that no piece matches is spelt by byte pieces. A
+word of any length is gone through in parts, with a number for each byte only where
+weights are fitted. Further columns of any name are not looked at.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import uuid
+from array import array
 from collections import defaultdict
 from itertools import count
 
@@ -36,17 +43,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, held_out, packed, read_shipped, shared_folder, staged, text_batches
+from .common import column, held_out, packed, read_shipped, staged, staged_path, text_batches
 
 BLOCK_BYTES = 16 << 20
-#: Rounds of expectation-maximisation over all distinct training words.
-ROUNDS = 2
-#: Added to each piece's expected count.
+#: Added to each piece's expected count where weights are fitted.
 SMOOTHING = 0.1
 #: Words with more symbols go through the recursion one at a time.
 LONG = 48
-#: Words that go through the recursion together.
+#: Words that go through the recursion together, and places of a long word whose pieces are looked up together.
 TOGETHER = 20_000
+#: The rank that pieces without one count as.
+LAST_RANK = 1e5
 END = b""
 MARK = 256
 
@@ -58,6 +65,8 @@ class Pieces:
         import sentencepiece as spm
 
         model = spm.SentencePieceProcessor(model_proto=proto)
+        # Log probabilities of a unigram vocabulary are not whole numbers; ranks are.
+        unigram = any(model.get_score(i) % 1 for i in range(model.get_piece_size()))
         found: dict[tuple[int, ...], float] = {}
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
@@ -70,9 +79,8 @@ class Pieces:
                 # Words are in lower case and hold one mark, at their start.
                 if MARK in symbols[1:] or re.search("[A-Z]", piece):
                     continue
-            # Scores are minus a rank: weights fall as one over it, and pieces without a rank come last.
-            rank = -model.get_score(i) if not model.is_byte(i) else 1e5
-            found[symbols] = max(found.get(symbols, 0.0), 1 / (10 + min(rank, 1e5)))
+            weight = math.exp(model.get_score(i)) if unigram else 1 / (10 + min(-model.get_score(i) if not model.is_byte(i) else LAST_RANK, LAST_RANK))
+            found[symbols] = max(found.get(symbols, 0.0), weight)
         found.setdefault((MARK,), 1e-6)
         for b in range(256):
             found.setdefault((b,), 1e-6)
@@ -91,6 +99,7 @@ class Pieces:
                 self.step[index[s[:-1]], self.kind[s[-1]]] = state
         self.piece = np.full(len(index), -1, np.int32)
         self.piece[[index[s] for s in self.symbols]] = np.arange(len(self.symbols))
+        self.longest = max(map(len, self.symbols))
 
     def arcs(self, words: list[bytes]) -> tuple[np.ndarray, list[list[tuple[np.ndarray, np.ndarray]]]]:
         """Lengths, and for each start the (words, pieces) that end one, two, ... symbols later."""
@@ -149,35 +158,58 @@ class Pieces:
             total[i] = self._long(words[i], logs, None if counts is None else counts[i], expected)
         return total, expected
 
+    def _starts(self, word: bytes, begin: int, end: int) -> tuple[list[list[int]], list[list[int]]]:
+        """For each start from begin to end, the lengths and the pieces of the arcs that leave it."""
+        whole = np.concatenate([self.kind[[MARK] if begin == 0 else [word[begin - 1]]], self.kind[np.frombuffer(word, np.uint8)[begin : end + self.longest]]])
+        lengths: list[list[int]] = [[] for _ in range(end - begin)]
+        found: list[list[int]] = [[] for _ in range(end - begin)]
+        live, state = np.arange(end - begin), np.zeros(end - begin, np.int32)
+        for k in range(self.longest):
+            keep = live + k < len(whole)
+            live, state = live[keep], state[keep]
+            state = self.step[state, whole[live + k]]
+            keep = state >= 0
+            live, state = live[keep], state[keep]
+            piece = self.piece[state]
+            for s, p in zip(live[piece >= 0].tolist(), piece[piece >= 0].tolist(), strict=True):
+                lengths[s].append(k + 1)
+                found[s].append(p)
+        return lengths, found
+
     def _long(self, word: bytes, logs: np.ndarray, weight: float | None, expected: np.ndarray | None) -> float:
-        """The same recursion over one word."""
-        symbols = [int(self.kind[MARK]), *self.kind[np.frombuffer(word, np.uint8)].tolist()]
-        n = len(symbols)
-        alpha = [-math.inf] * (n + 1)
-        alpha[0] = 0.0
-        arcs: list[tuple[int, int, int]] = []
-        step, piece = self.step, self.piece
-        for s in range(n):
-            state = 0
-            for e in range(s, n):
-                state = int(step[state, symbols[e]])
-                if state < 0:
-                    break
-                p = int(piece[state])
-                if p >= 0:
-                    a, b = alpha[e + 1], alpha[s] + float(logs[p])
-                    alpha[e + 1] = b if a == -math.inf else max(a, b) + math.log1p(math.exp(-abs(a - b)))
-                    if expected is not None:
-                        arcs.append((s, e + 1, p))
-        if expected is not None and weight:
-            beta = [-math.inf] * (n + 1)
-            beta[n] = 0.0
-            for s, e, p in reversed(arcs):
-                b = float(logs[p]) + beta[e]
-                expected[p] += weight * math.exp(alpha[s] + b - alpha[n])
-                a = beta[s]
-                beta[s] = b if a == -math.inf else max(a, b) + math.log1p(math.exp(-abs(a - b)))
-        return alpha[n]
+        """The same recursion over one word, in parts. A ring holds as many sums as a piece is long; all are kept only for expected counts."""
+        n, ring = len(word) + 1, self.longest + 1
+        value = logs.tolist()
+        ahead = [-math.inf] * ring
+        ahead[0] = 0.0
+        alphas = array("d") if expected is not None and weight else None
+        for begin in range(0, n, TOGETHER):
+            end = min(n, begin + TOGETHER)
+            lengths, found = self._starts(word, begin, end)
+            for s in range(begin, end):
+                at = s % ring
+                here, ahead[at] = ahead[at], -math.inf
+                if alphas is not None:
+                    alphas.append(here)
+                for k, p in zip(lengths[s - begin], found[s - begin], strict=True):
+                    to = (s + k) % ring
+                    a, b = ahead[to], here + value[p]
+                    ahead[to] = b if a == -math.inf else max(a, b) + math.log1p(math.exp(-abs(a - b)))
+        total = ahead[n % ring]
+        if alphas is not None:
+            behind = [-math.inf] * ring
+            behind[n % ring] = 0.0
+            for begin in range((n - 1) // TOGETHER * TOGETHER, -1, -TOGETHER):
+                end = min(n, begin + TOGETHER)
+                lengths, found = self._starts(word, begin, end)
+                for s in range(end - 1, begin - 1, -1):
+                    sum_ = -math.inf
+                    for k, p in zip(lengths[s - begin], found[s - begin], strict=True):
+                        b = value[p] + behind[(s + k) % ring]
+                        expected[p] += weight * math.exp(alphas[s] + b - total)
+                        sum_ = b if sum_ == -math.inf else max(sum_, b) + math.log1p(math.exp(-abs(sum_ - b)))
+                    behind[s % ring] = sum_
+        return total
 
 
 _loaded: dict[int, Pieces] = {}
@@ -251,34 +283,40 @@ def _expected(words: DataFrame, shipped, logs: np.ndarray) -> np.ndarray:
     return out
 
 
-def lm_scores(docs: DataFrame, model_path: str, modulus: int = 7, remainder: int = 2, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every document."""
+def file_logs(proto: bytes) -> np.ndarray:
+    """Log weights of the pieces by the file's scores."""
+    weights = pieces(proto).first
+    return np.log(weights / weights.sum())
+
+
+def lm_scores(docs: DataFrame, model_path: str, modulus: int = 7, remainder: int = 2, rounds: int = 0) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every document.
+
+    rounds: of fitting the pieces' weights to the training words; none leaves the vocabulary's own.
+    """
     spark = docs.sparkSession
-    shipped = spark.sparkContext.broadcast(read_shipped(model_path))
+    proto = read_shipped(model_path)
+    shipped = spark.sparkContext.broadcast(proto)
     rows = packed(docs)
     rows = rows.select(column(rows, "doc_id", "bigint").alias("doc_id"), F.coalesce(column(rows, "text", "string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"))
     kinds = {"int64": T.LongType(), "bool": T.BooleanType(), "int32": T.IntegerType(), "binary": T.BinaryType()}
     schema = T.StructType([T.StructField(f.name, kinds[str(f.type)]) for f in _WORD])
-    path = f"{shared_folder(spark)}/parley/lm-blocks-{uuid.uuid4().hex}"
+    path = staged_path(spark, "lm-blocks")
     rows.mapInArrow(_tokenise, schema).withColumn("what", F.when(F.col("token").isNull(), "docs").otherwise("words")).write.partitionBy("what").parquet(path, compression="zstd")
     whole = T.StructType([*schema.fields, T.StructField("what", T.StringType())])
     block_words = spark.read.schema(whole).parquet(path).where("what = 'words'").select("block", "number", "token", "n")
     bags = spark.read.schema(whole).parquet(path).where("what = 'docs'").select("block", "doc_id", "held_out", "n_tokens", "numbers", "times")
 
     words = staged(block_words.groupBy("token").agg(F.sum("n").alias("c")), "lm-words")
-    is_end = F.col("token") == F.lit(b"")
-    times = lambda n: F.count_if((F.col("c") == n) & ~is_end)
-    totals = words.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.sum(F.when(is_end, F.col("c"))).alias("ends"), times(1).alias("once"), times(2).alias("twice")).first()
+    is_end = F.col("token") == F.lit(END)
+    totals = words.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.sum(F.when(is_end, F.col("c"))).alias("ends")).first()
     trained, distinct, ends = (totals[k] or 0 for k in ("n", "v", "ends"))
-    discount = min(0.95, max(0.1, totals["once"] / max(1, totals["once"] + 2 * totals["twice"])))
-    left = discount * (distinct - 1) / trained if trained > ends else 1.0
-    # The vocabulary's own scores weight the first round.
-    weights = pieces(shipped.value).first
-    known = weights
+    ending = (ends + 1) / (trained + 2)
+    logs = file_logs(proto)
     for _ in range(rounds if trained > ends else 0):
-        known = _expected(words, shipped, np.log(known / known.sum())) + SMOOTHING
-    logs = np.log(known / known.sum())
+        known = _expected(words, shipped, logs) + SMOOTHING
+        logs = np.log(known / known.sum())
     shared = spark.sparkContext.broadcast(logs)
 
     def marginal(batches):
@@ -292,6 +330,8 @@ def lm_scores(docs: DataFrame, model_path: str, modulus: int = 7, remainder: int
     valued = words.mapInArrow(marginal, "token binary, c long, log_p double")
     numbers = block_words.join(valued, "token").select(F.col("block").alias("of"), "number", "c", "log_p")
     over = float(trained + distinct + 1)
+    # An end has no lattice: its value is null.
+    end_value, going_on = math.log(ending), math.log1p(-ending)
 
     def score(own: pa.Table, found: pa.Table) -> pa.Table:
         at = found.column("number").to_numpy()
@@ -299,8 +339,7 @@ def lm_scores(docs: DataFrame, model_path: str, modulus: int = 7, remainder: int
         p = np.zeros(len(at))
         c[at], p[at] = found.column("c").to_numpy(), found.column("log_p").to_numpy().astype(float)
         base = np.log10((c + 1) / over)
-        # A null is the end, which has no lattice.
-        p = np.where(np.isnan(p), np.log(np.maximum(c, 0.5) / (trained + 1)), np.logaddexp(np.log(np.maximum(c - discount, 1e-300) / max(1, trained)), p + math.log(left))) / math.log(10)
+        p = np.where(np.isnan(p), end_value, p + going_on) / math.log(10)
         out = []
         for numbers, times in zip(own.column("numbers").to_pylist(), own.column("times").to_pylist(), strict=True):
             i, n = np.frombuffer(numbers, np.int32), np.frombuffer(times, np.int32)

@@ -124,29 +124,103 @@ def test_base_scores(some, hostile, none):
     assert lm_scoring.lm_scores(none, path).count() == 0
 
 
-def test_lattice_sums_over_all_segmentations():
+def plain_weights() -> dict[bytes, float]:
+    """The file's pieces, the mark of a word's start as byte 255, with weights 1 / (10 + rank), made to sum to 1."""
+    import sentencepiece as spm
+
+    model = spm.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    out: dict[bytes, float] = {}
+    for i in range(model.get_piece_size()):
+        piece = model.id_to_piece(i)
+        if piece == "<0xFF>":
+            continue
+        if model.is_byte(i):
+            out.setdefault(bytes([int(piece[3:5], 16)]), 1 / 100_010)
+        elif not model.is_control(i) and not model.is_unknown(i) and "\u2581" not in piece[1:] and not re.search("[A-Z]", piece):
+            key = piece.replace("\u2581", "\0").encode().replace(b"\0", b"\xff")
+            out[key] = max(out.get(key, 0), 1 / (10 + min(1e5, -model.get_score(i))))
+    total = sum(out.values()) + 1 / 100_010  # the piece of byte 255 itself, which no text has
+    return {k: v / total for k, v in out.items()}
+
+
+def all_segmentations(word: bytes, weights: dict[bytes, float]) -> float:
+    """Sum over every way to cut, one by one."""
+    if not word:
+        return 1.0
+    return sum(weights[word[:k]] * all_segmentations(word[k:], weights) for k in range(1, len(word) + 1) if word[:k] in weights)
+
+
+def by_prefixes(word: bytes, weights: dict[bytes, float]) -> float:
+    """The log of the same sum, by prefixes, for words of any length."""
+    ways = [0.0]
+    for end in range(1, len(word) + 1):
+        terms = [ways[k] + math.log(weights[word[k:end]]) for k in range(max(0, end - 60), end) if word[k:end] in weights]
+        most = max(terms)
+        ways.append(most + math.log(sum(math.exp(t - most) for t in terms)))
+    return ways[-1]
+
+
+def test_scores_sum_over_all_segmentations(spark):
+    """The query's score of small texts against an enumeration of segmentations by the file's scores."""
+    weights = plain_weights()
+    texts = ["the cat", "THE  Cats\nsat", "\u00e9a xq $$", "z\u0107 \U0001f642", "", "a a a b", "thing"]
+    rows = [(i, t) for i, t in enumerate(texts * 4)]
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+    words = {i: WORD.findall(lowered(t)) for i, t in rows}
+    ends = sum(not held[i] for i in words)
+    trained = ends + sum(len(w) for i, w in words.items() if not held[i])
+    e = (ends + 1) / (trained + 2)
+    want = {i: math.log10(e) + sum(math.log10((1 - e) * all_segmentations(b"\xff" + x.encode(), weights)) for x in w) for i, w in words.items()}
+    assert any(held.values()) and not all(held.values())
+    found = {r["doc_id"]: r["score"] for r in lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), P.path("piece_bpe_32k.model")).collect()}
+    assert found.keys() == want.keys() and all(abs(found[i] - want[i]) < 1e-9 for i in want)
+
+
+def test_scores_of_documents(some):
+    """The query's score of whole documents against sums by prefixes."""
+    weights = plain_weights()
+    own = {r["doc_id"]: WORD.findall(lowered(r["text"])) for r in some.collect()}
+    trained = [i for i in own if zlib.crc32(str(i).encode()) % 7 != 2]
+    e = (len(trained) + 1) / (len(trained) + sum(len(own[i]) for i in trained) + 2)
+    known: dict[str, float] = {}
+    for w in {x for words in own.values() for x in words}:
+        known[w] = by_prefixes(b"\xff" + w.encode(), weights)
+    want = {i: (math.log(e) + sum(known[x] + math.log1p(-e) for x in words)) / math.log(10) for i, words in own.items()}
+    found = {r["doc_id"]: r["score"] for r in lm_scoring.lm_scores(some, P.path("piece_bpe_32k.model")).collect()}
+    assert found.keys() == want.keys() and all(abs(found[i] - want[i]) < 1e-6 for i in want)
+
+
+def test_expected_counts_of_pieces():
     tool = lm_scoring.pieces(open(P.path("piece_bpe_32k.model"), "rb").read())
     logs = np.log(tool.first / tool.first.sum())
-    index = {s: i for i, s in enumerate(tool.symbols)}
-
-    def every(symbols):
-        if not symbols:
-            return 1.0
-        return sum(math.exp(logs[index[symbols[:k]]]) * every(symbols[k:]) for k in range(1, len(symbols) + 1) if symbols[:k] in index)
-
-    words = [b"the", b"thing", "éa".encode(), b"xq", b"$$"]
+    words = [b"the", b"thing", "\u00e9a".encode(), b"xq", b"$$"]
     found, expected = tool.forward(words, logs, np.ones(len(words)))
-    assert np.allclose(found, [math.log(every((lm_scoring.MARK, *w))) for w in words])
     # Expected counts of pieces spell the words: their lengths add up.
     assert abs(sum(e * len(s) for e, s in zip(expected, tool.symbols)) - sum(len(w) + 1 for w in words)) < 1e-6
-    long = b"thething" * 40
-    one = np.zeros(len(logs))
-    assert np.isfinite(tool._long(long, logs, 1.0, one)) and abs(sum(e * len(s) for e, s in zip(one, tool.symbols)) - len(long) - 1) < 1e-6
     again = np.zeros(len(logs))
     assert np.allclose([tool._long(w, logs, 1.0, again) for w in words], found) and np.allclose(again, expected)
 
 
-def test_scores_prefer_their_language(some):
+def test_long_words_in_parts(monkeypatch):
+    tool = lm_scoring.pieces(open(P.path("piece_bpe_32k.model"), "rb").read())
+    logs = np.log(tool.first / tool.first.sum())
+    long, weights = b"thething" * 40, plain_weights()
+    whole = tool._long(long, logs, None, None)
+    assert abs(whole - by_prefixes(b"\xff" + long, weights)) < 1e-8
+    one = np.zeros(len(logs))
+    assert tool._long(long, logs, 1.0, one) == whole and abs(sum(e * len(s) for e, s in zip(one, tool.symbols)) - len(long) - 1) < 1e-6
+    monkeypatch.setattr(lm_scoring, "TOGETHER", 7)
+    again = np.zeros(len(logs))
+    assert abs(tool._long(long, logs, 1.0, again) - whole) < 1e-9 and np.allclose(again, one)
+
+
+def test_fitted_weights_prefer_the_training_texts(some):
+    path = P.path("piece_bpe_32k.model")
+    mean = lambda rounds: np.mean([r["score"] / r["n_tokens"] for r in lm_scoring.lm_scores(some, path, rounds=rounds).collect()])
+    assert mean(2) > mean(0) + 0.1
+
+
+def test_scores_prefer_texts_to_noise(some):
     path = P.path("piece_bpe_32k.model")
     rows = lm_scoring.lm_scores(some, path).collect()
     per_token = np.mean([r["score"] / r["n_tokens"] for r in rows if not r["held_out"]])
