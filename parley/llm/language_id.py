@@ -6,13 +6,18 @@ anew, so that long texts give evidence all along and memory stays bounded. The
 smallest total wins; where the second is within MIN_MARGIN of it, the document is
 not accepted.
 
-Only text and non-null `lang` of documents that are not held out are learned
-from: at most TEXTS_A_LANGUAGE texts of each of at most MAX_LANGUAGES languages
-(the most frequent), chosen by a hash of the id, whole if they have at most
-TEXT_BYTES bytes (longer ones serve only a language without others).
+Only text and non-null `lang` of documents that are not held out are learned from.
+Their whole texts are cut into passages of PASSAGE_CHARS characters, and of each
+language at most PASSAGES_A_LANGUAGE are fitted, chosen by a hash of id, text and
+place, so that every part of every text has its chance; each language has its
+document of the smallest hash at least. HELD_PASSAGES more of each language set the
+margin: the least one, between MIN_MARGIN and MAX_MARGIN, that is right for a share
+PRECISION of them that it accepts. More than MAX_LANGUAGES languages raise: none is
+dropped.
 
 Cases. Null text or text without a letter: `und`, score 0, not accepted. A tie in
-size: the language with more training documents, not accepted. No language
+size: the language with more training documents, of equally many the first by name;
+not accepted. A very long text: all of it, chunk by chunk. No language
 learned: `und` for all. Null ids are trained on and never held out. Empty table:
 no rows. Repeated rows: one result each. Further columns of any name are not
 looked at.
@@ -21,7 +26,7 @@ looked at.
 from __future__ import annotations
 
 import math
-import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -33,57 +38,87 @@ from .common import column, held_out, packed, text_batches, unpacked
 LEVEL = 12
 CHUNK_BYTES = 4096
 DICTIONARY_BYTES = 110_000
-MAX_LANGUAGES = 64
-TEXTS_A_LANGUAGE = 400
-TEXT_BYTES = 8192
-#: Least relative lead of the smallest size over the next.
+#: Dictionaries are shipped whole, at most 28 MB of them.
+MAX_LANGUAGES = 256
+PASSAGE_CHARS = 2048
+PASSAGES_A_LANGUAGE = 400
+HELD_PASSAGES = 100
+#: Relative lead of the smallest size over the next: the least that is asked for, the most, and the precision that sets it between.
 MIN_MARGIN = 0.002
+MAX_MARGIN = 0.02
+PRECISION = 0.999
 #: Bytes of lead that make the score, a logistic of it, move by one unit.
 SCORE_BYTES = 8.0
 BATCH_BYTES = 2 << 20
 UNKNOWN = "und"
 
-_no_letters = re.compile(r"[\W\d_]+")
 _loaded: dict[tuple, list] = {}
 
 
+@lru_cache(None)
+def _no_letters():
+    import regex
+
+    return regex.compile(r"[^\p{L}\p{M}]+")
+
+
 def normalised(text: str) -> bytes:
-    """Lower case, runs of anything but letters as one space."""
-    return _no_letters.sub(" ", text.lower()).encode()
+    """Lower case, runs of anything but letters and the marks on them as one space."""
+    return _no_letters().sub(" ", text.lower()).encode()
+
+
+def _passages(rows: DataFrame, counts: dict[str, tuple[int, float]], most: int) -> DataFrame:
+    """lang, text, _n: of each language the first `most` passages by hash. rows: id, lang, text, _u."""
+    # About four times the texts that are needed pass the hash, and at least the smallest.
+    share = F.create_map(*[F.lit(x) for lang, (n, least) in counts.items() for x in (lang, max(least, min(1.0, 4.0 * most / n)))])
+    picked = rows.where(F.col("_u") <= F.try_element_at(share, F.col("lang")))
+    starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(PASSAGE_CHARS))
+    cut = picked.select("id", "lang", F.posexplode(F.transform(starts, lambda i: F.substring(F.col("text"), i + 1, F.lit(PASSAGE_CHARS)))).alias("_at", "text"))
+    best = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("passage"), "id", "_at", "text"), "id", "_at", "text")
+    return cut.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= most).select("lang", "text", "_n")
 
 
-def fit_dictionaries(docs: DataFrame, modulus: int = 5, remainder: int = 0, dictionary_bytes: int = DICTIONARY_BYTES, texts_a_language: int = TEXTS_A_LANGUAGE) -> list[tuple[str, bytes]]:
-    """(language, dictionary), the most frequent language first: bounded by the parameters, whatever the input."""
+def fit(docs: DataFrame, modulus: int = 5, remainder: int = 0, dictionary_bytes: int = DICTIONARY_BYTES, passages: int = PASSAGES_A_LANGUAGE) -> tuple[list[tuple[str, bytes]], float]:
+    """(language, dictionary), the most frequent language first, and the margin: bounded by the parameters, whatever the input."""
     rows = packed(docs)
     rows = rows.select(column(rows, "doc_id", "string").alias("id"), column(rows, "text", "string").alias("text"), column(rows, "lang", "string").alias("lang"))
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id"), modulus, remainder))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    rows = rows.withColumn("_u", F.pmod(F.xxhash64(F.lit("sample"), "id", "text"), F.lit(1 << 30)) / float(1 << 30))
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("_u").alias("least")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages: their dictionaries are not shipped whole")
+    counts = {r["lang"]: (r["n"], r["least"]) for r in found}
     if not counts:
-        return []
-    # About four times the rows that are kept pass the hash; the best of them by it are taken.
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 4.0 * texts_a_language / r["count"]))])
-    order = F.xxhash64(F.lit("sample"), "id", "lang")
-    long = F.octet_length("text") > TEXT_BYTES
-    picked = rows.withColumns({"_u": F.pmod(order, F.lit(1 << 30)) / float(1 << 30), "_o": order, "_long": long})
-    # A share of all texts may hold few short ones: long texts stand by, cut, for languages that would have none.
-    picked = picked.where(F.col("_u") < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
-    best = Window.partitionBy("lang").orderBy("_long", "_o", "id", "text")
-    picked = picked.withColumns({"_n": F.row_number().over(best), "text": F.left("text", F.lit(TEXT_BYTES))}).where(F.col("_n") <= texts_a_language)
-    found: dict[str, list[tuple[int, str, bool]]] = {}
-    for r in picked.select("lang", "_n", "text", "_long").collect():
-        found.setdefault(r["lang"], []).append((r["_n"], r["text"], r["_long"]))
-    out = []
-    for lang in (r["lang"] for r in counts):
-        own = sorted(found.get(lang, []))
-        own = [t for _, t, is_long in own if not is_long] or [t for _, t, _ in own]
+        return [], MIN_MARGIN
+    own: dict[str, list[tuple[int, str]]] = {}
+    for r in _passages(rows, counts, passages + HELD_PASSAGES).collect():
+        own.setdefault(r["lang"], []).append((r["_n"], r["text"]))
+    out, held = [], []
+    for lang in counts:
         buffer, seen = bytearray(), set()
-        for text in map(normalised, own):
-            if text not in seen and len(buffer) + len(text) < dictionary_bytes:
-                seen.add(text)
-                buffer += text + b"\n"
+        for n, text in sorted(own[lang]):
+            data = normalised(text)
+            if n > passages:
+                held.append((lang, text))
+            elif data not in seen and len(buffer) + len(data) < dictionary_bytes:
+                seen.add(data)
+                buffer += data + b"\n"
         if len(buffer) >= 8:
             out.append((lang, bytes(buffer)))
-    return out
+    return out, fitted_margin(held, out)
+
+
+def fitted_margin(held: list[tuple[str, str]], dictionaries: list[tuple[str, bytes]]) -> float:
+    """The least margin between MIN_MARGIN and MAX_MARGIN with which a share PRECISION of the texts accepted is told right; MAX_MARGIN where none has."""
+    found = classify([text for _, text in held], dictionaries, min_margin=MIN_MARGIN)
+    judged = sorted(((margin, pred == lang) for (lang, _), (pred, _, margin, accepted) in zip(held, found, strict=True) if accepted), reverse=True)
+    right, best = 0, MIN_MARGIN if not judged else MAX_MARGIN
+    for n, (margin, ok) in enumerate(judged, 1):
+        right += ok
+        if right >= PRECISION * n:
+            best = min(best, margin)
+    # Where all are accepted at the least margin, nothing argues for more.
+    return MIN_MARGIN if right >= PRECISION * len(judged) else best
 
 
 def _compressors(dictionaries: list[tuple[str, bytes]], level: int) -> list:
@@ -138,16 +173,16 @@ def identify(rows: DataFrame, dictionaries: list[tuple[str, bytes]], text: str,
 
 def language_id(docs: DataFrame, modulus: int = 5, remainder: int = 0) -> DataFrame:
     """doc_id, held_out, lang_pred, score, margin and accepted of every document."""
-    dictionaries = fit_dictionaries(docs, modulus, remainder)
+    dictionaries, least = fit(docs, modulus, remainder)
     rows = packed(docs)
     rows = rows.select(column(rows, "doc_id", "bigint").alias("doc_id"), column(rows, "text", "string").alias("text"))
-    found = identify(rows, dictionaries, "text")
+    found = identify(rows, dictionaries, "text", min_margin=least)
     return found.select("doc_id", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), "lang_pred", "score", "margin", "accepted")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents whose language is told with enough margin; their columns as they were."""
-    dictionaries = fit_dictionaries(docs)
+    dictionaries, least = fit(docs)
     rows = packed(docs)
     rows = rows.select("_row", column(rows, "text", "string").alias("_text"))
-    return unpacked(identify(rows, dictionaries, "_text").where("accepted"))
+    return unpacked(identify(rows, dictionaries, "_text", min_margin=least).where("accepted"))

@@ -106,6 +106,64 @@ def test_language_id_held_out(spark, smallest, hostile, none):
     assert kept.columns == hostile.columns and kept.count() <= hostile.count()
 
 
+def test_language_id_keeps_every_language(spark):
+    """Languages of texts without ids, of one text many times, and of long texts alone are learned; too many raise."""
+    words = {"de": "und der nicht ist das wir haben schon", "fr": "et le pas est la nous avons déjà", "it": "e il non è la noi abbiamo già", "es": "y el no es la ya hemos todo"}
+    rng = random.Random(9)
+    text = lambda lang, n: " ".join(rng.choice(words[lang].split()) for _ in range(n))
+    same = text("fr", 40)
+    rows = [(None, text("de", 30), "de") for _ in range(5000)] + [(None, same, "fr") for _ in range(3000)] + [(i, text("it", 40_000), "it") for i in range(1, 4)] + [(i, text("es", 30), "es") for i in range(10, 90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    dictionaries, margin = language_id.fit(docs)
+    assert [lang for lang, _ in dictionaries] == ["de", "fr", "es", "it"]
+    assert language_id.MIN_MARGIN <= margin <= language_id.MAX_MARGIN
+    # Passages of a long text come from all over it.
+    assert len(dict(dictionaries)["it"]) > 50_000
+    found = language_id.language_id(docs).groupBy("lang_pred").count().collect()
+    assert {r["lang_pred"]: r["count"] for r in found} == {"de": 5000, "fr": 3000, "it": 3, "es": 80}
+    many = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"), F.col("id").cast("string").alias("lang"))
+    with pytest.raises(ValueError, match="languages"):
+        language_id.language_id(many)
+
+
+def test_language_sizes_are_the_librarys(spark, some):
+    """Predictions, scores and margins from sizes that the library gives for each chunk and dictionary; a tie is the more frequent language's."""
+    import zstandard as zstd
+
+    dictionaries, least = language_id.fit(some)
+    for r in language_id.language_id(some).collect()[:60]:
+        t = some.where(F.col("doc_id") == r["doc_id"]).first()["text"]
+        data = re.sub(r"[\W\d_]+", " ", (t or "").lower()).strip().encode()
+        sizes = []
+        for _, raw in dictionaries:
+            tool = zstd.ZstdCompressor(level=language_id.LEVEL, dict_data=zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(tool.compress(data[i : i + 4096])) for i in range(0, len(data), 4096)))
+        best = min(range(len(sizes)), key=lambda i: (sizes[i], i))
+        rest = min(s for i, s in enumerate(sizes) if i != best)
+        assert r["lang_pred"] == dictionaries[best][0]
+        assert r["margin"] == pytest.approx((rest - sizes[best]) / sizes[best]) and r["accepted"] == (rest > sizes[best] and r["margin"] >= least)
+    twice = [("b", dictionaries[0][1]), ("a", dictionaries[0][1])]
+    assert language_id.classify(["some words of text"], twice)[0] == ("b", 0.5, 0.0, False)
+
+
+def test_margin_by_precision(monkeypatch):
+    q = language_id
+    assert q.fitted_margin([], []) == q.MIN_MARGIN
+    margins = [0.3] * 2000 + [0.01] * 500 + [0.004] * 10 + [0.003] * 10
+
+    def judged(wrong):
+        monkeypatch.setattr(q, "classify", lambda texts, *_, **__: [("b" if i in wrong else "a", 0.9, m, True) for i, m in enumerate(margins)])
+        return q.fitted_margin([("a", "x")] * len(margins), [("a", b"")])
+
+    assert judged(()) == q.MIN_MARGIN
+    assert judged({2501, 2505, 2512}) == 0.01  # three of 2520 are too many
+    assert judged(set(range(2000))) == q.MAX_MARGIN
+
+
+def test_marks_stay_on_their_letters():
+    assert language_id.normalised("Ka\u0301r हिन्दी 12 x_y").decode().split() == ["ka\u0301r", "हिन्दी", "x", "y"]
+
+
 def test_language_id_never_looks_at_other_columns(spark, some):
     a = {r["doc_id"]: r["lang_pred"] for r in language_id.language_id(some).collect()}
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
