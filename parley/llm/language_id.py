@@ -115,7 +115,8 @@ def fitted_margin(held: list[tuple[str, str]], dictionaries: list[tuple[str, byt
     right, best = 0, MIN_MARGIN if not judged else MAX_MARGIN
     for n, (margin, ok) in enumerate(judged, 1):
         right += ok
-        if right >= PRECISION * n:
+        whole = n == len(judged) or judged[n][0] < margin
+        if whole and right >= PRECISION * n:
             best = min(best, margin)
     # Where all are accepted at the least margin, nothing argues for more.
     return MIN_MARGIN if right >= PRECISION * len(judged) else best

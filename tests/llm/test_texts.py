@@ -156,7 +156,7 @@ def test_margin_by_precision(monkeypatch):
         return q.fitted_margin([("a", "x")] * len(margins), [("a", b"")])
 
     assert judged(()) == q.MIN_MARGIN
-    assert judged({2501, 2505, 2512}) == 0.01  # three of 2520 are too many
+    assert judged({2501, 2505, 2512}) == 0.004  # three of 2520 are too many
     assert judged(set(range(2000))) == q.MAX_MARGIN
 
 
