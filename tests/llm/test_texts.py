@@ -207,8 +207,49 @@ def test_flac_damage_is_found():
     for _ in range(60):
         bad = bytearray(stream)
         bad[rng.randrange(at, len(bad))] ^= 1 << rng.randrange(8)
-        with pytest.raises((flac.Damaged, IndexError, ValueError)):
-            flac.decode_streams([bytes(bad)])
+        (status, blocks), (beside, own) = flac.decoded([bytes(bad), stream])
+        assert (status, blocks) == ("damaged", []) and beside == "ok" and flac.payload_of(own) == (b"some text to be damaged " * 100)[:2368]
+    assert [s for s, _ in flac.decoded([b"", b"fLaC", b"fLaC\x80", None])] == ["damaged", "damaged", "damaged", "missing"]
+
+
+#: The third worked example of the format's specification (RFC 9639, appendix D.3), a linear predictor of order 3, and its samples.
+EXAMPLE = "664c6143800000221000100000001f00001f07d000700000 0018f8f9e396f5cbcfc6dc807f9977906b32fff868020017e944004f6f313d1047d227cb6d090831452bdc2822228057a3"
+SAMPLES = [0, 79, 111, 78, 8, -61, -90, -68, -13, 42, 67, 53, 13, -27, -46, -38, -12, 14, 24, 19, 6, -4, -5, 0]
+
+
+def test_flac_reads_the_specifications_example():
+    (status, blocks), = flac.decoded([bytes.fromhex(EXAMPLE)])
+    assert status == "ok" and [b.tolist() for b in blocks] == [SAMPLES]
+
+
+def test_flac_rows_of_missing_and_damaged_streams(spark):
+    good = flac.encode_streams([b"x" * 1984])[0]
+    bad = good[:-3] + b"abc"
+    media = spark.createDataFrame([(1, good), (2, None), (None, bad), (1, good)], "doc_id long, media binary").coalesce(1)
+    rows = [(r["doc_id"], r["status"], r["block"], r["sample_offset"], r["n_samples"]) for r in flac.pcm_blocks(media).collect()]
+    ok = [(1, "ok", 0, 0, 1024), (1, "ok", 1, 1024, 960)]
+    assert rows == [*ok, (2, "missing", None, None, None), (None, "damaged", None, None, None), *ok]
+    stored = media.withColumns({"_at": F.monotonically_increasing_id(), "n_bytes": F.lit(1984), "media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    found = flac.gathered(flac.pcm_blocks(stored, flac._CARRIED)).collect()
+    assert [(r["doc_id"], r["status"], r["payload_bytes"]) for r in found] == [(1, "ok", 1984), (2, "missing", None), (None, "damaged", None), (1, "ok", 1984)]
+    assert found[0]["payload_sha256"] == hashlib.sha256(b"x" * 1984).hexdigest() and found[1]["media_sha256"] is None
+
+
+def test_flac_seek_tables_that_would_not_fit(monkeypatch):
+    assert flac.points_apart(flac.MOST_POINTS) == 1 and flac.points_apart(flac.MOST_POINTS + 1) == 2 and flac.points_apart(5 * flac.MOST_POINTS) == 8
+    monkeypatch.setattr(flac, "MOST_POINTS", 3)
+    payload = bytes(range(256)) * 44
+    stream = flac.encode_streams([payload])[0]
+    assert [p[0] for p in flac.Header(stream).points] == [0, 4096, 8192]
+    assert flac.payload_of(flac.decode_streams([stream])[0]) == payload and flac.decode_range(stream, 5000, 5009) == payload[5000:5009]
+
+
+def test_flac_features(some):
+    texts = dict(texts_of(some))
+    for r in flac.flac_round_trip(some).collect()[:50]:
+        x = np.frombuffer(flac.padded_payload(texts[r["doc_id"]])[0], np.uint8).astype(int) - 128
+        want = f"blocks={-(-len(x) // 1024)};mean={x.mean():.4f};rms={np.sqrt((x * x).mean()):.4f};crossings={int(((x[1:] < 0) != (x[:-1] < 0)).sum())}"
+        assert r["feature"] == want and r["status"] == "ok"
 
 
 def test_flac_blocks_have_offsets(spark, some):
