@@ -7,9 +7,17 @@ its factors. Probabilities are proportional to weights, with those that would ex
 one held there and the others raised, so that the expected tokens meet the budget; a
 digest of the id decides.
 
-Targets default to tempered shares: a marginal's token shares to a power. Cells are
-held as one row for each source with its languages and topics, whose number
-MAX_CATEGORIES bounds; factors of sources are never collected.
+Targets default to tempered shares: a marginal's token shares to a power. Of a marginal
+for which some targets are given, the categories left out share what the given ones
+leave, by their tempered shares: nothing, where the given ones sum to 1 (they then get
+weight 0), and they may not sum to more. Where all categories are given, or those left
+out hold no tokens, the given ones are scaled to sum to 1; given ones that no token has
+are left out first. Cells are held as one row for each source with its languages and
+topics, whose number MAX_CATEGORIES bounds; factors of sources are never collected.
+
+Targets that cells without tokens make impossible cannot be met. The largest difference
+between a marginal's share and its target after the last round is returned with the
+factors, and a warning is given where it is over TOLERANCE.
 
 Cases. Null source or language: a category of its own, `(none)`. Null text: no tokens,
 topic `short`. A null id is decided by the text. Repeated rows: decided alike, each
@@ -19,6 +27,8 @@ any name are carried untouched by mix, and not looked at otherwise.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +40,8 @@ BUDGET = 0.5
 ROUNDS = 10
 CALIBRATIONS = 8
 MAX_CATEGORIES = 4096
+#: A difference between a share and its target that is not warned of.
+TOLERANCE = 1e-3
 NONE = "(none)"
 
 
@@ -59,17 +71,45 @@ def _shares(sums: dict[str, float], power: float) -> dict[str, float]:
     return {k: v / total for k, v in raised.items()}
 
 
-def rake(cells: DataFrame, temper: dict[str, float] = TEMPER, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, budget: float = BUDGET) -> tuple[DataFrame, dict[str, float], dict[str, float], float]:
-    """cells (_s, _l, _t, _n): factors of sources as a table (_s, _a), of languages, of topics, and the calibration.
-
-    targets: shares by category for `lang` and `topic`, or a table's worth for `source`; what is left out is tempered.
+def goals(sums: dict[str, float], power: float, given: dict[str, float] | None) -> dict[str, float]:
+    """The target of each category with tokens, by those given and tempered shares."""
+    given = {k: v for k, v in (given or {}).items() if sums.get(k, 0) > 0}
+    if sum(given.values()) > 1 + 1e-9 or any(v < 0 for v in given.values()):
+        raise ValueError("given targets may not be negative nor sum to more than 1")
+    rest = _shares({k: v for k, v in sums.items() if k not in given}, power)
+    left = 1 - sum(given.values())
+    if not rest:
+        return {k: v / sum(given.values()) for k, v in given.items()}
+    return given | {k: v * max(0.0, left) for k, v in rest.items()}
+
+
+def _source_goals(by_source: DataFrame, power: float, given: dict[str, float] | None) -> Column:
+    """goals() as a column over a row for each source: sources are not collected."""
+    given = given or {}
+    held = F.col("_s").isin(list(given)) if given else F.lit(False)
+    raised = F.pow(F.col("own"), F.lit(power))
+    row = by_source.agg(F.sum(F.when(~held, raised)).alias("rest"), F.collect_set(F.when(held, F.col("_s"))).alias("held")).first()
+    given = {k: v for k, v in given.items() if k in set(row["held"])}
+    total = sum(given.values())
+    if total > 1 + 1e-9 or any(v < 0 for v in given.values()):
+        raise ValueError("given targets may not be negative nor sum to more than 1")
+    if not row["rest"]:
+        return _lookup({k: v / total for k, v in given.items()}, "_s")
+    rest = raised / F.lit(float(row["rest"])) * F.lit(max(0.0, 1 - total)) if given else raised / F.lit(float(row["rest"]))
+    return F.when(held, _lookup(given, "_s")).otherwise(rest) if given else rest
+
+
+def rake(cells: DataFrame, temper: dict[str, float] = TEMPER, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, budget: float = BUDGET) -> tuple[DataFrame, dict[str, float], dict[str, float], float, float]:
+    """cells (_s, _l, _t, _n): factors of sources as a table (_s, _a), of languages, of topics, the calibration, and the residual.
+
+    targets: shares by category for `source`, `lang` and `topic`, each whole or in part.
     """
     targets = targets or {}
     by_source = cells.groupBy("_s").agg(F.collect_list(F.struct("_l", "_t", "_n")).alias("cells"), F.sum("_n").alias("own"))
     by_source = staged(by_source.where("own > 0"), "mix-cells")
-    total = by_source.agg(F.sum("own"), F.sum(F.pow(F.col("own"), F.lit(temper["source"])))).first()
+    total = by_source.agg(F.sum("own")).first()
     if not total[0]:
-        return by_source.select("_s", F.lit(1.0).alias("_a")), {}, {}, 1.0
+        return by_source.select("_s", F.lit(1.0).alias("_a")), {}, {}, 1.0, 0.0
     flat = by_source.select("_s", "own", F.inline("cells"))
 
     def sums(rows: DataFrame, key: str) -> dict[str, float]:
@@ -78,15 +118,15 @@ def rake(cells: DataFrame, temper: dict[str, float] = TEMPER, targets: dict[str,
             raise ValueError(f"more than {MAX_CATEGORIES} categories")
         return {r[key]: float(r["x"]) for r in found}
 
-    goal = {k: targets.get(k) or _shares(sums(flat.withColumn("x", F.col("_n").cast("double")), c), temper[k]) for k, c in (("lang", "_l"), ("topic", "_t"))}
-    of_source = _lookup(targets["source"], "_s") if targets.get("source") else F.pow(F.col("own"), F.lit(temper["source"])) / F.lit(float(total[1]))
+    goal = {k: goals(sums(flat.withColumn("x", F.col("_n").cast("double")), c), temper[k], targets.get(k)) for k, c in (("lang", "_l"), ("topic", "_t"))}
+    of_source = _source_goals(by_source, temper["source"], targets.get("source"))
     lang, topic = dict.fromkeys(goal["lang"], 1.0), dict.fromkeys(goal["topic"], 1.0)
 
     def sources(lang: dict, topic: dict) -> DataFrame:
         """Each source's factor that meets its target, the others as given."""
         by_lang, by_topic = (F.create_map(*[F.lit(x) for kv in f.items() for x in kv]) for f in (lang, topic))
         part = F.aggregate("cells", F.lit(0.0), lambda s, c: s + c["_n"] * F.coalesce(F.try_element_at(by_lang, c["_l"]), F.lit(1.0)) * F.coalesce(F.try_element_at(by_topic, c["_t"]), F.lit(1.0)))
-        return by_source.select("_s", "cells", (of_source / part).alias("_a"))
+        return by_source.select("_s", "cells", F.coalesce(F.try_divide(of_source, part), F.lit(0.0)).alias("_a"))
 
     for _ in range(rounds):
         weighed = sources(lang, topic).select("_a", F.inline("cells"))
@@ -95,6 +135,14 @@ def rake(cells: DataFrame, temper: dict[str, float] = TEMPER, targets: dict[str,
         found = sums(weighed.withColumn("x", F.col("_a") * F.col("_n") * _lookup(new, "_l") * _lookup(topic, "_t")), "_t")
         lang, topic = new, {k: f * goal["topic"].get(k, 0.0) / found[k] if found.get(k) else f for k, f in topic.items()}
     last = sources(lang, topic)
+    # Sources were met last: the residual is that of languages and topics.
+    weighed = last.select("_a", F.inline("cells")).withColumn("x", F.col("_a") * F.col("_n") * _lookup(lang, "_l") * _lookup(topic, "_t"))
+    residual = 0.0
+    for key, wanted in (("_l", goal["lang"]), ("_t", goal["topic"])):
+        got = sums(weighed, key)
+        residual = max([residual, *(abs(got.get(k, 0.0) - v) for k, v in wanted.items())])
+    if residual > TOLERANCE:
+        warnings.warn(f"mixing: shares differ from their targets by up to {residual:.4f}", stacklevel=2)
     # Weights are relative to the corpus: 1 leaves a cell at its share.
     weighed = last.select("_a", F.inline("cells")).select("_n", (F.col("_a") * _lookup(lang, "_l") * _lookup(topic, "_t") * F.lit(float(total[0]))).alias("w"))
     scale, want = budget, budget * total[0]
@@ -106,12 +154,12 @@ def rake(cells: DataFrame, temper: dict[str, float] = TEMPER, targets: dict[str,
         scale = new
         if done:
             break
-    return last.select("_s", (F.col("_a") * F.lit(float(total[0]))).alias("_a")), lang, topic, scale
+    return last.select("_s", (F.col("_a") * F.lit(float(total[0]))).alias("_a")), lang, topic, scale, residual
 
 
-def _weighed(rows: DataFrame, factors: tuple[DataFrame, dict, dict, float], key: Column) -> DataFrame:
+def _weighed(rows: DataFrame, factors: tuple[DataFrame, dict, dict, float, float], key: Column) -> DataFrame:
     """rows of with_cells with weight, probability and selected as _w, _p and _in. The join is a broadcast where the sources' size allows."""
-    table, lang, topic, scale = factors
+    table, lang, topic, scale, _ = factors
     rows = rows.join(table.withColumnRenamed("_s", "_source"), F.col("_s") == F.col("_source"), "left").drop("_source")
     w = F.coalesce(F.col("_a"), F.lit(1.0)) * _lookup(lang, "_l") * _lookup(topic, "_t")
     u = F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)

@@ -290,6 +290,34 @@ def test_mixing_takes_given_targets(some):
     assert np.allclose(share, 0.25, atol=1e-3)
 
 
+def test_mixing_shares_what_given_targets_leave(spark):
+    rows = [(i, "w " * (3 + i % 5), "en" if i % 3 else "de", f"src{i % 4}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    whole = {f"src{k}": 0.0 for k in range(4)}
+
+    def shares(key, **targets):
+        found = mixing.mixing_weights(docs, targets=targets, rounds=40).toPandas()
+        return (found.n_tokens * found.weight).groupby(found[key]).sum() / found.n_tokens.sum()
+
+    got = shares("source", source={"src1": 0.5, "src2": 0.5})
+    assert np.allclose([got[k] for k in sorted(whole)], [0, 0.5, 0.5, 0], atol=1e-6)
+    got = shares("source", source={"src1": 0.4, "absent": 0.3})
+    rest = {k: sum(len(t.split()) for _, t, _, s in rows if s == k) ** 0.7 for k in whole if k != "src1"}
+    assert abs(got["src1"] - 0.4) < 1e-6 and all(abs(got[k] - 0.6 * v / sum(rest.values())) < 1e-6 for k, v in rest.items())
+    got = shares("lang", lang={"de": 0.9})
+    assert abs(got["de"] - 0.9) < 1e-6 and abs(got["en"] - 0.1) < 1e-6
+    got = shares("lang", lang={"de": 0.2, "en": 0.2})
+    assert np.allclose(got, 0.5, atol=1e-6)
+    with pytest.raises(ValueError, match="sum"):
+        mixing.mixing_weights(docs, targets={"source": {"src1": 0.7, "src2": 0.7}})
+
+
+def test_mixing_tells_targets_that_cannot_be_met(spark):
+    docs = spark.createDataFrame([(1, "a b c d", "en", "x"), (2, "e f g h", "de", "y")], "doc_id long, text string, lang string, source string")
+    with pytest.warns(UserWarning, match="differ"):
+        mixing.mixing_weights(docs, targets={"source": {"x": 0.9, "y": 0.1}, "lang": {"en": 0.1, "de": 0.9}})
+
+
 def test_pipeline(spark, smallest, hostile, none):
     import corpus_pipeline
     from parley.llm.common import staged
