@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+import pytest
 
 from parley.llm import near_copies, simhash
 
@@ -61,3 +62,22 @@ def test_edited_copies_beyond_two_bits_are_linked(spark):
 def test_smallest_tables(some):
     rows = [(r["doc_id"], r["text"]) for r in some.collect()]
     assert {r["doc_id"] for r in near_copies.keep_one(some).collect()} == plain_kept(rows)
+
+
+@pytest.mark.parametrize("hot", [0, 32])
+def test_many_edited_copies_of_one_text(spark, monkeypatch, hot):
+    """Copies at similarity 0.5 to 1 of each other: most pairs are not near, whatever counts as hot."""
+    rng = random.Random(hot + 6)
+    base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    rows = []
+    for i in range(160):
+        copy = base[:]
+        for _ in range(rng.randrange(2, 8)):
+            copy[rng.randrange(150)] = f"x{rng.randrange(9)}"
+        if rng.random() < 0.2:
+            del copy[: rng.randrange(20)]
+        rows.append((i, " ".join(copy)))
+    monkeypatch.setattr(near_copies, "HOT_PAIRS", hot)
+    docs = spark.createDataFrame(rows + edited(rng)[:60], "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in near_copies.keep_one(docs).collect())
+    assert kept == sorted(plain_kept([(r["doc_id"], r["text"]) for r in docs.collect()]))
