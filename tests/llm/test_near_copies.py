@@ -78,6 +78,6 @@ def test_many_edited_copies_of_one_text(spark, monkeypatch, hot):
             del copy[: rng.randrange(20)]
         rows.append((i, " ".join(copy)))
     monkeypatch.setattr(near_copies, "HOT_PAIRS", hot)
-    docs = spark.createDataFrame(rows + edited(rng)[:60], "doc_id long, text string")
+    docs = spark.createDataFrame(rows + [(1000 + i, t) for i, t in edited(rng)[:60]], "doc_id long, text string")
     kept = sorted(r["doc_id"] for r in near_copies.keep_one(docs).collect())
     assert kept == sorted(plain_kept([(r["doc_id"], r["text"]) for r in docs.collect()]))
