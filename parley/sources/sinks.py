@@ -2,51 +2,93 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from .files import file_system
+
 #: Rows of a report that is rendered on the driver.
 MAX_REPORT_ROWS = 10_000
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    """A task's file under its attempt's name, its name once committed, and how many lines it has."""
+
+    temporary: str
+    final: str
+    lines: int
+
+
 class _ZstdWriter(DataSourceWriter):
-    """A zstandard file for each task, under its final name only once complete: a task that runs again replaces it."""
+    """A zstandard file for each task.
 
-    def __init__(self, path: str, level: int):
-        self.path, self.level = path, level
+    A task writes under its attempt's name; the job gives the files of the attempts that count their own names at its
+    commit, and deletes the rest. Names hold the job's id, so that jobs that append never replace each other's files.
+    """
 
-    def write(self, iterator) -> WriterCommitMessage:
-        import os
+    def __init__(self, path: str, level: int, overwrite: bool):
+        self.path, self.level, self.overwrite, self.job = path.rstrip("/"), level, overwrite, uuid.uuid4().hex
 
+    def write(self, iterator) -> WriterCommitMessage:
         import zstandard
         from pyspark import TaskContext
 
-        os.makedirs(self.path, exist_ok=True)
         task = TaskContext.get()
-        name = f"{self.path}/part-{task.partitionId():05d}.jsonl.zst"
-        with open(f"{name}.{task.taskAttemptId()}", "wb") as raw, zstandard.ZstdCompressor(level=self.level).stream_writer(raw) as out:
+        fs, root = file_system(self.path)
+        fs.create_dir(f"{root}/_temporary/{self.job}", recursive=True)
+        temporary = f"{root}/_temporary/{self.job}/{task.partitionId():05d}-{task.taskAttemptId()}"
+        lines = 0
+        with fs.open_output_stream(temporary, compression=None) as raw, zstandard.ZstdCompressor(level=self.level).stream_writer(raw, closefd=False) as out:
             for row in iterator:
                 out.write((row[0] + "\n").encode())
-        os.replace(f"{name}.{task.taskAttemptId()}", name)
-        return WriterCommitMessage()
+                lines += 1
+        return _Written(temporary, f"{root}/part-{task.partitionId():05d}-{self.job}.jsonl.zst", lines)
+
+    def commit(self, messages) -> None:
+        from pyarrow.fs import FileSelector
+
+        fs, root = file_system(self.path)
+        if self.overwrite:
+            for old in fs.get_file_info(FileSelector(root, allow_not_found=True)):
+                if old.path.endswith(".jsonl.zst"):
+                    fs.delete_file(old.path)
+        for m in messages:
+            if m is not None and m.lines:
+                fs.move(m.temporary, m.final)
+        self._clear(fs, root)
+
+    def abort(self, messages) -> None:
+        self._clear(*file_system(self.path))
+
+    def _clear(self, fs, root: str) -> None:
+        from pyarrow.fs import FileSelector, FileType
+
+        if fs.get_file_info(f"{root}/_temporary/{self.job}").type != FileType.NotFound:
+            fs.delete_dir(f"{root}/_temporary/{self.job}")
+        if fs.get_file_info(f"{root}/_temporary").type != FileType.NotFound and not fs.get_file_info(FileSelector(f"{root}/_temporary")):
+            fs.delete_dir(f"{root}/_temporary")
 
 
 class ZstdLines(DataSource):
-    """SNK1: `write.format("zstd_lines")` of one text column to a folder that all executors share. Spark's own writers take no zstandard for text."""
+    """SNK1: `write.format("zstd_lines")` of one text column to a folder that all executors reach: a path, or a URI of a store that pyarrow knows. Spark's own writers take no zstandard for text."""
 
     @classmethod
     def name(cls) -> str:
         return "zstd_lines"
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _ZstdWriter(self.options["path"].removeprefix("file://"), int(self.options.get("level", 3)))
+        return _ZstdWriter(self.options["path"], int(self.options.get("level", 3)), overwrite)
 
 
-def write_zst_lines(df: DataFrame, path: str, level: int = 3) -> None:
-    """SNK1: rows as JSON lines in zstandard files."""
+def write_zst_lines(df: DataFrame, path: str, level: int = 3, mode: str = "append") -> None:
+    """SNK1: rows as JSON lines in zstandard files, beside those there (`append`) or instead of them (`overwrite`)."""
     df.sparkSession.dataSource.register(ZstdLines)
-    df.select(F.to_json(F.struct("*")).alias("value")).write.format("zstd_lines").mode("append").option("level", str(level)).save(path)
+    df.select(F.to_json(F.struct("*")).alias("value")).write.format("zstd_lines").mode(mode).option("level", str(level)).save(path)
 
 
 def write_by_community(df: DataFrame, path: str, column: str = "subreddit") -> None:
@@ -71,11 +113,16 @@ def with_digest(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.hex(F.bit_xor(h)).alias("xor"), F.sum(h.cast("decimal(20,0)")).alias("sum"))
 
 
-def latex_table(df: DataFrame, caption: str, label: str) -> str:
-    """SNK8: a small table as LaTeX; the first column left, others right."""
+def _report_rows(df: DataFrame) -> list:
     rows = df.limit(MAX_REPORT_ROWS + 1).collect()
     if len(rows) > MAX_REPORT_ROWS:
         raise ValueError("too many rows for a report")
+    return rows
+
+
+def latex_table(df: DataFrame, caption: str, label: str) -> str:
+    """SNK8: a small table as LaTeX; the first column left, others right."""
+    rows = _report_rows(df)
     escape = lambda x: "" if x is None else str(x).replace("\\", r"\textbackslash{}").replace("&", r"\&").replace("%", r"\%").replace("_", r"\_").replace("#", r"\#")
     lines = [" & ".join(escape(x) for x in r) + r" \\" for r in rows]
     head = " & ".join(escape(c) for c in df.columns) + r" \\"
@@ -86,4 +133,4 @@ def pretty_json(df: DataFrame) -> str:
     """SNK4: a small table as indented JSON."""
     import json
 
-    return json.dumps([json.loads(r) for r in df.limit(MAX_REPORT_ROWS).toJSON().collect()], indent=2, ensure_ascii=False)
+    return json.dumps([json.loads(r[0]) for r in _report_rows(df.select(F.to_json(F.struct("*"))))], indent=2, ensure_ascii=False)
