@@ -441,12 +441,6 @@ def rag_mixed(t: Tables) -> DataFrame:
     return similarity.mixed(near, 5).select("query_id", "candidate_id", "position")
 
 
-@query()
-def rag_random(t: Tables) -> DataFrame:
-    e = t.embeddings.select(F.col("vec_id").alias("id"), "label")
-    return similarity.drawn(e.where("id % 5 = 0"), e, 3, by="label")
-
-
 _VOTE = f"SELECT query_id, rule, count(*) AS votes, round(sum(score), 9) AS s, min(rank) AS f FROM ({_NEAR}) WHERE rank <= 7 GROUP BY ALL"
 _VOTED = f"SELECT query_id, arg_min(rule, (-votes, -s, f)) AS predicted FROM ({_VOTE}) GROUP BY query_id"
 

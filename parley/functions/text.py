@@ -8,13 +8,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Tokens whose presence in a name marks a bot; media hosts, extensions and content types.
+# Tokens whose presence in a name marks a bot; media hosts and extensions.
 BOT_MARKS = ("bot", "automod", "automoderator", "modteam", "-modteam", "removal", "helper", "reminder", "converter", "translator")
 GONE = ("[deleted]", "[removed]")
 VIDEO_DOMAINS = ("v.redd.it", "youtube.com", "youtu.be", "vimeo.com", "streamable.com", "twitch.tv", "clips.twitch.tv", "tiktok.com", "instagram.com", "dailymotion.com")
 BARE_IMAGE_HOSTS = ("imgur.com", "i.imgur.com", "giphy.com", "gfycat.com")
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "gif", "webp", "bmp")
-#: Answer formats, the first that matches wins.
+#: Parts of a prompt's context, and which of them need another.
+CONTEXT_FLAGS = ("submission", "media", "discussion", "user")
+CONTEXT_NEEDS = {"media": "submission"}
+_FLAGS = "struct<" + ",".join(f"include_{f}:boolean" for f in CONTEXT_FLAGS) + ">"
+#: Answer formats, the first that matches wins.
 ANSWER_FORMS = (
     r"\(([a-z])\)",
     r"\b(?:answer|choice|option)\s*[:\-]\s*\(?([a-z])\)?\b",
@@ -218,6 +222,20 @@ def posted_at(x: Column) -> Column:
     return F.replace(F.date_format(F.timestamp_seconds(x), "EEE, MMM dd, yyyy, hh:mma"), F.lit(" 0"), F.lit(" "))
 
 
+def context_flags(x: Column) -> Column:
+    """STR19: a struct of one boolean for each of CONTEXT_FLAGS, from names joined by dashes; `none` names none.
+
+    Other names, and one without the flag it depends on, are errors.
+    """
+    given = F.split(x, "-")
+    odd = F.filter(given, lambda f: ~f.isin(*CONTEXT_FLAGS, "none"))
+    has = lambda f: F.array_contains(given, f)
+    wrong = F.when(F.size(odd) > 0, F.concat(F.lit("invalid context flags: "), F.array_join(odd, ", ")))
+    for flag, needed in CONTEXT_NEEDS.items():
+        wrong = wrong.when(has(flag) & ~has(needed), F.lit(f"context flag {flag} needs {needed}"))
+    return F.when(wrong.isNull(), F.struct(*[has(f).alias(f"include_{f}") for f in CONTEXT_FLAGS])).otherwise(F.raise_error(wrong).cast(_FLAGS))
+
+
 def in_months(ym: Column, first: str, last: str) -> Column:
     """DAT2: `YYYY-MM` between two, both included."""
     return ym.between(first, last)

@@ -28,6 +28,13 @@ def match_stats(comments: DataFrame, matches: DataFrame, ambiguous: DataFrame) -
     return rows.withColumn("matched_percent", F.coalesce(F.try_divide(100.0 * F.col("matched"), F.col("total")), F.lit(0.0)))
 
 
+def match_summary(stats: DataFrame) -> DataFrame:
+    """AGG4: one row over match_stats: communities, those with matches, totals, and the shares matched and ambiguous in percent (0 of nothing)."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    rate = lambda c: F.coalesce(F.try_divide(100.0 * F.sum(c), F.sum("total")), F.lit(0.0))
+    return stats.agg(F.count("*").alias("communities"), F.count_if(F.col("matched") > 0).alias("with_matches"), total("total").alias("total"), total("matched").alias("matched"), total("ambiguous").alias("ambiguous"), rate("matched").alias("match_rate"), rate("ambiguous").alias("ambiguous_rate"))
+
+
 def rule_counts(rules: DataFrame, matches: DataFrame, *keys: str) -> DataFrame:
     """AGG3: matches of every rule, none included."""
     keys = keys or ("subreddit", "rule_index")
@@ -195,8 +202,15 @@ def ranked(rows: DataFrame, score: str, tie: str, ok: Column | None = None, into
     return numbered(rows.where(mark), order, into).unionByName(rows.where(~mark).withColumn(into, F.lit(excluded).cast("bigint")))
 
 
+def ranked_english(rows: DataFrame, score: str, tie: str, language: str = "language", into: str = "rank") -> DataFrame:
+    """WIN3: 1-based rank by score, the smallest first, among rows in exactly `en`; those in other languages or none have no rank."""
+    english = F.coalesce(F.col(language) == "en", F.lit(False))
+    some = numbered(rows.where(english), [F.asc_nulls_last(score), F.asc(tie)], into)
+    return some.unionByName(rows.where(~english).withColumn(into, F.lit(None).cast("bigint")))
+
+
 def ranked_within(rows: DataFrame, keys: list[str], order: list[Column], into: str = "rank") -> DataFrame:
-    """WIN3, WIN4, WIN7: row numbers in groups."""
+    """WIN7: row numbers in groups."""
     return rows.withColumn(into, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
 
 

@@ -85,6 +85,26 @@ def outcomes(submissions: DataFrame, fetched: DataFrame) -> DataFrame:
     return rows.select(F.col("id").alias("submission_id"), status(F.col("_wanted"), F.coalesce("files_downloaded", F.lit(0))).alias("status"), is_video().alias("is_video"), F.coalesce("files_downloaded", F.lit(0)).alias("files_downloaded"), F.coalesce("file_paths", none).alias("file_paths"), F.coalesce("errors", none).alias("errors"))
 
 
+# Content types that are taken, with the extensions they are stored under, and the largest file.
+EXTENSIONS = {"image/jpeg": ".jpg", "image/png": ".png", "image/gif": ".gif", "image/webp": ".webp", "image/bmp": ".bmp"}
+MOST_BYTES = 50 * 1024 * 1024
+
+
+def checked(answers: DataFrame) -> DataFrame:
+    """SNK12: answers (content_type, file_size, error) with success, error and extension: only known content types, and no file over MOST_BYTES."""
+    kind = F.trim(F.split_part(F.lower(F.coalesce("content_type", F.lit(""))), F.lit(";"), F.lit(1)))
+    wrong = F.when(F.col("error").isNotNull(), F.col("error")).when(~kind.isin(*EXTENSIONS), F.concat(F.lit("Invalid Content-Type: "), kind)).when(F.col("file_size") > MOST_BYTES, F.lit("File too large"))
+    known = F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv])
+    return answers.withColumns({"error": wrong, "success": wrong.isNull(), "extension": F.when(wrong.isNull(), F.try_element_at(known, kind))})
+
+
+def left_to_fetch(submissions: DataFrame, files: DataFrame) -> DataFrame:
+    """MEDIA7: submissions (submission_id, num_media) that files (submission_id, file) do not cover yet; those with as many files as they should have, and any, are skipped."""
+    have = files.groupBy("submission_id").agg(F.count_distinct("file").alias("_have"))
+    rows = submissions.join(have, "submission_id", "left")
+    return rows.where(~((F.col("num_media") > 0) & (F.coalesce("_have", F.lit(0)) >= F.col("num_media")))).drop("_have")
+
+
 def relative_path(path: Column, root: str) -> Column:
     """MEDIA7."""
     return F.regexp_replace(path, "^" + root.rstrip("/") + "/", "")

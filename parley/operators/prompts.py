@@ -31,8 +31,8 @@ def options_block(options: Column) -> Column:
 
 
 def thread_block(thread: Column, names: Column) -> Column:
-    """PRJ1: a thread root to leaf, indented by level, authors by number and mentions out."""
-    line = lambda c: F.concat(F.repeat(F.lit("  "), c["level"]), F.lit("["), user_name(names, c["author"]), F.lit("]: "), S.without_mentions(c["body"]))
+    """PRJ1: a thread root to leaf, indented by level, authors by number and mentions out; a comment without text keeps its line."""
+    line = lambda c: F.concat(F.repeat(F.lit("  "), c["level"]), F.lit("["), user_name(names, c["author"]), F.lit("]: "), S.without_mentions(F.coalesce(c["body"], F.lit(""))))
     return F.array_join(F.transform(thread, line), "\n")
 
 

@@ -51,7 +51,6 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, by: str | None =
         out = []
         for qid, scores in zip(left["qid"].to_numpy(), np.stack(left["qv"].to_numpy()) @ m.T):
             scores = np.where(ids == qid, -np.inf, scores)
-            # One more than k keeps ties at the border in the order of ids once rounded.
             best = np.lexsort((ids, -np.round(scores, 12)))[:k]
             out += [(qid, ids[i], scores[i]) for i in best if np.isfinite(scores[i])]
         return pd.DataFrame(out, columns=["query_id", "candidate_id", "score"])
@@ -74,19 +73,21 @@ def mixed(ranked: DataFrame, k: int, kind: str = "thread_type") -> DataFrame:
 
 
 def drawn(queries: DataFrame, candidates: DataFrame, k: int, by: str | None = None) -> DataFrame:
-    """RAG2, random: k candidates of each query's bucket, itself left out, in a reproducible order of digests of both ids.
+    """RAG2, random: for each query k candidates of its bucket, itself left out, drawn without replacement by digests of its own id.
 
-    Each candidate stands at its digest's place in its bucket; a query takes the k that follow its own, around the end. So a query reads k rows, not its bucket.
+    Candidates are numbered within their bucket; a query's digests name places in it, the same one once, and where a small bucket gives too few different ones, those that follow the first. So draws of two queries have nothing to do with each other, and a query reads k + 1 rows, not its bucket.
     """
     bucket = F.col(by).cast("string") if by else F.lit("")
-    place = lambda c: F.xxhash64(F.lit("drawn"), c)
-    c = candidates.select(F.col("id").alias("cid"), bucket.alias("bucket"), place(F.col("id")).alias("_p"))
+    number = lambda *parts: F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 15), 16, 10).cast("bigint")
+    c = candidates.select(F.col("id").alias("cid"), bucket.alias("bucket"), F.md5(F.concat(F.lit("drawn:"), F.col("id").cast("string"))).alias("_p"))
     c = numbered(c, [F.asc("bucket"), F.asc("_p"), F.asc("cid")], "_no")
     n = c.groupBy("bucket").agg(F.count("*").alias("_n"), F.min("_no").alias("_first"))
     c = c.join(n.select("bucket", "_first"), "bucket").withColumn("at", F.col("_no") - F.col("_first"))
     q = queries.select(F.col("id").alias("qid"), bucket.alias("bucket")).join(n, "bucket")
-    start = F.pmod(F.xxhash64(F.lit("start"), "qid"), F.col("_n"))
-    q = q.withColumn("step", F.explode(F.sequence(F.lit(0), F.least(F.lit(k), F.col("_n") - 1).cast("int")))).withColumn("at", F.pmod(start + F.col("step"), F.col("_n")))
+    qid = F.col("qid").cast("string")
+    places = F.transform(F.sequence(F.lit(0), F.lit(3 * k + 15)), lambda r: number(qid, r.cast("string")) % F.col("_n"))
+    following = F.transform(F.sequence(F.lit(0), F.lit(k)), lambda i: (number(qid, F.lit("0")) + i) % F.col("_n"))
+    q = q.select("qid", "bucket", F.posexplode(F.slice(F.array_distinct(F.concat(places, following)), 1, k + 1)).alias("step", "at"))
     rows = q.join(c, ["bucket", "at"]).where("qid <> cid")
     own = Window.partitionBy("qid").orderBy("step")
     return rows.select(F.col("qid").alias("query_id"), F.col("cid").alias("candidate_id"), F.lit(0.0).alias("score"), F.row_number().over(own).cast("bigint").alias("rank")).where(F.col("rank") <= k)
@@ -118,6 +119,30 @@ def provenance(selected: DataFrame) -> DataFrame:
     return selected.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "candidate_id", "score"))), lambda e: F.struct(e["candidate_id"].alias("target_key"), e["score"].alias("score"))).alias("examples"))
 
 
+def lookup(pairs: DataFrame, renderable_only: bool = False) -> DataFrame:
+    """RAG4: targets of pairs without media, by target_key; for random retrieval only those whose last comment can be shown."""
+    from .filters import pair_has_media, renderable
+
+    rows = targets(pairs.where(~pair_has_media()))
+    return rows.where(renderable("thread")) if renderable_only else rows
+
+
+def prepared(queries: DataFrame, selected: DataFrame, split: str, source_split: str, artifact: dict[str, str] | None = None, traces: DataFrame | None = None) -> DataFrame:
+    """RAG3: (id, examples) of every query, empty where nothing was selected for it.
+
+    artifact: query_split and candidate_split of a stored ranking, which must be those asked for. traces: (target_key, trace), attached where there is one.
+    """
+    for name, wanted in (("query_split", split), ("candidate_split", source_split)):
+        if artifact is not None and artifact.get(name) != wanted:
+            raise ValueError(f"{name} of the ranking is {artifact.get(name)}, not {wanted}")
+    found = selected if traces is None else selected.join(traces.select(F.col("target_key").alias("candidate_id"), "trace"), "candidate_id", "left")
+    if traces is None:
+        return examples(queries, found)
+    entry = F.struct("rank", F.col("candidate_id").alias("target_key"), "score", "trace")
+    own = found.groupBy(F.col("query_id").alias("id")).agg(F.array_sort(F.collect_list(entry)).alias("examples"))
+    return queries.join(own, "id", "left").withColumn("examples", F.coalesce("examples", F.array().cast(own.schema["examples"].dataType)))
+
+
 def examples(queries: DataFrame, selected: DataFrame) -> DataFrame:
     """RAG3: each query with its examples, an empty array where there is none."""
     none = F.from_json(F.lit("[]"), F.lit(f"array<struct<target_key:{selected.schema['candidate_id'].dataType.simpleString()},score:double>>"))

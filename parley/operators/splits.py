@@ -84,6 +84,17 @@ def with_labels(pairs: DataFrame) -> DataFrame:
     return out
 
 
+def assembled(pairs: DataFrame, submissions: DataFrame, files: DataFrame) -> DataFrame:
+    """SPL2: a split's pairs of submissions that are there, with options, correct labels, and the submission's media files in order.
+
+    files: (file); a file is a submission's if the submission's id and an underscore begin its name.
+    """
+    known = submissions.select("submission_id").distinct()
+    own = files.select(F.split_part("file", F.lit("_"), F.lit(1)).alias("submission_id"), "file").groupBy("submission_id").agg(F.array_sort(F.collect_set("file")).alias("media_files"))
+    rows = with_labels(pairs.join(known, "submission_id", "left_semi")).join(own, "submission_id", "left")
+    return rows.withColumn("media_files", F.coalesce("media_files", F.array().cast("array<string>"))).withColumn("num_media", F.size("media_files"))
+
+
 def stratified(pool: DataFrame, total: int, seed: int, key: str = "key") -> DataFrame:
     """SMP1: uniform targets over clusters but `Other`, no community twice, then filled from `Other`.
 

@@ -118,6 +118,17 @@ def result_folders(files: DataFrame, root: str) -> DataFrame:
     return rows.groupBy("model", "split", "context", "phrase", "run_suffix").agg(F.max_by("path", "file").alias("path"))
 
 
+def community_maps(entries: DataFrame, order: str = "seq") -> DataFrame:
+    """LOD2: rules, language, title and description of each community by lower-case name, of repeated ones the last; nameless entries are left out.
+
+    entries: (subreddit struct<display_name, lang, title, public_description>, rules array, and order).
+    """
+    own = F.col("subreddit")
+    name = F.lower(own["display_name"])
+    r = F.struct(F.coalesce("rules", F.array()).alias("rules"), F.coalesce(own["lang"], F.lit("unknown")).alias("language"), F.coalesce(own["title"], F.lit("")).alias("title"), F.coalesce(own["public_description"], F.lit("")).alias("description"))
+    return entries.where(F.coalesce(name, F.lit("")) != "").groupBy(name.alias("subreddit")).agg(F.max_by(r, order).alias("r")).select("subreddit", "r.*")
+
+
 def load_comments(lines: DataFrame) -> DataFrame:
     """LOD1: valid comments with the community's name normalised and ids without prefixes."""
     rows = parse_json(lines, COMMENT).where(~F.col("malformed") & has_keys(F.col("raw"), REQUIRED_COMMENT))

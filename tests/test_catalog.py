@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from parley import catalog
+from parley import catalog, catalog_more
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
