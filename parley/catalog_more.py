@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import Tables, query
+from .catalog import _DEPTH, Tables, _comments, query
 from .functions import numbers as N
 from .functions import text as S
 from .operators import aggregates as A
@@ -17,7 +17,7 @@ from .operators import joins as J
 from .operators import media as M
 from .operators import models
 from .operators import prompts as R
-from .operators import reports, similarity, splits
+from .operators import reports, similarity, splits, trees
 from .operators import validation as V
 from .plans import construct
 from .sources import archives, sinks, tables
@@ -554,6 +554,24 @@ def media_relative(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", M.relative_path(path, "/data/media/").alias("path"))
 
 
+# Trees
+
+_FLAGGED = f"""{_DEPTH}, i AS (SELECT event_id AS c, CASE WHEN event_type = 'error' THEN 'removed_or_deleted' WHEN event_id % 17 = 0 THEN 'has_media' WHEN event_id % 19 = 0 THEN 'moderator_in_thread' END AS issue FROM events),
+w AS (SELECT c, unnest(path) AS a, generate_subscripts(path, 1) AS k FROM d), f AS (SELECT w.c, arg_max(i.issue, w.k) AS above FROM w JOIN i ON i.c = w.a WHERE w.a <> w.c AND i.issue IS NOT NULL GROUP BY w.c),
+m AS (SELECT DISTINCT p AS c FROM e WHERE c % 19 = 0 AND p IS NOT NULL)
+SELECT CAST(d.c AS VARCHAR) AS comment_id, coalesce(i.issue, CASE WHEN d.c % 5 = 0 THEN 'edited_comment' END, f.above) AS violating_issue, coalesce(i.issue, CASE WHEN m.c IS NOT NULL THEN 'mod_response' END, f.above) AS compliant_issue, CAST(len(d.path) AS BIGINT) AS length
+FROM d JOIN i ON i.c = d.c LEFT JOIN f ON f.c = d.c LEFT JOIN m ON m.c = d.c"""
+
+
+@query(_FLAGGED)
+def tree_issues(t: Tables) -> DataFrame:
+    """FLT2, FLT12, TREE4: removed, media, moderators', edited and answered comments, over whole threads."""
+    k = F.col("id").cast("bigint")
+    rows = _comments(t).withColumns({"distinguished": F.when(k % 19 == 0, "moderator"), "media": F.when(k % 17 == 0, '{"a": 1}'), "edited": F.when(k % 5 == 0, "1500000000.0").otherwise("false")})
+    found = trees.threads(rows, trees.depths(trees.edges(rows)))
+    return found.select("comment_id", "violating_issue", "compliant_issue", F.col("length").cast("bigint").alias("length"))
+
+
 # Splits
 
 

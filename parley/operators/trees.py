@@ -31,56 +31,41 @@ def edges(comments: DataFrame) -> DataFrame:
 def depths(tree: DataFrame) -> DataFrame:
     """TREE2: edges with depth, 0 for roots. Orphans and cycles reach no root and have none: they are left out.
 
-    Each node points `far` steps up; nodes whose pointer meets a settled one settle. Pointers double every round.
+    Each open node points `far` steps up and settles when its pointer meets a settled one; pointers double every round. A round writes the nodes that were open in it and no other.
     """
+    columns = ["submission_id", "comment_id", "parent_id", "is_root", "depth", "up", "far"]
     now = staged(tree.select("submission_id", "comment_id", "parent_id", "is_root", F.when(F.col("is_root"), F.lit(0)).alias("depth"), F.col("parent_id").alias("up"), F.lit(1).alias("far")), "depths")
-    left = now.where("depth IS NULL").count()
+    settled = now.where("depth IS NOT NULL")
     # No thread is longer than its submission: pointers that reach farther go in circles.
     longest = now.groupBy("submission_id").count().agg(F.max("count")).first()[0] or 0
     for i in range(MOST_ROUNDS):
-        if not left or 1 << i > longest:
+        open_ = now.where("depth IS NULL")
+        if 1 << i > longest or open_.isEmpty():
             break
-        above = now.select("submission_id", F.col("comment_id").alias("up"), F.col("depth").alias("_d"), F.col("up").alias("_up"), F.col("far").alias("_far"))
-        settled, open_ = now.where("depth IS NOT NULL"), now.where("depth IS NULL")
+        above = settled.unionByName(open_).select("submission_id", F.col("comment_id").alias("up"), F.col("depth").alias("_d"), F.col("up").alias("_up"), F.col("far").alias("_far"))
         met = open_.join(above, ["submission_id", "up"])  # a pointer to nothing never meets a root
-        next_ = met.select("submission_id", "comment_id", "parent_id", "is_root", (F.col("_d") + F.col("far")).alias("depth"), F.col("_up").alias("up"), (F.col("far") + F.col("_far")).alias("far"))
-        now = staged(settled.select(*next_.columns).unionByName(next_), "depths")
-        left = now.where("depth IS NULL").count()
-    return now.where("depth IS NOT NULL").select("submission_id", "comment_id", "parent_id", "is_root", "depth")
-
-
-def depths_by_sql(tree: DataFrame, levels: int = 90) -> DataFrame:
-    """TREE2 as a recursive query, for shallow trees."""
-    tree.createOrReplaceTempView("_parley_edges")
-    return tree.sparkSession.sql(
-        f"""WITH RECURSIVE d(submission_id, comment_id, depth) MAX RECURSION LEVEL {levels} AS (
-              SELECT submission_id, comment_id, 0 FROM _parley_edges WHERE is_root
-              UNION ALL
-              SELECT e.submission_id, e.comment_id, d.depth + 1 FROM _parley_edges e JOIN d ON e.submission_id = d.submission_id AND e.parent_id = d.comment_id)
-            SELECT * FROM d"""
-    )
+        now = staged(met.select("submission_id", "comment_id", "parent_id", "is_root", (F.col("_d") + F.col("far")).alias("depth"), F.col("_up").alias("up"), (F.col("far") + F.col("_far")).alias("far")).select(*columns), "depths")
+        settled = settled.unionByName(now.where("depth IS NOT NULL"))
+    return settled.select("submission_id", "comment_id", "parent_id", "is_root", "depth")
 
 
-def ancestors(tree: DataFrame) -> DataFrame:
-    """(submission_id, comment_id, ancestor_id, steps) of each comment, itself at 0, as far as parents are known; a parent seen before ends the walk.
+def walked(nodes: DataFrame) -> DataFrame:
+    """(submission_id, comment_id, ids, issue) of nodes (submission_id, comment_id, parent_id, issue): the ids from the comment to its root, or as far as parents are known, and the first issue on that way.
 
-    As many rows as comments times depth.
+    Pointers double every round, and what lies between is joined on: a round writes the nodes that have not come to their root.
     """
-    now = tree.select("submission_id", "comment_id", F.col("comment_id").alias("ancestor_id"), F.lit(0).alias("steps"))
-    known = tree.select("submission_id", F.col("comment_id").alias("_id"), F.col("parent_id").alias("_up"))
-    reach = tree.where("parent_id IS NOT NULL").join(known.select("submission_id", F.col("_id").alias("parent_id")), ["submission_id", "parent_id"]).select("submission_id", "comment_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("steps"))
-    all_, step = staged(now.unionByName(reach), "ancestors"), staged(reach, "reach")
+    now = staged(nodes.select("submission_id", "comment_id", F.col("parent_id").alias("up"), F.array("comment_id").alias("ids"), "issue"), "walked")
+    done = now.where("up IS NULL")
     for _ in range(MOST_ROUNDS):
-        # What a comment's farthest known ancestors know is added: distances double.
-        further = all_.where("steps > 0").select("submission_id", F.col("comment_id").alias("ancestor_id"), F.col("ancestor_id").alias("_a"), F.col("steps").alias("_s"))
-        last = all_.groupBy("submission_id", "comment_id").agg(F.max_by("ancestor_id", "steps").alias("ancestor_id"), F.max("steps").alias("steps"))
-        new = last.where("steps > 0").join(further, ["submission_id", "ancestor_id"]).where("_a <> comment_id").select("submission_id", "comment_id", F.col("_a").alias("ancestor_id"), (F.col("steps") + F.col("_s")).alias("steps"))
-        new = new.join(all_.select("submission_id", "comment_id", "ancestor_id"), ["submission_id", "comment_id", "ancestor_id"], "left_anti")
-        new = staged(new.groupBy("submission_id", "comment_id", "ancestor_id").agg(F.min("steps").alias("steps")), "reach")
-        if new.isEmpty():
+        open_ = now.where("up IS NOT NULL")
+        if open_.isEmpty():
             break
-        all_ = staged(all_.unionByName(new), "ancestors")
-    return all_
+        above = done.unionByName(open_).select("submission_id", F.col("comment_id").alias("up"), F.col("up").alias("_up"), F.col("ids").alias("_ids"), F.col("issue").alias("_issue"))
+        met = open_.join(above, ["submission_id", "up"], "left")
+        ids = F.when(F.col("_ids").isNull(), F.col("ids")).otherwise(F.concat("ids", "_ids"))
+        now = staged(met.select("submission_id", "comment_id", F.col("_up").alias("up"), ids.alias("ids"), F.coalesce("issue", "_issue").alias("issue")), "walked")
+        done = done.unionByName(now.where("up IS NULL"))
+    return done.select("submission_id", "comment_id", "ids", "issue")
 
 
 def has_media() -> Column:
@@ -105,18 +90,21 @@ def comment_flags(comments: DataFrame, tree: DataFrame) -> DataFrame:
 
 def threads(comments: DataFrame, tree: DataFrame) -> DataFrame:
     """TREE4: each comment's thread root to leaf (ids, with level), its length, and the first issue met from leaf to root in either role."""
+    keys = ["submission_id", "comment_id"]
     flags = comment_flags(comments, tree)
-    up = ancestors(tree).join(flags.select("submission_id", F.col("comment_id").alias("ancestor_id"), "issue", "edited_leaf", "answered_leaf"), ["submission_id", "ancestor_id"])
+    nodes = staged(tree.select(*keys, "parent_id").join(flags, keys), "threads")
+    found = walked(nodes)
     # At the leaf its own three checks come before the role's; then its ancestors'.
-    leaf = F.col("steps") == 0
-    as_violating = F.coalesce("issue", F.when(leaf & F.col("edited_leaf"), "edited_comment"))
-    as_compliant = F.coalesce("issue", F.when(leaf & F.col("answered_leaf"), "mod_response"))
-    rows = up.groupBy("submission_id", "comment_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct((-F.col("steps")).alias("k"), F.col("ancestor_id").alias("id")))), lambda x, i: F.struct(i.alias("level"), x["id"].alias("id"))).alias("thread"),
-        F.min_by(as_violating, F.when(as_violating.isNotNull(), F.col("steps"))).alias("violating_issue"),
-        F.min_by(as_compliant, F.when(as_compliant.isNotNull(), F.col("steps"))).alias("compliant_issue"),
+    above = found.select("submission_id", F.col("comment_id").alias("parent_id"), F.col("issue").alias("_above"))
+    rows = nodes.join(found.select(*keys, "ids"), keys).join(above, ["submission_id", "parent_id"], "left")
+    return rows.select(
+        *keys,
+        F.transform(F.reverse("ids"), lambda x, i: F.struct(i.alias("level"), x.alias("id"))).alias("thread"),
+        F.coalesce("issue", F.when(F.col("edited_leaf"), "edited_comment"), "_above").alias("violating_issue"),
+        F.coalesce("issue", F.when(F.col("answered_leaf"), "mod_response"), "_above").alias("compliant_issue"),
+        "score",
+        F.size("ids").alias("length"),
     )
-    return rows.join(flags.select("submission_id", "comment_id", "score"), ["submission_id", "comment_id"]).withColumn("length", F.size("thread"))
 
 
 def candidates(violating: DataFrame, tree: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ import pytest
 
 from parley import catalog, catalog_more
 
+assert catalog_more  # it registers its queries in catalog
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -38,9 +40,11 @@ def test_same_as_sql(spark, duck, smallest, name):
     assert rows_of(found) == rows_of(wanted)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
-def test_runs(spark, smallest, name):
-    assert catalog.QUERIES[name](spark, smallest).count() >= 0
+def test_queries_without_sql_are_tested_in_python():
+    """In test_plain.py and test_whole_jobs.py."""
+    plain = {"str_clean_entities", "spl_assign_seeded", "smp_stratified", "prj_thread_prompt", "tree_greedy_pairs", "clu_kmeans_quality"}
+    whole = {"clu_grid_search", "sim_matrix_all", "sim_match_threshold_all", "bst_ci"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == plain | whole
 
 
 def test_plans_have_no_nested_loops(spark, smallest):

@@ -98,12 +98,6 @@ def test_trees_and_threads(spark, seed):
                 assert [c["id"] for c in found[r[0], r[1]]["thread"]] == path
 
 
-def test_recursive_depths_agree(spark):
-    tree = trees.edges(spark.createDataFrame(forest(3), COMMENT))
-    same = lambda df: {(r["submission_id"], r["comment_id"], r["depth"]) for r in df.collect()}
-    assert same(trees.depths(tree)) == same(trees.depths_by_sql(tree))
-
-
 def test_greedy_takes_each_alternative_once(spark):
     ranked = spark.createDataFrame([("s", "m1", 1, "a"), ("s", "m1", 2, "b"), ("s", "m2", 1, "a"), ("s", "m2", 2, "b"), ("s", "m3", 1, "a"), ("t", "m4", 1, "a")], "submission_id string, mod_comment_id string, rank bigint, alt_id string")
     assert {tuple(r) for r in trees.greedy(ranked).collect()} == {("s", "m1", "a"), ("s", "m2", "b"), ("t", "m4", "a")}
