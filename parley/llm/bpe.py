@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -31,6 +32,10 @@ BATCH_BYTES = 4 << 20
 CACHE_WORDS = 600_000
 #: Words longer than this are not kept in the cache.
 CACHE_WORD_CHARS = 256
+#: Words of so many bytes are merged without a heap.
+SHORT = 24
+#: Where a text may be cut: a single space between other characters.
+BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: Fixed value: the pattern that byte-level BPE splits text by before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -62,7 +67,7 @@ class Vocabulary:
             self.bytes[i] = token.encode()
         self.ids = {raw(token): i for token, i in ids.items() if token not in self.special}
         self.longest = max(map(len, self.ids))
-        self.by_byte = np.array([self.ids[bytes([b])] for b in range(256)])
+        self.byte_list = [self.ids[bytes([b])] for b in range(256)]
         merges = [(m if isinstance(m, list) else m.split(" ")) for m in spec["model"]["merges"]]
         left, right = (np.array([ids[m[k]] for m in merges], np.int64) for k in (0, 1))
         made = np.array([ids["".join(m)] for m in merges], np.int64)
@@ -86,9 +91,31 @@ class Vocabulary:
         self.sound = {t: i for t, i in self.ids.items() if self.whole[i]}
         self.cache: dict[str, str] = {}
 
+    def merge_short(self, word: bytes) -> list[int]:
+        """merge() by looking at all pairs again after each merge: the quicker way for few bytes."""
+        by_byte, get = self.byte_list, self.ranks.get
+        ids = [by_byte[b] for b in word]
+        made = list(map(get, zip(ids, ids[1:], strict=False)))
+        while True:
+            best, at = None, -1
+            for i, c in enumerate(made):
+                if c is not None and (best is None or c < best):
+                    best, at = c, i
+            if best is None:
+                return ids
+            ids[at : at + 2] = [best]
+            # The pairs beside it are new ones.
+            del made[at]
+            if at < len(made):
+                made[at] = get((best, ids[at + 1]))
+            if at:
+                made[at - 1] = get((ids[at - 1], best))
+
     def merge(self, word: bytes) -> list[int]:
         """Exact merging: the lowest merge first, leftmost among equals; n log n."""
-        ids = [int(self.by_byte[b]) for b in word]
+        if len(word) <= SHORT:
+            return self.merge_short(word)
+        ids = [self.byte_list[b] for b in word]
         before, after = list(range(-1, len(ids) - 1)), list(range(1, len(ids) + 1))
         ranks, heap = self.ranks, []
         for i in range(len(ids) - 1):
@@ -162,15 +189,8 @@ class Vocabulary:
 
     def chunks(self, text: str) -> list[str]:
         """Parts that are split alike alone or in the text: cut before single spaces between other characters."""
-        parts = text.split(" ")
-        out = parts[:1]
-        for part in parts[1:]:
-            last = out[-1]
-            if part and last and not part[0].isspace() and not last[-1].isspace():
-                out.append(" " + part)
-            else:
-                out[-1] = f"{last} {part}"
-        return out
+        first, *parts = BETWEEN.split(text)
+        return [first, *map(" ".__add__, parts)]
 
     def pieces(self, text: str) -> list[str]:
         """The chunks of a text, special strings as chunks of their own."""
@@ -233,17 +253,17 @@ def bpe_round_trip(docs: DataFrame, vocabulary_path: str, carry: tuple[str, ...]
     def run(batches):
         vocab = vocabulary(shipped.value)
         for batch in text_batches(batches, "text", batch_bytes):
-            counts, digests, backs, lists, texts = [], [], [], [], []
-            for joined in vocab.encode_texts(batch.column("text").to_pylist()):
+            given = batch.column("text").to_pylist()
+            # Copies within a batch are encoded once.
+            own = list(dict.fromkeys(given))
+            by_text = {}
+            for text_, joined in zip(own, vocab.encode_texts(own), strict=True):
                 ids = parse_ids(joined)
                 back = vocab.decode(ids)
-                counts.append(len(ids))
-                digests.append(hashlib.sha256(joined.encode()).hexdigest())
-                backs.append(hashlib.sha256(back.encode()).hexdigest())
-                if with_ids:
-                    lists.append(ids.astype(np.int32))
-                    texts.append(back)
-            more = [pa.array(lists, pa.list_(pa.int32())), pa.array(texts, pa.string())] if with_ids else []
+                digests_ = hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
+                by_text[text_] = (len(ids), *digests_, *((ids.astype(np.int32), back) if with_ids else ()))
+            counts, digests, backs, *rest = zip(*map(by_text.__getitem__, given), strict=True)
+            more = [pa.array(rest[0], pa.list_(pa.int32())), pa.array(rest[1], pa.string())] if with_ids else []
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(backs, pa.string()), *more], names=[*names, "n_tokens", "ids_sha256", "decoded_sha256", *["token_ids", "decoded"][: len(more)]])
 
     schema = T.StructType([T.StructField(c, taken.schema[c].dataType) for c in names] + [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())] + ([T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())] if with_ids else []))

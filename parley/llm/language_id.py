@@ -165,7 +165,11 @@ def identify(rows: DataFrame, dictionaries: list[tuple[str, bytes]], text: str,
 
     def run(batches):
         for batch in text_batches(batches, text, BATCH_BYTES):
-            found = classify(batch.column(text).to_pylist(), shipped.value, level, min_margin)
+            texts = batch.column(text).to_pylist()
+            # Copies within a batch are compressed once.
+            own = list(dict.fromkeys(texts))
+            by_text = dict(zip(own, classify(own, shipped.value, level, min_margin), strict=True))
+            found = [by_text[t] for t in texts]
             more = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds.values())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *kinds])
 
