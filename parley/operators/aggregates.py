@@ -10,6 +10,10 @@ from ..staging import staged
 from .joins import cluster_name
 
 
+#: Items that in_buckets deals out.
+MOST_ITEMS = 1_000_000
+
+
 def per_key(rows: DataFrame, *keys: str) -> DataFrame:
     """AGG1."""
     return rows.groupBy(*keys).agg(F.count("*").alias("n"))
@@ -239,7 +243,7 @@ def renumbered(clusters: DataFrame, cluster_id: str = "cluster_id") -> DataFrame
 
 
 def in_buckets(items: DataFrame, key: str, size: str, buckets: int) -> DataFrame:
-    """SRT1: each item's bucket, the largest first to the least loaded. Order-dependent over all items: for lists of files or communities, which one task holds."""
+    """SRT1: each item's bucket, the largest first to the least loaded. Order-dependent over all items: for lists of files or communities, which one task holds. More than MOST_ITEMS raise."""
     import heapq
 
     import pandas as pd
@@ -253,5 +257,7 @@ def in_buckets(items: DataFrame, key: str, size: str, buckets: int) -> DataFrame
             heapq.heappush(loads, (load + s, b))
         return pd.DataFrame(out, columns=[key, size, "bucket"])
 
+    if items.limit(MOST_ITEMS + 1).count() > MOST_ITEMS:
+        raise ValueError(f"more than {MOST_ITEMS} items for one task")
     kinds = {f.name: f.dataType.simpleString() for f in items.schema.fields}
     return items.select(key, size).groupBy(F.lit("all")).applyInPandas(run, f"{key} {kinds[key]}, {size} {kinds[size]}, bucket int")

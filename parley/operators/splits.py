@@ -12,6 +12,8 @@ from .aggregates import numbered_within
 NO_RULE = "No rules broken"
 #: Bootstrap: replicates, seed and level.
 REPLICATES, SEED, LEVEL = 100_000, 42, 0.95
+#: Cells of groups and scores that are drawn over.
+MOST_CELLS = 100_000
 #: Replicates that one task draws together.
 CHUNK = 500
 
@@ -59,7 +61,7 @@ def assigned(pairs: DataFrame, by: str, key: str, rng: str = "sha2") -> DataFram
 
 
 def _shuffled(pairs: DataFrame, by: str, key: str) -> DataFrame:
-    """Places of the keys of each group in its seeded shuffle. A group's keys are held together, no other column is."""
+    """Places of the keys of each group in its seeded shuffle. A group's keys are held together in one task, no other column is: for groups of up to some millions; `sha2` has no such bound."""
     import random
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
@@ -140,7 +142,11 @@ def bootstrap(scores: DataFrame, groups: tuple[str, ...] = (), replicates: int =
     A replicate draws as many rows as there are, with replacement. What it needs of a group is how many of its rows it drew with each pair of scores: rows are counted in cells of (groups, scores) first, and a replicate is a multinomial draw over cells, which has the distribution that drawing rows has and needs memory for cells, not rows. Chunks of replicates are seeded apart, so they run anywhere in any order.
     """
     import numpy as np
-    cells = scores.groupBy(*groups, "violating", "compliant").agg(F.count("*").alias("n")).orderBy(*groups, "violating", "compliant").toPandas()
+
+    counted = scores.groupBy(*groups, "violating", "compliant").agg(F.count("*").alias("n"))
+    cells = counted.limit(MOST_CELLS + 1).toPandas().sort_values([*groups, "violating", "compliant"], ignore_index=True)
+    if len(cells) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} cells of groups and scores: scores must be of few values")
     spark = scores.sparkSession
     if cells.empty:
         return spark.createDataFrame([], "grouping string, value string, low double, high double")

@@ -1,7 +1,8 @@
 """Streams of comments: an extension beyond batch, for archives that arrive file by file.
 
-A submission is emitted once all the lines expected of it were seen; state is a counter and
-the ids seen, not the texts.
+A submission is emitted once as many different ids as are expected of it were seen; state
+is the ids, not the texts. A line seen twice counts once, and one that comes after its
+submission was emitted opens nothing anew until the submission has been quiet for long.
 """
 
 from __future__ import annotations
@@ -18,30 +19,29 @@ def comment_stream(spark: SparkSession, folder: str, files_a_batch: int = 16) ->
 
 
 def completed(stream: DataFrame, expected: DataFrame, minutes: int = 60) -> DataFrame:
-    """(submission_id, n): submissions as they become complete. expected: a static table (submission_id, expected). A key without news for so long is given up and emitted as it stands."""
+    """(submission_id, n, complete): submissions as they become complete. expected: a static table (submission_id, expected). A key without news for so long is given up and emitted as it stands."""
     import pandas as pd
 
     rows = stream.join(expected, "submission_id").select("submission_id", "id", "expected")
 
     def run(key, frames, state):
+        seen, done = (set(state.get[0]), state.get[1]) if state.exists else (set(), False)
         if state.hasTimedOut:
-            n = state.get[0]
             state.remove()
-            yield pd.DataFrame({"submission_id": [key[0]], "n": [n], "complete": [False]})
+            if not done:
+                yield pd.DataFrame({"submission_id": [key[0]], "n": [len(seen)], "complete": [False]})
             return
-        n, want = (state.get[0] if state.exists else 0), 0
+        want = 0
         for df in frames:
-            n += len(df)
+            seen |= set(df["id"])
             want = int(df["expected"].iloc[0])
-        if n >= want:
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"submission_id": [key[0]], "n": [n], "complete": [True]})
-        else:
-            state.update((n,))
-            state.setTimeoutDuration(minutes * 60_000)
-
-    return rows.groupBy("submission_id").applyInPandasWithState(run, "submission_id string, n long, complete boolean", "n long", "append", "ProcessingTimeTimeout")
+        now = not done and len(seen) >= want
+        state.update(([] if done or now else sorted(seen), done or now))
+        state.setTimeoutDuration(minutes * 60_000)
+        if now:
+            yield pd.DataFrame({"submission_id": [key[0]], "n": [len(seen)], "complete": [True]})
+
+    return rows.groupBy("submission_id").applyInPandasWithState(run, "submission_id string, n long, complete boolean", "ids array<string>, done boolean", "append", "ProcessingTimeTimeout")
 
 
 def counts(stream: DataFrame, seconds: str = "created_utc", late: str = "1 hour", window: str = "1 day") -> DataFrame:
