@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 from .common import quoted, read_shipped, text_batches
 
 BATCH_BYTES = 4 << 20
-#: Entries of a worker's word cache; at the bound it starts anew. Results do not depend on it.
-CACHE_WORDS = 600_000
+#: Entries of a worker's word cache, about 300 MB; at the bound it starts anew. Results do not depend on it.
+CACHE_WORDS = 1_500_000
 #: Words longer than this are not kept in the cache.
 CACHE_WORD_CHARS = 256
 #: Words of so many bytes are merged without a heap.
