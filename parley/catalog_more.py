@@ -51,12 +51,12 @@ def src_zst_lines(t: Tables) -> DataFrame:
 _LINES = ('{"id": 1, "v": "x"}', '{"id": 2', "", '{"id": null, "v": "y"}', "not json", '{"v": "z"}')
 
 
-@query(f"SELECT event_id, CASE event_id % 6 WHEN 0 THEN 1 END::BIGINT AS id, CASE event_id % 6 WHEN 0 THEN 'x' WHEN 3 THEN 'y' WHEN 5 THEN 'z' END AS v, event_id % 6 IN (1, 4) AS malformed FROM events WHERE trim({_pick_sql('event_id', *_LINES)}) <> ''")
+@query(f"SELECT event_id, CASE event_id % 6 WHEN 0 THEN 1 ELSE -1 END::BIGINT AS id, CASE event_id % 6 WHEN 0 THEN 'x' WHEN 3 THEN 'y' WHEN 5 THEN 'z' END AS v, event_id % 6 IN (1, 4) AS malformed FROM events WHERE trim({_pick_sql('event_id', *_LINES)}) <> ''")
 def src_malformed_lines(t: Tables) -> DataFrame:
     """FLT23, JSN1."""
     lines = t.events.select(_pick(F.col("event_id"), *_LINES).alias("value"), F.lit("").alias("path"), F.col("event_id").alias("seq")).where(F.trim("value") != "")
     rows = tables.parse_json(lines, "id bigint, v string")
-    return rows.select(F.col("seq").alias("event_id"), F.when(~F.col("malformed"), F.col("id")).alias("id"), F.when(~F.col("malformed"), F.col("v")).alias("v"), "malformed")
+    return rows.select(F.col("seq").alias("event_id"), F.coalesce(F.when(~F.col("malformed"), F.col("id")), F.lit(-1)).alias("id"), F.when(~F.col("malformed"), F.col("v")).alias("v"), "malformed")
 
 
 @query("SELECT p_partkey, p_name, CAST(p_size AS BIGINT) AS p_size, CASE p_partkey % 3 WHEN 0 THEN 'None' WHEN 1 THEN 'NA' ELSE 'a \"b\"' END AS rule FROM part")
@@ -360,12 +360,12 @@ def jon_traces(t: Tables) -> DataFrame:
     return J.with_traces(rows, traces).select("event_id", F.col("trace.text").alias("trace"))
 
 
-@query("WITH a AS (SELECT o_custkey AS form, o_orderkey AS l, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT o_custkey AS form, o_orderkey AS r, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders WHERE o_orderstatus = 'O') SELECT coalesce(a.form, b.form) AS form, coalesce(a.place, b.place) AS place, l, r FROM a FULL JOIN b ON a.form = b.form AND a.place = b.place")
+@query("WITH a AS (SELECT o_custkey AS form, o_orderkey AS l, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT o_custkey AS form, o_orderkey AS r, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders WHERE o_orderstatus = 'O') SELECT coalesce(a.form, b.form) AS form, coalesce(a.place, b.place) AS place, coalesce(l, -1) AS l, coalesce(r, -1) AS r FROM a FULL JOIN b ON a.form = b.form AND a.place = b.place")
 def jon_by_position(t: Tables) -> DataFrame:
     """JON13."""
     own = lambda s: t.orders.where(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("form"), "o_orderkey")
     found = J.by_position(own("F"), own("O"), "form", "o_orderkey")
-    return found.select("form", F.col("place").cast("bigint").alias("place"), F.col("left.o_orderkey").alias("l"), F.col("right.o_orderkey").alias("r"))
+    return found.select("form", F.col("place").cast("bigint").alias("place"), F.coalesce("left.o_orderkey", F.lit(-1)).alias("l"), F.coalesce("right.o_orderkey", F.lit(-1)).alias("r"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1 AND l_returnflag <> 'N')")
@@ -441,10 +441,10 @@ def agg_interval_widths(t: Tables) -> DataFrame:
     return found.withColumn("avg_half", F.round("avg_half", 9))
 
 
-@query("SELECT doc_id, CASE WHEN lang = 'en' THEN row_number() OVER (PARTITION BY lang = 'en' ORDER BY n_chars NULLS LAST, doc_id) END AS rank FROM (SELECT doc_id, any_value(lang) AS lang, any_value(n_chars) AS n_chars FROM documents GROUP BY doc_id)")
+@query("SELECT doc_id, CASE WHEN lang = 'en' THEN CAST(row_number() OVER (PARTITION BY lang = 'en' ORDER BY n_chars NULLS LAST, doc_id) AS VARCHAR) END AS rank FROM (SELECT doc_id, any_value(lang) AS lang, any_value(n_chars) AS n_chars FROM documents GROUP BY doc_id)")
 def win_rank_english(t: Tables) -> DataFrame:
     """WIN3: others have no rank."""
-    return A.ranked_english(t.documents.select("doc_id", F.col("lang").alias("language"), "n_chars"), "n_chars", "doc_id").select("doc_id", "rank")
+    return A.ranked_english(t.documents.select("doc_id", F.col("lang").alias("language"), "n_chars"), "n_chars", "doc_id").select("doc_id", F.col("rank").cast("string").alias("rank"))
 
 
 # Retrieval
@@ -627,11 +627,11 @@ def rep_languages(t: Tables) -> DataFrame:
     return reports.shown_languages(A.per_key(d, "language"), accuracies)
 
 
-@query("SELECT o_custkey AS model, max(CASE WHEN o_orderpriority = '1-URGENT' THEN n END) AS \"1-URGENT\", max(CASE WHEN o_orderpriority = '5-LOW' THEN n END) AS \"5-LOW\" FROM (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL) GROUP BY 1")
+@query("SELECT o_custkey AS model, coalesce(max(CASE WHEN o_orderpriority = '1-URGENT' THEN n END), 0) AS \"1-URGENT\", coalesce(max(CASE WHEN o_orderpriority = '5-LOW' THEN n END), 0) AS \"5-LOW\" FROM (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL) GROUP BY 1")
 def rep_pivot(t: Tables) -> DataFrame:
     """REP5."""
     rows = t.orders.groupBy(F.col("o_custkey").alias("model"), F.col("o_orderpriority").alias("context")).agg(F.count("*").alias("accuracy"))
-    return reports.pivoted(rows, ["1-URGENT", "5-LOW"])
+    return reports.pivoted(rows, ["1-URGENT", "5-LOW"]).fillna(0)
 
 
 @query("SELECT o_custkey AS form, o_orderkey AS question_id, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS question_index, o_totalprice AS answer FROM orders")
