@@ -8,7 +8,8 @@ neighbours of a batch run together on arrays.
 Cases. Null text: the empty text (no tokens, the digests of nothing). A special
 string inside a text becomes its special token, as the tokenizers library does by
 default. Empty table: no rows. Repeated rows: one result each. Further columns of
-any name: carried only if they are named in `carry`.
+any name: carried only if they are named in `carry`; a column named there or a text column that is
+absent counts as null.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import quoted, read_shipped, text_batches
+from .common import named, read_shipped, text_batches
 
 BATCH_BYTES = 4 << 20
 #: Entries of a worker's word cache, about 300 MB; at the bound it starts anew. Results do not depend on it.
@@ -247,7 +248,7 @@ def parse_ids(joined: str) -> np.ndarray:
 def bpe_round_trip(docs: DataFrame, vocabulary_path: str, carry: tuple[str, ...] = ("doc_id",), text: str = "text", with_ids: bool = False, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """carry, n_tokens, ids_sha256 and decoded_sha256 of every whole text; with_ids adds token_ids and decoded."""
     shipped = docs.sparkSession.sparkContext.broadcast(read_shipped(vocabulary_path))
-    taken = docs.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(carry)], F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
+    taken = docs.select(*[named(docs, c, "bigint").alias(f"c{i}") for i, c in enumerate(carry)], F.coalesce(named(docs, text, "string"), F.lit("")).alias("text"))
     names = [f"c{i}" for i in range(len(carry))]
 
     def run(batches):

@@ -28,6 +28,11 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def named(df: DataFrame, name: str, kind: str) -> Column:
+    """A column by its name, or a typed null where the table lacks it."""
+    return F.col(quoted(name)) if name.lower() in map(str.lower, df.columns) else F.lit(None).cast(kind)
+
+
 def packed(df: DataFrame, name: str = "_row") -> DataFrame:
     """Every input column in one struct, so that working columns cannot clash with the input's."""
     return df.select(F.struct(*[F.col(quoted(c)) for c in df.columns]).alias(name))

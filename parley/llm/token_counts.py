@@ -6,7 +6,7 @@ batch of very long texts needs no more memory than one of short ones.
 
 Cases. Null text: counted as the empty text (0 bytes, 0 tokens). Empty table:
 no rows. Repeated rows: one result each. Null ids and further columns of any
-name: carried only if they are asked for in `carry`. A long text without a safe
+name: carried only if they are asked for in `carry`; a column asked for or a text column that is absent counts as null. A long text without a safe
 boundary is encoded whole.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import quoted, read_shipped, text_batches
+from .common import named, read_shipped, text_batches
 
 LIMIT = 4096
 BATCH_BYTES = 1 << 20
@@ -84,7 +84,7 @@ def token_counts(docs: DataFrame, model_path: str, carry: tuple[str, ...] = ("do
     """carry, then n_bytes, n_tokens and over_limit of every whole text."""
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast(read_shipped(model_path))
-    taken = docs.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(carry)], F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
+    taken = docs.select(*[named(docs, c, "bigint").alias(f"c{i}") for i, c in enumerate(carry)], F.coalesce(named(docs, text, "string"), F.lit("")).alias("text"))
 
     def run(batches):
         for batch in text_batches(batches, "text", batch_bytes):

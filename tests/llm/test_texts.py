@@ -81,6 +81,15 @@ def test_pair_checks_are_exact():
     assert found.tolist() == [vocab.merge(vocab.bytes[a] + vocab.bytes[b]) == [a, b] for a, b in pairs]
 
 
+def test_absent_columns_count_as_null(spark):
+    docs = spark.createDataFrame([("two words",)], "text string")
+    assert token_counts.token_counts(docs, P.path("piece_bpe_32k.model")).first()["doc_id"] is None
+    assert bpe.bpe_round_trip(docs, P.path("byte_bpe_50k.json")).first()["doc_id"] is None
+    bare = docs.select(F.lit(1).cast("long").alias("doc_id"))
+    assert tuple(token_counts.token_counts(bare, P.path("piece_bpe_32k.model")).first()) == (1, 0, 0, False)
+    assert bpe.bpe_round_trip(bare, P.path("byte_bpe_50k.json")).first()["n_tokens"] == 0
+
+
 def test_small_caches_change_nothing(monkeypatch):
     vocab = bpe.Vocabulary(open(P.path("byte_bpe_50k.json"), "rb").read())
     texts = ["alpha beta gamma " + "q" * 400, "beta delta <|endoftext|> x", "gamma"]
