@@ -320,9 +320,9 @@ def jon_pairs_within(t: Tables) -> DataFrame:
     return J.pairs_within(n, r).groupBy(F.col("n_nationkey").alias("k")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'left' ELSE 'right' END AS side FROM (SELECT DISTINCT doc_id AS k FROM documents WHERE doc_id % 2 = 0) a FULL JOIN (SELECT DISTINCT doc_id AS k FROM labels) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
+@query("SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'left' ELSE 'right' END AS side FROM (SELECT DISTINCT doc_id AS k FROM documents) a FULL JOIN (SELECT DISTINCT doc_id AS k FROM labels) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
 def set_symmetric_difference(t: Tables) -> DataFrame:
-    return J.difference(t.documents.where("doc_id % 2 = 0").select(F.col("doc_id").alias("k")), t.labels.select(F.col("doc_id").alias("k")), "k")
+    return J.difference(t.documents.select(F.col("doc_id").alias("k")), t.labels.select(F.col("doc_id").alias("k")), "k")
 
 
 @query("SELECT c_name AS name, c_name || '_' || k || '.zst' AS basename FROM customer CROSS JOIN (VALUES ('comments'), ('submissions')) v(k)")
@@ -367,14 +367,14 @@ def top_k_bucket(t: Tables) -> DataFrame:
 # Similarity and retrieval
 
 _DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
-_SIM = f"SELECT a.label AS subreddit, a.vec_id AS comment_id, b.vec_id AS rule_index, CAST({_DOT} AS FLOAT) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 AND b.vec_id < 100"
+_SIM = f"SELECT a.label AS subreddit, a.vec_id AS comment_id, b.vec_id AS rule_index, CAST({_DOT} AS FLOAT) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id"
 
 
 def _scores(t: Tables) -> DataFrame:
-    e = t.embeddings
-    c = e.where("vec_id % 2 = 0").select(F.col("label").alias("subreddit"), F.col("vec_id").alias("comment_id"), "embedding")
-    r = e.where("vec_id % 2 = 1 AND vec_id < 100").select(F.col("label").alias("subreddit"), F.col("vec_id").alias("rule_index"), "embedding")
-    return similarity.similarities(c, r)
+    """Every twentieth vector as a comment against all others of its bucket as rules."""
+    rules = t.embeddings.select(F.col("label").alias("subreddit"), F.col("vec_id").alias("rule_index"), "embedding")
+    comments = rules.where("rule_index % 20 = 0").withColumnRenamed("rule_index", "comment_id")
+    return similarity.similarities(comments, rules).where("comment_id <> rule_index")
 
 
 @query(f"SELECT CAST(subreddit AS BIGINT) AS subreddit, comment_id, rule_index, round(score::DOUBLE, 5) AS score FROM ({_SIM})")
@@ -386,7 +386,7 @@ def sim_matrix(t: Tables) -> DataFrame:
 b AS (SELECT subreddit, comment_id, arg_min(rule_index, (-score, rule_index)) AS rule_index, max(score) AS score, count(*) FILTER (score > (SELECT amb FROM c)) AS o FROM s GROUP BY ALL)
 SELECT CAST(subreddit AS BIGINT) AS subreddit, comment_id, rule_index FROM b WHERE o <= 1 AND score >= (SELECT gold FROM c)""")
 def sim_match_threshold(t: Tables) -> DataFrame:
-    s = _scores(t)
+    s = staged(_scores(t), "scores")  # read for the thresholds, then for the matches
     return _big(P.matched(s, N.thresholds(s.withColumn("score", F.col("score").cast("double")), "score")).select("subreddit", "comment_id", "rule_index"), "subreddit")
 
 
@@ -403,7 +403,7 @@ def sim_matrix_all(t: Tables) -> DataFrame:
 
 @query()
 def sim_match_threshold_all(t: Tables) -> DataFrame:
-    s = _all_scores(t)
+    s = staged(_all_scores(t), "scores")
     return _big(P.matched(s, N.thresholds(s.withColumn("score", F.col("score").cast("double")), "score")).select("subreddit", "comment_id", "rule_index"), "subreddit")
 
 
@@ -492,17 +492,19 @@ def tree_thread_path(t: Tables) -> DataFrame:
     return rows.select("submission_id", "comment_id", F.array_join(F.transform("thread", lambda x: x["id"]), ">").alias("path"), F.col("length").cast("bigint").alias("length"))
 
 
-def _violating(tree: DataFrame) -> DataFrame:
-    return tree.where("cast(comment_id AS bigint) % 10 = 7").withColumn("mod_comment_id", F.concat(F.lit("m"), "comment_id"))
+def _violating(t: Tables, tree: DataFrame) -> DataFrame:
+    """Sign-ups are the comments that moderators answered."""
+    role = t.events.where("event_type = 'signup'").select(F.col("event_id").cast("string").alias("comment_id"))
+    return tree.join(role, "comment_id", "left_semi").withColumn("mod_comment_id", F.concat(F.lit("m"), "comment_id"))
 
 
-_CAND = f"{_DEPTH}, v AS (SELECT * FROM d WHERE c % 10 = 7), x AS (SELECT v.s, v.c AS v, v.path AS vp, a.c AS a, a.path AS ap FROM v JOIN d a ON a.s = v.s AND a.c <> v.c AND (a.depth = v.depth OR (v.depth >= 2 AND a.depth = v.depth - 1 AND a.c <> v.p)))"
+_CAND = f"{_DEPTH}, v AS (SELECT d.* FROM d JOIN events ON event_id = c WHERE event_type = 'signup'), x AS (SELECT v.s, v.c AS v, v.path AS vp, a.c AS a, a.path AS ap FROM v JOIN d a ON a.s = v.s AND a.c <> v.c AND (a.depth = v.depth OR (v.depth >= 2 AND a.depth = v.depth - 1 AND a.c <> v.p)))"
 
 
 @query(f"{_CAND} SELECT CAST(v AS VARCHAR) AS violating_id, count(*) AS n FROM x GROUP BY 1")
 def tree_candidates(t: Tables) -> DataFrame:
     tree = _tree(t)
-    return trees.candidates(_violating(tree), tree).groupBy("violating_id").agg(F.count("*").alias("n"))
+    return trees.candidates(_violating(t, tree), tree).groupBy("violating_id").agg(F.count("*").alias("n"))
 
 
 @query(f"""{_CAND}, o AS (SELECT x.*, len(list_filter(range(1, 1 + least(len(vp), len(ap))), lambda i: vp[i] = ap[i])) AS common, CAST(e.value AS BIGINT) AS _s FROM x JOIN events e ON e.event_id = x.a WHERE NOT list_has_any(ap, (SELECT list(event_id) FROM events WHERE event_type = 'error')))
@@ -512,13 +514,13 @@ def tree_best_alternative(t: Tables) -> DataFrame:
     comments = _comments(t).withColumn("score", F.lit(None).cast("bigint")).drop("score").join(t.events.select(F.col("event_id").cast("string").alias("id"), F.round("value").cast("bigint").alias("score")), "id")
     # Staged, as both sides of a pair read it.
     thread = staged(trees.threads(comments, tree), "threads")
-    ranked = trees.ranked_candidates(trees.candidates(_violating(tree), tree), thread)
+    ranked = trees.ranked_candidates(trees.candidates(_violating(t, tree), tree), thread)
     return _big(ranked.where("rank = 1").select("violating_id", "alt_id", "common_ancestors"), "common_ancestors")
 
 
 @query()
 def tree_greedy_pairs(t: Tables) -> DataFrame:
-    matches = _violating(_tree(t)).select("mod_comment_id", "submission_id", F.col("comment_id").alias("violating_comment_id"))
+    matches = _violating(t, _tree(t)).select("mod_comment_id", "submission_id", F.col("comment_id").alias("violating_comment_id"))
     return trees.pairs(_comments(t), matches).select("mod_comment_id", "submission_id", "violating_comment_id", "compliant_comment_id", "status", "common_ancestors")
 
 

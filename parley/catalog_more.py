@@ -256,10 +256,10 @@ def str_media_urls(t: Tables) -> DataFrame:
     return t.pages.select("page_id", S.is_video_url(u).alias("video"), S.is_media_url(u).alias("media"), S.url_extension(u).alias("extension"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN b IS NULL THEN a ELSE printf('%.1f (%+.1f)', v, round(v - w, 1)) END AS shown FROM (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, printf('%.1f', l_quantity + 0.2) AS a, round_even(l_quantity + 0.2, 1) AS v, CASE WHEN l_linenumber > 1 THEN l_quantity * 0.5 + 0.2 END AS b, round_even(l_quantity * 0.5 + 0.2, 1) AS w FROM lineitem WHERE l_quantity % 2 = 0)")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN b IS NULL THEN a ELSE printf('%.1f (%+.1f)', v, round(v - w, 1)) END AS shown FROM (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, printf('%.1f', l_quantity + 0.2) AS a, round_even(l_quantity + 0.2, 1) AS v, CASE WHEN l_linenumber > 1 THEN l_quantity * 0.5 + 0.2 END AS b, round_even(l_quantity * 0.5 + 0.2, 1) AS w FROM lineitem)")
 def str_delta_text(t: Tables) -> DataFrame:
     """STR15."""
-    rows = t.lineitem.where("l_quantity % 2 = 0")
+    rows = t.lineitem
     before = F.when(F.col("l_linenumber") > 1, F.col("l_quantity") * 0.5 + 0.2)
     return rows.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), S.delta_text(F.col("l_quantity") + 0.2, before).alias("shown"))
 

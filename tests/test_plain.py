@@ -81,7 +81,7 @@ def test_greedy_pairs(spark, smallest):
     bad = {e: any(events[a]["event_type"] == "error" for a in paths[e]) for e in events}
     score = {r["id"]: r["score"] for r in catalog._comments(t).select(F.col("id").cast("long").alias("id"), "score").collect()}
     want, taken = {}, defaultdict(set)
-    for v in sorted((e for e in events if e % 10 == 7), key=lambda e: (str(e // 100), f"m{e}")):
+    for v in sorted((e for e in events if events[e]["event_type"] == "signup"), key=lambda e: (str(e // 100), f"m{e}")):
         sub = v // 100
         if bad[v]:
             want[v] = None
