@@ -1,8 +1,10 @@
 """Similarity, retrieval and votes (SIM1-SIM4, RAG1-RAG5, AGG17).
 
-Rankings never pair everything at once: queries meet blocks of candidates as matrices in
-Arrow batches, and only the best k of each block go on, so that what is shuffled grows
-with queries times blocks, and memory with one block.
+Rankings go by an inverted file: candidates lie in lists by their nearest centroid, each
+list cut into blocks by the distance to it. The triangle inequality tells which blocks
+can hold one of a query's k best; only those meet it, as matrices in Arrow batches, and
+only the best k of each block go on. Results are exact: centroids decide what is skipped
+and never what is found.
 """
 
 from __future__ import annotations
@@ -11,10 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
+from ..staging import staged
 from .aggregates import numbered
 
-#: Candidates in a block.
+#: Rows in a block, lists at most, and candidates that centroids are fitted on.
 BLOCK = 4096
+LISTS = 256
+SAMPLE = 8192
 
 
 def similarities(comments: DataFrame, rules: DataFrame, key: str = "subreddit") -> DataFrame:
@@ -23,43 +28,146 @@ def similarities(comments: DataFrame, rules: DataFrame, key: str = "subreddit")
     return c.join(r, key).select(key, "comment_id", "rule_index", N.dot(F.col("_a"), F.col("_b")).cast("float").alias("score"))
 
 
+def centroids(x, n: int, rounds: int = 8):
+    """n centres of the rows of x, each start the farthest from those before it, by Lloyd's rounds."""
+    import numpy as np
+
+    at, near = [0], np.full(len(x), np.inf)
+    while len(at) < min(n, len(x)):
+        near = np.minimum(near, ((x - x[at[-1]]) ** 2).sum(1))
+        at.append(int(near.argmax()))
+    c = x[at]
+    for _ in range(rounds):
+        own = to_centroids(x, c).argmin(1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, own, x)
+        n_own = np.bincount(own, minlength=len(c))
+        c = np.where(n_own[:, None] > 0, sums / np.maximum(n_own, 1)[:, None], c)
+    return c
+
+
+def to_centroids(x, c):
+    """Distances of all rows of x to all of c."""
+    import numpy as np
+
+    square = (x**2).sum(1)[:, None] + (c**2).sum(1)[None, :] - 2 * (x @ c.T)
+    return np.sqrt(np.maximum(square, 0.0))
+
+
+def lengthened(x, most: float):
+    """Rows with sqrt(most - |x|^2) behind: of these and of queries with a zero behind, the nearest has the largest inner product."""
+    import numpy as np
+
+    return np.column_stack([x, np.sqrt(np.maximum(0.0, most - (x**2).sum(1)))])
+
+
+def vectors(column):
+    """A column of equally long arrays as a matrix."""
+    flat = column.combine_chunks().flatten() if hasattr(column, "combine_chunks") else column.flatten()
+    return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else flat.to_numpy(zero_copy_only=False).reshape(0, 0)
+
+
+def inverted_file(queries: DataFrame, candidates: DataFrame, by: str | None = None, block: int = BLOCK) -> tuple[DataFrame, float, int, int]:
+    """The staged file (id, v, bucket, query, list, ring, far, block) of candidates and queries side by side, the largest squared length of a candidate, and how many candidates and queries there are.
+
+    list is the nearest centroid, ring the distance to it, far a query's distances to all. A block holds neighbouring rings of one list of one bucket.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    bucket = (F.col(by).cast("string") if by else F.lit("")).alias("bucket")
+    given = [df.select("id", F.col("embedding").cast("array<double>").alias("v"), bucket, F.lit(kind).alias("query")).where("v IS NOT NULL AND bucket IS NOT NULL") for df, kind in ((candidates, False), (queries, True))]
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    both = given[0].unionByName(given[1])
+    most, n, asked = both.agg(F.max(F.when(~F.col("query"), square)), F.count_if(~F.col("query")), F.count_if("query")).first()
+    most, lists = float(most or 0.0), min(LISTS, -(-n // block))
+    sample = given[0].orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect() if lists > 1 else []
+    centres = centroids(lengthened(np.array([r["v"] for r in sample]), most), lists) if sample else None
+
+    def placed(batches):
+        for batch in batches:
+            x, query = vectors(batch["v"]), batch["query"].to_numpy(zero_copy_only=False)
+            far = np.zeros((len(x), 1))
+            if centres is not None and len(x):
+                x = lengthened(x, most)
+                x[query, -1] = 0.0
+                far = to_centroids(x, centres)
+            near = far.argmin(1) if len(x) else np.zeros(0, int)
+            kept = pa.array([r if q else None for q, r in zip(query, far, strict=True)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.int32()), pa.array(far[np.arange(len(far)), near]), kept], names=[*batch.schema.names, "list", "ring", "far"])
+
+    kind = candidates.schema["id"].dataType.simpleString()
+    rows = both.mapInArrow(placed, f"id {kind}, v array<double>, bucket string, query boolean, list int, ring double, far array<double>")
+    rows = numbered(rows, [F.asc(c) for c in ("bucket", "list", "ring", "id", "query")], "no")
+    return staged(rows.withColumn("block", F.floor((F.col("no") - 1) / block)).drop("no"), "inverted-file"), most, n, asked
+
+
+def _best_of_block(k: int, names: tuple[str, ...] = ("query_id", "candidate_id", "score")):
+    """Of queries on the left, the k best candidates on the right."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        kind = left.schema.field("qid").type
+        if not left.num_rows or not right.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in zip(names, (kind, kind, pa.float64()), strict=True)})
+        right = right.sort_by("cid")
+        qids, ids = left["qid"].to_numpy(zero_copy_only=False), right["cid"].to_numpy(zero_copy_only=False)
+        q, c = vectors(left["qv"]), vectors(right["cv"])
+        out = []
+        for start in range(0, len(q), 256):
+            scores = q[start : start + 256] @ c.T
+            scores[qids[start : start + 256, None] == ids[None, :]] = -np.inf
+            order = np.argsort(-np.round(scores, 12), axis=1, kind="stable")[:, :k]  # the smaller id first among equals
+            best = np.take_along_axis(scores, order, 1)
+            at, place = np.nonzero(np.isfinite(best))
+            out.append((start + at, order[at, place], best[at, place]))
+        at, order, best = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({names[0]: left["qid"].take(pa.array(at)), names[1]: right["cid"].take(pa.array(order)), names[2]: pa.array(best)})
+
+    return run
+
+
 def nearest(queries: DataFrame, candidates: DataFrame, k: int, by: str | None = None, block: int = BLOCK) -> DataFrame:
     """SIM3, TOP1, RAG1: (query_id, candidate_id, score, rank) of the k best candidates of each query, itself left out, in the bucket of `by` or among all.
 
-    queries and candidates: (id, embedding array<float> or array<double>, and by). Ties go to the smaller id. Blocks are dealt by a hash of the candidate's id, so a bucket of any size is spread evenly; queries are repeated for each block of their bucket.
+    queries and candidates: (id, embedding array<float> or array<double>, and by). Ties go to the smaller id. A query first looks through the block it lies in; its k-th score there bounds what else it needs. Slices of neighbouring queries then meet the blocks of their bucket that the bound leaves. Rows without a vector take no part.
     """
     import numpy as np
-    import pandas as pd
-
-    bucket = F.col(by).cast("string") if by else F.lit("")
-    c = candidates.select(F.col("id").alias("cid"), F.col("embedding").cast("array<double>").alias("cv"), bucket.alias("bucket"))
-    sizes = c.groupBy("bucket").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(block))).cast("int").alias("blocks"))
-    c = c.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).drop("blocks")
-    q = queries.select(F.col("id").alias("qid"), F.col("embedding").cast("array<double>").alias("qv"), bucket.alias("bucket"))
-    # Queries too are dealt into slices, so that a group is one slice against one block.
-    q_sizes = q.groupBy("bucket").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(block))).cast("int").alias("slices"))
-    q = q.join(q_sizes, "bucket").withColumn("slice", F.pmod(F.xxhash64("qid"), F.col("slices")).cast("int")).drop("slices")
-    q = q.join(sizes, "bucket").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    c = c.join(q_sizes, "bucket").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "candidate_id": [], "score": []})
-        ids = right["cid"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, m = ids[order], np.stack(right["cv"].to_numpy())[order]
-        out = []
-        for qid, scores in zip(left["qid"].to_numpy(), np.stack(left["qv"].to_numpy()) @ m.T):
-            scores = np.where(ids == qid, -np.inf, scores)
-            best = np.lexsort((ids, -np.round(scores, 12)))[:k]
-            out += [(qid, ids[i], scores[i]) for i in best if np.isfinite(scores[i])]
-        return pd.DataFrame(out, columns=["query_id", "candidate_id", "score"])
-
-    kind = queries.schema["id"].dataType.simpleString()
-    keys = ("bucket", "block", "slice")
-    found = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(run, f"query_id {kind}, candidate_id {kind}, score double")
+    import pyarrow as pa
+
+    table, most, n, asked = inverted_file(queries, candidates, by, block)
+    place = ["bucket", "list", "block"]
+    q = table.where("query").select(*[F.col(c).alias(f"q_{c}") for c in place], F.col("id").alias("qid"), F.col("v").alias("qv"), "far")
+    c = table.where("NOT query").select(*place, F.col("id").alias("cid"), F.col("v").alias("cv"), "ring")
+    kind = table.schema["id"].dataType.simpleString()
+    schema = f"query_id {kind}, candidate_id {kind}, score double"
+    home = q.drop("far").groupBy(*[f"q_{c}" for c in place]).cogroup(c.drop("ring").groupBy(*place)).applyInArrow(_best_of_block(k), schema)
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "candidate_id")
-    return found.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
+    best = lambda found: found.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
+    if n + asked <= block:  # one block holds them all
+        return best(home)
+    home = staged(home, "own-blocks")
+    kth = home.groupBy(F.col("query_id").alias("qid")).agg(F.when(F.count("*") >= k, F.min("score")).alias("low"))
+    # So many blocks to a slice that it has about as many queries as a block has rows.
+    bounded = q.join(kth, "qid", "left").withColumn("slice", F.floor(F.col("q_block") / max(1, (n + asked) // max(1, asked))))
+
+    def bounds(group: pa.Table) -> pa.Table:
+        far, low = vectors(group["far"]), group["low"].to_numpy(zero_copy_only=False).astype(float)
+        own = (vectors(group["qv"]) ** 2).sum(1).max()
+        return pa.table({"bucket": group["q_bucket"][:1], "slice": group["slice"][:1], "low": [float(np.nan_to_num(low, nan=-np.inf).min())], "own": [float(own)], "least": [far.min(0).tolist()], "largest": [far.max(0).tolist()]})
+
+    slices = bounded.groupBy("q_bucket", "slice").applyInArrow(bounds, "bucket string, slice long, low double, own double, least array<double>, largest array<double>")
+    blocks = c.groupBy(*place).agg(F.min("ring").alias("from"), F.max("ring").alias("to"))
+    gap = F.greatest(F.lit(0.0), F.get("least", F.col("list")) - F.col("to"), F.col("from") - F.get("largest", F.col("list")))
+    best_there = (F.col("own") + F.lit(most) - gap * gap) / 2 + F.lit(1e-9) * (F.col("own") + F.lit(most + 1.0))
+    met = slices.join(blocks, "bucket").where(best_there >= F.col("low")).select("bucket", "slice", "list", "block")
+    met = staged(met, "met-blocks")
+    key = F.struct("bucket", "slice", "list", "block").alias("key")
+    left = bounded.select(F.col("q_bucket").alias("bucket"), "slice", "q_list", "q_block", "qid", "qv").join(met, ["bucket", "slice"]).where("q_block <> block OR q_list <> list").select(key, "qid", "qv")
+    right = c.join(met, place).select(key, "cid", "cv")
+    away = left.groupBy("key").cogroup(right.groupBy("key")).applyInArrow(_best_of_block(k), schema)
+    return best(home.union(away))
 
 
 def mixed(ranked: DataFrame, k: int, kind: str = "thread_type") -> DataFrame:
