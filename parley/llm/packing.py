@@ -10,8 +10,10 @@ emptiest bins give first, so that bins empty. What is not full after that is dea
 anew, by bins, into fewer groups, until one group holds the rest or a round empties
 almost none: no task ever holds more than a group, and a bin is only ever improved.
 
-Encoding: the vocabulary's pre-tokenizer never joins anything across ASCII white
-space, so runs of other characters are encoded by the library once and remembered.
+Encoding: where the vocabulary's pre-tokenizer splits at white space, letters and other
+signs, runs between ASCII white space are encoded once and remembered; those of Latin
+letters and signs behind them go to the library's model as they are, all others through
+the whole of the library. Texts of other vocabularies are encoded whole.
 
 Cases. Null text, or one without tokens: the end id alone. Null ids and repeated
 rows: packed like any other. Empty table: no rows. A text column or id that is
@@ -22,6 +24,8 @@ of any length is encoded whole.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 
 import numpy as np
@@ -30,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bpe import byte_letters
 from .common import named, read_shipped, staged, text_batches
 
 LENGTH = 2048
@@ -42,12 +47,32 @@ SWEEPS = 8
 #: A round that empties a smaller share of its bins is the last.
 LEAST_GAIN = 0.002
 #: Remembered runs of a worker, and the longest that are remembered. Results do not depend on them.
-CACHE_RUNS = 500_000
+CACHE_RUNS = 1_000_000
 CACHE_RUN_BYTES = 64
+#: Runs that the library gets at once.
+AT_ONCE = 1024
+#: The steps of a vocabulary whose runs are encoded alone as in a text.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: A word and signs that are one part together, none of which begins a contraction or a special string.
+WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([-.,;:!?$#*%&()\[\]\"/+=_@~^]*)")
 
 _loaded: dict[int, Encoder] = {}
 
 
+class Remembered(dict):
+    """What `make` gives for a run of characters, kept if the run is short."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, run: bytes) -> bytes:
+        ids = self.make(run)
+        if len(run) <= CACHE_RUN_BYTES:
+            self[run] = ids
+        return ids
+
+
 class Encoder:
     """ids of texts as little-endian 32-bit numbers."""
 
@@ -57,23 +82,41 @@ class Encoder:
         self.library = Tokenizer.from_str(source.decode())
         self.library.no_truncation()
         self.library.no_padding()
-        self.cache: dict[bytes, bytes] = {}
-
-    def runs(self, texts: list[bytes]) -> list[bytes]:
-        found = self.library.encode_batch([t.decode() for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        spec = json.loads(source)
+        steps, splits = ((spec[k] or {}).get(inner, []) for k, inner in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+        self.by_run = [x["type"] for x in steps] == NORMALIZERS and [x["type"] for x in splits] == ["Split", "ByteLevel"] and splits[0]["pattern"] == {"Regex": SPLIT} and splits[0]["behavior"] == "Removed"
+        shown = {b: c for c, b in byte_letters().items()}
+        self.letters = {b: shown[b] for b in range(256)}
+        self.cache = Remembered(self.run)
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        found = []
+        for i in range(0, len(texts), AT_ONCE):
+            found += [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False)]
+        return found
+
+    def word(self, word: str) -> bytes:
+        """Of letters, in lower case."""
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.library.model.tokenize(shown)], "<u4").tobytes()
+
+    def run(self, run: bytes) -> bytes:
+        hit = WORD.fullmatch(run.decode())
+        if hit is None:
+            return self.whole([run.decode()])[0]
+        word, signs = hit[1].lower(), hit[2]
+        key = word.encode()
+        if signs:
+            return self.cache[key] + self.cache[signs.encode()]
+        return self.cache[key] if key != run else self.word(word)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.encode().split() for t in texts]  # bytes.split knows ASCII white space alone
+        if not self.by_run:
+            return self.whole(texts)
         if len(self.cache) > CACHE_RUNS:
             self.cache.clear()
-        cache = self.cache
-        new = {r for runs in cut for r in set(runs) if r not in cache}
-        short = [r for r in new if len(r) <= CACHE_RUN_BYTES]
-        cache |= zip(short, self.runs(short), strict=True)
-        long = {r: self.runs([r])[0] for r in new if len(r) > CACHE_RUN_BYTES}
-        get = (cache | long).__getitem__ if long else cache.__getitem__
-        return [b"".join(map(get, runs)) for runs in cut]
+        get = self.cache.__getitem__
+        return [b"".join(map(get, t.encode().split())) for t in texts]  # bytes.split knows ASCII white space alone
 
 
 def encoder(source: bytes) -> Encoder:

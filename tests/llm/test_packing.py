@@ -64,7 +64,7 @@ def test_documents(some, hostile, none, length):
 
 
 def test_odd_characters(spark):
-    texts = ["ΑΣ ΑΣ́ Σ", "a\x1cb\x85c d e", "<|endoftext|>x <|startoftext|> y<|endoftext|>", "́ é Å", "It's we'll I'D", "12345 ½ ٣", "İstanbul ẞ", "\x0b\x0c\r a\tb", "日本語🙂", "x" * 500]
+    texts = ["ΑΣ ΑΣ́ Σ", "a\x1cb\x85c d e", "<|endoftext|>x <|startoftext|> y<|endoftext|>", "́ é Å", "It's we'll I'D", "12345 ½ ٣", "İstanbul ẞ", "\x0b\x0c\r a\tb", "日本語🙂", "x" * 500, "Größe. ÀÉ, ÷ a÷b (x) word's. it', $$$ a|. <|endoftext|>. over... ÿ\u0301 \u00df", "a" * 70 + ". b"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     checked(packing.packed_documents(df, PATH).collect(), list(enumerate(texts)), 2048)
 
