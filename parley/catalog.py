@@ -19,8 +19,8 @@ from .operators import clusters as C
 from .operators import filters as P
 from .operators import joins as J
 from .operators import media as M
+from .operators import neighbours, reports, similarity, splits, trees
 from .operators import prompts as R
-from .operators import reports, similarity, splits, trees
 from .operators import validation as V
 from .plans import evaluate
 from .sources import tables
@@ -643,6 +643,19 @@ def clu_grid_search(t: Tables) -> DataFrame:
     return C.searched(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), C.grid(t.spark))
 
 
+@query()
+def clu_grid_tables(t: Tables) -> DataFrame:
+    """The grid for any number of points: tables throughout, judged by relative validity."""
+    return neighbours.explored(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), C.grid(t.spark))
+
+
+@query()
+def clu_neighbour_graph(t: Tables) -> DataFrame:
+    """The 15 nearest of every vector, by descent."""
+    points = t.embeddings.select(F.lit(0).alias("run"), F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return neighbours.neighbour_graph(points).select("id", "neighbour", F.round("distance", 6).alias("distance"))
+
+
 @query("SELECT '1' AS stage, 'WARNING' AS severity, o_custkey || ': ' || count(*) || ' of 12' AS message FROM orders GROUP BY o_custkey HAVING count(*) < 12")
 def val_totals(t: Tables) -> DataFrame:
     have = A.per_key(t.orders, "o_custkey")
