@@ -22,12 +22,12 @@ otherwise. Windows of words are compared by their 64-bit hashes within one text.
 
 from __future__ import annotations
 
-from math import log
+from math import exp, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, column, drop_staged, packed, staged, unpacked
+from .common import WHITE, column, packed, staged, unpacked
 
 #: Counted symbols, ASCII white space as characters, least words and largest repeated share of the base rule.
 SYMBOLS = "#*$%&|<>"
@@ -121,27 +121,33 @@ def posterior(rates: Rates, balance: float) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
 
 
-def _round(patterns: DataFrame, rates: Rates, balance: float) -> tuple[Rates, float]:
-    """One round of expectation-maximisation, as one aggregate."""
-    p = patterns.withColumn("_p", posterior(rates, balance))
-    classes = (1 - F.col("_p"), F.col("_p"))
-    sums = [F.sum("_n").alias("all"), F.sum(F.col("_n") * F.col("_p")).alias("good")]
-    for n in rates:
-        v = F.col(f"v_{n}")
-        for k, weight in enumerate(classes):
-            sums += [F.sum(F.when(v == -1, F.col("_n") * weight)).alias(f"b{k}_{n}"), F.sum(F.when(v != 0, F.col("_n") * weight)).alias(f"a{k}_{n}")]
-    row = p.agg(*sums).first()
-    share = lambda part, whole: ((part or 0.0) + PSEUDO) / ((whole or 0.0) + 2 * PSEUDO)
-    return {n: (share(row[f"b0_{n}"], row[f"a0_{n}"]), share(row[f"b1_{n}"], row[f"a1_{n}"])) for n in rates}, share(row["good"], row["all"])
+def _round(patterns: list[tuple[tuple[int, ...], int]], rates: Rates, balance: float) -> tuple[Rates, float]:
+    """One round of expectation-maximisation over counted patterns."""
+    weights = [(log(blamed / caught), log((1 - blamed) / (1 - caught))) for caught, blamed in rates.values()]
+    prior = log(balance / (1 - balance))
+    bad, voted = [[0.0, 0.0] for _ in rates], [[0.0, 0.0] for _ in rates]
+    total = good = 0.0
+    for votes, n in patterns:
+        odds = prior + sum(w[0] if v == -1 else w[1] if v == 1 else 0.0 for v, w in zip(votes, weights, strict=True))
+        p = 1.0 / (1.0 + exp(-odds))
+        total, good = total + n, good + n * p
+        for i, v in enumerate(votes):
+            if v:
+                for k, share in enumerate((1 - p, p)):
+                    voted[i][k] += n * share
+                    bad[i][k] += n * share if v == -1 else 0.0
+    rate = lambda part, whole: (part + PSEUDO) / (whole + 2 * PSEUDO)
+    return {name: (rate(b[0], a[0]), rate(b[1], a[1])) for name, b, a in zip(rates, bad, voted, strict=True)}, rate(good, total)
 
 
 def fit_rates(votes: DataFrame, rounds: int = ROUNDS, first: tuple[float, float] = FIRST, balance: float = BALANCE) -> tuple[Rates, float]:
     """How often each rule, when it votes, calls a bad and a good text bad, and the share of good texts, by expectation-maximisation over counted patterns.
 
-    votes: columns v_<rule>, any rules.
+    votes: columns v_<rule>, any rules. Spark counts the patterns in one aggregate; the driver gets these counts alone, 3 to the number of rules at most.
     """
     names = [c.removeprefix("v_") for c in votes.columns if c.startswith("v_")]
-    patterns = staged(votes.groupBy(*[f"v_{n}" for n in names]).agg(F.count("*").alias("_n")).coalesce(1), "vote-patterns")
+    counted = votes.groupBy(*[f"v_{n}" for n in names]).agg(F.count("*").alias("_n")).collect()
+    patterns = sorted((tuple(r[f"v_{n}"] for n in names), r["_n"]) for r in counted)
     rates = dict.fromkeys(names, first)
     for _ in range(rounds):
         new, share = _round(patterns, rates, balance)
@@ -149,7 +155,6 @@ def fit_rates(votes: DataFrame, rounds: int = ROUNDS, first: tuple[float, float]
         rates, balance = new, share
         if moved < SETTLED:
             break
-    drop_staged(patterns)
     if sum(caught - blamed for caught, blamed in rates.values()) < 0:
         rates, balance = {n: (blamed, caught) for n, (caught, blamed) in rates.items()}, 1 - balance
     return rates, balance
