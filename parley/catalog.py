@@ -19,7 +19,7 @@ from .operators import clusters as C
 from .operators import filters as P
 from .operators import joins as J
 from .operators import media as M
-from .operators import neighbours, reports, similarity, splits, trees
+from .operators import layout, neighbours, reports, resamples, similarity, splits, trees
 from .operators import prompts as R
 from .operators import validation as V
 from .plans import evaluate
@@ -599,6 +599,12 @@ def bst_ci(t: Tables) -> DataFrame:
     return evaluate.evaluated(_results(t), ("lang", "source"))
 
 
+@query()
+def bst_exact_ci(t: Tables) -> DataFrame:
+    """The intervals of one sequential generator's resamples, in the order of documents."""
+    return resamples.intervals(_results(t), "doc_id", ("lang", "source"))
+
+
 _ANN = "SELECT event_id // 3 AS q, event_id AS a, CASE WHEN event_id % 7 = 0 THEN 'x' ELSE event_type END AS s FROM events"
 
 
@@ -649,6 +655,13 @@ def clu_grid_tables(t: Tables) -> DataFrame:
     return neighbours.explored(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), C.grid(t.spark))
 
 
+@query()
+def clu_layout(t: Tables) -> DataFrame:
+    """All vectors in two dimensions."""
+    points = t.embeddings.select(F.lit(0).alias("run"), F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return layout.layout(points).select("id", F.col("y")[0].alias("x"), F.col("y")[1].alias("y"))
+
+
 @query()
 def clu_neighbour_graph(t: Tables) -> DataFrame:
     """The 15 nearest of every vector, by descent."""
