@@ -107,4 +107,5 @@ def left_to_fetch(submissions: DataFrame, files: DataFrame) -> DataFrame:
 
 def relative_path(path: Column, root: str) -> Column:
     """MEDIA7."""
-    return F.regexp_replace(path, "^" + root.rstrip("/") + "/", "")
+    own = root.rstrip("/") + "/"
+    return F.when(path.startswith(own), F.substr(path, F.lit(len(own) + 1))).otherwise(path)

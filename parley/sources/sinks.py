@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceWriter, WriterCommitMessage
 
 from .files import file_system
 
@@ -53,13 +53,14 @@ class _ZstdWriter(DataSourceWriter):
         from pyarrow.fs import FileSelector
 
         fs, root = file_system(self.path)
-        if self.overwrite:
-            for old in fs.get_file_info(FileSelector(root, allow_not_found=True)):
-                if old.path.endswith(".jsonl.zst"):
-                    fs.delete_file(old.path)
         for m in messages:
             if m is not None and m.lines:
                 fs.move(m.temporary, m.final)
+        # New files are in place before old ones go: a driver lost between leaves both, never neither.
+        if self.overwrite:
+            for old in fs.get_file_info(FileSelector(root, allow_not_found=True)):
+                if old.path.endswith(".jsonl.zst") and self.job not in old.base_name:
+                    fs.delete_file(old.path)
         self._clear(fs, root)
 
     def abort(self, messages) -> None:
@@ -74,6 +75,105 @@ class _ZstdWriter(DataSourceWriter):
             fs.delete_dir(f"{root}/_temporary")
 
 
+@dataclass
+class _Parted(WriterCommitMessage):
+    """A task's files: under its attempt's name, and under the name they get."""
+
+    files: list[tuple[str, str]]
+
+
+class _ZstdByPath(_ZstdWriter, DataSourceArrowWriter):
+    """A zstandard file for each path that a task has rows of, opened at the first of them.
+
+    At most `most_open` files are open in a task: beyond that the one unused for longest is closed, and goes on in a
+    further file if its path comes again.
+    """
+
+    def __init__(self, path: str, level: int, overwrite: bool, most_open: int):
+        super().__init__(path, level, overwrite)
+        self.most_open = most_open
+
+    def write(self, iterator) -> WriterCommitMessage:
+        from collections import OrderedDict
+
+        import pyarrow.compute as pc
+        import zstandard
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        fs, root = file_system(self.path)
+        attempt = f"{root}/_temporary/{self.job}/{task.partitionId():05d}-{task.taskAttemptId()}"
+        fs.create_dir(attempt, recursive=True)
+        files: list[tuple[str, str]] = []
+        held: OrderedDict[str, tuple] = OrderedDict()
+
+        def closed(pair) -> None:
+            out, raw = pair
+            out.close()
+            raw.close()
+
+        def opened(name: str):
+            if name not in held:
+                if len(held) >= self.most_open:
+                    closed(held.popitem(last=False)[1])
+                place = f"{attempt}/{len(files)}"
+                raw = fs.open_output_stream(place, compression=None)
+                held[name] = zstandard.ZstdCompressor(level=self.level).stream_writer(raw, closefd=False), raw
+                files.append((place, f"{root}/{name}/part-{task.partitionId():05d}-{len(files)}-{self.job}.jsonl.zst"))
+            held.move_to_end(name)
+            return held[name][0]
+
+        for batch in iterator:
+            names = batch.column(0)
+            for name in pc.unique(names).to_pylist():
+                parts = [p for p in (name or "").split("/") if p]
+                if not parts or any(p in (".", "..") or p.startswith("_") for p in parts):
+                    raise ValueError(f"not a path of its own below the folder: {name!r}")
+                own = batch.column(1).filter(pc.equal(names, name)).to_pylist()
+                opened("/".join(parts)).write("".join(f"{line}\n" for line in own).encode())
+        for pair in held.values():
+            closed(pair)
+        return _Parted(files)
+
+    def commit(self, messages) -> None:
+        from pyarrow.fs import FileSelector
+
+        fs, root = file_system(self.path)
+        folders = set()
+        for temporary, final in (f for m in messages if m is not None for f in m.files):
+            folders.add(final.rpartition("/")[0])
+            fs.create_dir(final.rpartition("/")[0], recursive=True)
+            fs.move(temporary, final)
+        if self.overwrite:  # of the paths that were written
+            for folder in folders:
+                for old in fs.get_file_info(FileSelector(folder)):
+                    if old.path.endswith(".jsonl.zst") and self.job not in old.base_name:
+                        fs.delete_file(old.path)
+        self._clear(fs, root)
+
+
+class ZstdByPath(DataSource):
+    """SRC1, SNK2: `write.format("zstd_by_path")` of (path, line): one scan to as many compressed outputs as there are paths."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "zstd_by_path"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _ZstdByPath(self.options["path"], int(self.options.get("level", 3)), overwrite, int(self.options.get("mostOpen", 64)))
+
+
+def write_zst_by_path(df: DataFrame, folder: str, path: str, level: int = 3, mode: str = "append", most_open: int = 64) -> None:
+    """SRC1, SNK2: rows as JSON lines, without the column `path`, in zstandard files below the folder that it names for each row; rows without a path are left out. No path without rows gets a file.
+
+    Rows are balanced by path, where Spark splits those with many rows among tasks. `overwrite` replaces the files of the paths that are written.
+    """
+    df.sparkSession.dataSource.register(ZstdByPath)
+    body = F.to_json(F.struct(*[F.col(c) for c in df.columns if c != path])).alias("line")
+    rows = df.where(F.coalesce(F.trim(F.col(path)), F.lit("")) != "").select(F.col(path).cast("string").alias("path"), body).hint("rebalance", "path")
+    rows.write.format("zstd_by_path").mode(mode).options(level=level, mostOpen=most_open).save(folder)
+
+
 class ZstdLines(DataSource):
     """SNK1: `write.format("zstd_lines")` of one text column to a folder that all executors reach: a path, or a URI of a store that pyarrow knows. Spark's own writers take no zstandard for text."""
 

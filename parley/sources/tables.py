@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,7 +78,7 @@ def of_community(rows: DataFrame, name: str, column: str = "subreddit") -> DataF
 
 def between_months(files: DataFrame, prefix: str, first: str, last: str) -> DataFrame:
     """SRC9: `PREFIX_YYYY-MM.zst` of months in the range, newest first, without files marked corrupted."""
-    month = F.regexp_extract("path", rf"{prefix}_(\d{{4}}-\d{{2}})\.zst$", 1)
+    month = F.regexp_extract("path", rf"{re.escape(prefix)}_(\d{{4}}-\d{{2}})\.zst$", 1)
     found = files.withColumn("month", month).where((F.col("month") != "") & ~F.col("path").endswith("corrupted.zst"))
     return found.where(S.in_months(F.col("month"), first, last)).orderBy(F.desc("month"))
 
@@ -92,8 +94,64 @@ def read_tsv(spark: SparkSession, path: str, schema: str, required: tuple[str, .
     return rows.select([F.col(c).try_cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in header])
 
 
+def unbencoded(data: bytes) -> object:
+    """A bencoded value: whole numbers, byte strings, lists and maps. Anything else raises ValueError."""
+
+    def value(at: int) -> tuple[object, int]:
+        kind = data[at : at + 1]
+        if kind == b"i":
+            end = data.index(b"e", at)
+            return int(data[at + 1 : end]), end + 1
+        if kind in (b"l", b"d"):
+            out, at = [], at + 1
+            while data[at : at + 1] != b"e":
+                item, at = value(at)
+                out.append(item)
+            return (out if kind == b"l" else dict(zip(out[::2], out[1::2], strict=True))), at + 1
+        colon = data.index(b":", at)
+        end = colon + 1 + int(data[at:colon])
+        if not kind.isdigit() or end > len(data):
+            raise ValueError(f"no bencoded value at byte {at}")
+        return data[colon + 1 : end], end
+
+    found, end = value(0)
+    if end != len(data):
+        raise ValueError(f"more after byte {end}")
+    return found
+
+
+def torrent_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """SRC12: (torrent, index, basename, relpath, length) of every file that torrents name: index from 1, basename in lower case. A torrent of one file has its name; entries without a path keep their number and give no row."""
+    import pandas as pd
+
+    columns = ["torrent", "index", "basename", "relpath", "length"]
+
+    def run(batches):
+        for df in batches:
+            out = []
+            for path, content in zip(df["path"], df["content"], strict=True):
+                info = unbencoded(content)[b"info"]
+                text = lambda x: x.decode("utf-8", "replace")
+                listed = info[b"files"] if b"files" in info else [{b"path": [info[b"name"]], b"length": info.get(b"length")}]
+                for i, f in enumerate(listed, 1):
+                    parts = [text(p) for p in f.get(b"path.utf-8") or f.get(b"path") or []]
+                    if parts and parts[-1]:
+                        out.append((path, i, parts[-1].lower(), "/".join(parts), f.get(b"length")))
+            yield pd.DataFrame(out, columns=columns).astype({"length": "Int64"})
+
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "torrent string, index long, basename string, relpath string, length long")
+
+
+def mirrored(spark: SparkSession, folder: str, needed: DataFrame) -> DataFrame:
+    """SRC13: (basename, path, size) of the files anywhere below a local mirror that are needed, by names in lower case; of files of the same name the first path."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.lower(F.element_at(F.split("path", "/"), -1)).alias("basename"), "path", F.col("length").alias("size"))
+    wanted = needed.select(F.lower("basename").alias("basename")).distinct()
+    first = F.min(F.struct("path", "size")).alias("f")
+    return found.join(wanted, "basename", "left_semi").groupBy("basename").agg(first).select("basename", "f.path", "f.size")
+
+
 def missing_files(needed: DataFrame, present: DataFrame, name: str = "name") -> DataFrame:
-    """SRC12, SRC13, DRV1, JON14: names of a manifest that no file has."""
+    """DRV1, JON14: names of a manifest that no file has."""
     return needed.select(name).distinct().join(present.select(name).distinct(), name, "left_anti")
 
 
@@ -111,7 +169,8 @@ def traces(rows: DataFrame) -> DataFrame:
 
 def result_folders(files: DataFrame, root: str) -> DataFrame:
     """SRC17: model, split, context, phrase and run suffix of result files, the latest file of each folder."""
-    inside = F.split(F.regexp_replace("path", "^.*?" + root.rstrip("/") + "/", ""), "/")
+    behind = F.expr(f"locate('{root.rstrip('/').replace(chr(92), chr(92) * 2).replace(chr(39), chr(92) + chr(39))}/', path)")
+    inside = F.split(F.when(behind > 0, F.substr("path", behind + len(root.rstrip("/")) + 1)).otherwise(F.col("path")), "/")
     n = F.size(inside)
     parts = files.select("path", F.element_at(inside, -1).alias("file"), F.slice(inside, F.lit(1), n - 1).alias("d")).where(F.size("d") >= 4)
     rows = parts.select("path", "file", *[F.col("d")[i].alias(c) for i, c in enumerate(("model", "split", "context", "phrase"))], F.get("d", F.lit(4)).alias("run_suffix"))
