@@ -12,6 +12,7 @@ from .catalog import _DEPTH, Tables, _comments, query
 from .functions import numbers as N
 from .functions import text as S
 from .operators import aggregates as A
+from .operators import clusters
 from .operators import filters as P
 from .operators import joins as J
 from .operators import media as M
@@ -19,7 +20,7 @@ from .operators import models
 from .operators import prompts as R
 from .operators import reports, similarity, splits, trees
 from .operators import validation as V
-from .plans import construct
+from .plans import construct, evaluate
 from .sources import archives, sinks, tables
 from .staging import staged_path
 
@@ -37,6 +38,18 @@ def _pick_sql(key: str, *values: str | None) -> str:
 # Sources and sinks
 
 
+@query("SELECT event_id, event_type, user_id FROM events WHERE event_type IS NOT NULL")
+def snk_zst_by_path(t: Tables) -> DataFrame:
+    """SRC1, SNK2: one scan to a folder of compressed lines for each event type, read back by their paths; archives of many frames are many tasks."""
+    folder = staged_path(t.spark, "zst-by-path")
+    rows = t.events.select("event_id", "user_id", F.col("event_type").alias("place"))
+    sinks.write_zst_by_path(rows, folder, "place")
+    kinds = [r[0] for r in rows.select("place").where("place IS NOT NULL").distinct().collect()]  # a handful of types
+    lines = archives.read_archives(t.spark, [f"{folder}/{k}" for k in sorted(kinds)], split_bytes=1 << 16)
+    found = tables.parse_json(lines, "event_id bigint, user_id bigint")
+    return found.select("event_id", F.element_at(F.split("path", "/"), -2).alias("event_type"), "user_id")
+
+
 @query("SELECT event_id, user_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def src_zst_lines(t: Tables) -> DataFrame:
     """SRC1, SNK1: written as compressed lines, in two appends, and scanned again."""
@@ -711,3 +724,28 @@ def clu_voted_labels(t: Tables) -> DataFrame:
     return A.majority(votes, ["cluster_id"], "label", "seq")
 
 
+_LABELS = "SELECT CASE WHEN source IN ('src1', 'src2') THEN 'c' ELSE 'old' END AS subreddit_cluster_label, CASE WHEN lang = 'de' THEN 'new' ELSE 'old' END AS rule_cluster_label, quality, toxic FROM documents JOIN labels USING (doc_id)"
+_RIGHT = "round((sum(quality) + sum(toxic))::DOUBLE / (2 * count(*)), 9) AS accuracy, round(sum(quality)::DOUBLE / count(*), 9) AS violating_accuracy, round(sum(toxic)::DOUBLE / count(*), 9) AS compliant_accuracy"
+
+
+@query(
+    f"""SELECT CASE WHEN grouping(subreddit_cluster_label) = 0 THEN 'subreddit_cluster_label' WHEN grouping(rule_cluster_label) = 0 THEN 'rule_cluster_label' ELSE 'overall' END AS grouping,
+coalesce(subreddit_cluster_label, rule_cluster_label) AS value, count(*) AS n, {_RIGHT} FROM ({_LABELS}) GROUP BY GROUPING SETS ((subreddit_cluster_label), (rule_cluster_label), ())"""
+)
+def rep_relabelled(t: Tables) -> DataFrame:
+    """REP6, JON8: accuracies after communities and rules got other labels."""
+    own = {"subreddit": "source", "rule": "lang", "violating": "quality", "compliant": "toxic"}
+    before = {"subreddit_cluster_id": F.lit(1), "subreddit_cluster_label": F.lit("old"), "rule_cluster_id": F.lit(2), "rule_cluster_label": F.lit("old")}
+    results = t.documents.select("doc_id", "source", "lang").join(t.labels, "doc_id").select("doc_id", *[F.col(c).alias(n) for n, c in own.items()]).withColumns(before)
+    communities = t.documents.where("source IN ('src1', 'src2')").select(F.col("source").alias("subreddit")).distinct().withColumns({"cluster_id": F.lit(7), "cluster_label": F.lit("c")})
+    rules = t.documents.where("lang = 'de'").select(F.col("lang").alias("rule"), F.lit(9).alias("cluster_id"), F.lit("new").alias("cluster_label"), F.col("doc_id").alias("seq"))
+    found = evaluate.relabelled_evaluation(results, communities, rules, ("subreddit_cluster_label", "rule_cluster_label"))
+    return found.select("grouping", "value", "n", *[F.round(c, 9).alias(c) for c in ("accuracy", "violating_accuracy", "compliant_accuracy")])
+
+
+@query("SELECT vec_id AS id, CASE WHEN label IN (0, 3) THEN -1 ELSE label END::BIGINT AS cluster_id, CASE WHEN label IN (0, 3) THEN 'Noise' ELSE 'Cluster ' || label END AS cluster_label FROM embeddings")
+def clu_applied(t: Tables) -> DataFrame:
+    """REP8: the best clustering takes the place of the old one; rows that it lacks, and its noise, are noise."""
+    old = t.embeddings.select(F.col("vec_id").alias("id"), F.lit(5).cast("bigint").alias("cluster_id"), F.lit("old").alias("cluster_label"))
+    best = t.embeddings.where("label <> 3").select(F.col("vec_id").alias("id"), F.when(F.col("label") == 0, -1).otherwise(F.col("label")).cast("bigint").alias("cluster_id"))
+    return clusters.applied(old, best)
