@@ -21,7 +21,7 @@ from .operators import prompts as R
 from .operators import reports, similarity, splits, trees
 from .operators import validation as V
 from .plans import construct, evaluate
-from .sources import archives, sinks, tables
+from .sources import archives, calls, sinks, tables
 from .staging import staged_path
 
 
@@ -539,6 +539,37 @@ def mod_token_lengths(t: Tables) -> DataFrame:
     return models.token_lengths(t.documents.select("doc_id", "text"), lambda: lambda texts: [len(x) for x in texts]).select("doc_id", "n_tokens")
 
 
+_BODIES = """
+SELECT conv_id, '[' || string_agg('{"role":' || CAST(to_json(coalesce(role, 'user')) AS VARCHAR) || ',"content":' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || '}', ',' ORDER BY turn) || ']' AS body
+FROM conversations GROUP BY conv_id
+"""
+
+
+@query(_BODIES)
+def mod_request_bodies(t: Tables) -> DataFrame:
+    """MOD4: whole conversations as a service takes them."""
+    turn = F.struct("turn", F.struct("role", F.col("text").alias("content"), F.lit(None).cast("array<struct<type:string,text:string,image:string>>").alias("parts")).alias("m"))
+    said = F.transform(F.array_sort(F.collect_list(turn)), lambda x: x["m"]).alias("messages")
+    rows = t.conversations.groupBy(F.col("conv_id").alias("id")).agg(said).withColumn("media_files", F.array().cast("array<string>"))
+    return calls.request_bodies(rows).withColumnRenamed("id", "conv_id")
+
+
+_BOTH = """
+SELECT a.conv_id, length(a.text) AS violating_length, length(b.text) AS compliant_length
+FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1
+WHERE a.text <> '' AND b.text <> ''
+"""
+
+
+@query(_BOTH)
+def mod_complete_pairs(t: Tables) -> DataFrame:
+    """MOD4: pairs whose both threads have content, the first turn's and the second's."""
+    turns = t.conversations.where("turn IN (0, 1)")
+    found = turns.select(F.concat_ws("_", "conv_id", F.when(F.col("turn") == 0, "violating").otherwise("compliant")).alias("id"), F.col("text").alias("content"), F.lit("").alias("reasoning"))
+    pairs = calls.complete_pairs(t.conversations.select("conv_id").distinct(), found, "conv_id")
+    return pairs.select("conv_id", *[F.length(f"{x}_content").cast("bigint").alias(f"{x}_length") for x in ("violating", "compliant")])
+
+
 # Media
 
 _TYPES = ("image/jpeg", "IMAGE/PNG; charset=x", "text/html", None, "image/webp")

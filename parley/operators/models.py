@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Fixed value: what a second model goes on from.
+ANSWER_PHRASE = "\n\nFinal Choice:"
+
+
 class Embedder(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
@@ -102,6 +106,15 @@ def generated(rows: DataFrame, factory: Callable[[], Generator] = EchoGenerator,
     return second.withColumn("prediction", answer_choice(F.concat(F.lit("("), F.col("answer")))).drop("_prefilled")
 
 
+def extracted(rows: DataFrame, factory: Callable[[], Generator] = EchoGenerator, prompt: str = "prompt", content: str = "content", tokens: int = 10) -> DataFrame:
+    """MOD4: a second model's short answer after a service's content, which may have left its thinking open, and the choice it names."""
+    from ..functions.text import answer_choice, closed_thinking
+
+    first = rows.withColumn("_prefilled", F.concat(F.col(prompt), closed_thinking(F.col(prompt), F.col(content)), F.lit(ANSWER_PHRASE)))
+    second = _mapped(first, "_prefilled", "answer", "string", factory, lambda m, t: m.generate(t, tokens))
+    return second.withColumn("prediction", answer_choice(F.col("answer"))).drop("_prefilled")
+
+
 def fetched(plan: DataFrame, factory: Callable[[], Fetcher] = NoFetcher) -> DataFrame:
     """SNK12: success and error of each item of a media plan."""
     rows = _mapped(plan, "url", "_r", "array<string>", factory, lambda m, u: [[str(a), b] for a, b in m.fetch(u)])
