@@ -19,7 +19,7 @@ from .operators import clusters as C
 from .operators import filters as P
 from .operators import joins as J
 from .operators import media as M
-from .operators import layout, neighbours, reports, resamples, similarity, splits, trees
+from .operators import geometry, layout, neighbours, reports, resamples, similarity, splits, trees
 from .operators import prompts as R
 from .operators import validation as V
 from .plans import evaluate
@@ -662,6 +662,27 @@ def clu_layout(t: Tables) -> DataFrame:
     return layout.layout(points).select("id", F.col("y")[0].alias("x"), F.col("y")[1].alias("y"))
 
 
+def _plane(t: Tables) -> DataFrame:
+    """Every labelled vector by its first two components, turned by 30 degrees."""
+    e = t.embeddings.where("label IS NOT NULL AND embedding IS NOT NULL")
+    x, y = geometry.rotated(F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double"), 30)
+    return e.select("vec_id", F.col("label").cast("bigint").alias("cluster_id"), x.alias("x"), y.alias("y"))
+
+
+@query("""SELECT vec_id, round(sqrt(3) / 2 * embedding[1]::DOUBLE - 0.5 * embedding[2]::DOUBLE, 6) AS x, round(0.5 * embedding[1]::DOUBLE + sqrt(3) / 2 * embedding[2]::DOUBLE, 6) AS y
+FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL""")
+def mth_rotated(t: Tables) -> DataFrame:
+    return _plane(t).select("vec_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query()
+def clu_coloured(t: Tables) -> DataFrame:
+    """CLU6, MTH9: a colour for the hull of each label, none that an overlapping one has, with its centre."""
+    hulls = staged(geometry.hulls(_plane(t)), "label-hulls")
+    centres = hulls.select("cluster_id", geometry.centroid(F.col("polygon")).alias("c")).select("cluster_id", F.col("c.x").alias("x"), F.col("c.y").alias("y"))
+    return geometry.coloured(centres, geometry.overlaps(hulls)).join(centres, "cluster_id").select("cluster_id", F.col("colour").cast("bigint").alias("colour"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
 @query()
 def clu_neighbour_graph(t: Tables) -> DataFrame:
     """The 15 nearest of every vector, by descent."""

@@ -630,6 +630,36 @@ def spl_assembled(t: Tables) -> DataFrame:
     return found.where((F.col("violating_correct_answer") == right) & (F.size("compliant_answer_options") == 3)).select("o_orderkey", F.col("num_media").cast("bigint").alias("num_media"), F.array_join("media_files", ",").alias("files"))
 
 
+_SPLIT = "CASE WHEN o_orderstatus = 'F' THEN 'train' ELSE 'test' END"
+
+
+@query(f"SELECT DISTINCT o_orderpriority AS subreddit, {_SPLIT} AS split, l_orderkey AS submission_id, l_linenumber AS node FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+def spl_trees(t: Tables) -> DataFrame:
+    """SPL2: every line is a node of its order's tree."""
+    nodes = t.lineitem.select(F.col("l_orderkey").alias("submission_id"), F.col("l_linenumber").alias("node")).distinct()
+    return splits.split_trees(_split_orders(t), nodes)
+
+
+_DISTRIBUTION = f"""
+WITH p AS (SELECT o_orderpriority AS subreddit, {_SPLIT} AS split, l_returnflag AS rule FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+c AS (SELECT subreddit, split, rule, count(*) AS n FROM p GROUP BY ALL),
+s AS (SELECT *, n / sum(n) OVER w AS q, 1.0::DOUBLE / count(*) OVER w AS u FROM c WINDOW w AS (PARTITION BY subreddit, split))
+SELECT subreddit, split, CAST(sum(n) AS BIGINT) AS total_thread_pairs, count(*) AS n_rules, round(0.5 * sum(q * ln(2 * q / (q + u)) + u * ln(2 * u / (q + u))), 9) AS jsd_from_uniform
+FROM s GROUP BY subreddit, split
+"""
+
+
+@query(_DISTRIBUTION)
+def spl_distribution(t: Tables) -> DataFrame:
+    """SPL2: pairs and rules of each community and split."""
+    pairs = _split_orders(t).join(t.lineitem.select(F.col("l_orderkey").alias("submission_id"), F.col("l_returnflag").alias("rule")), "submission_id")
+    return splits.distribution(pairs).withColumn("jsd_from_uniform", F.round("jsd_from_uniform", 9))
+
+
+def _split_orders(t: Tables) -> DataFrame:
+    return t.orders.select(F.col("o_orderpriority").alias("subreddit"), F.when(F.col("o_orderstatus") == "F", "train").otherwise("test").alias("split"), F.col("o_orderkey").alias("submission_id"))
+
+
 @query("SELECT lang, CAST(row_number() OVER (ORDER BY lang) - 1 AS BIGINT) AS code FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)")
 def lod_group_codes(t: Tables) -> DataFrame:
     """LOD5."""

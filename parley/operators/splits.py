@@ -89,6 +89,8 @@ def with_labels(pairs: DataFrame) -> DataFrame:
 def assembled(pairs: DataFrame, submissions: DataFrame, files: DataFrame) -> DataFrame:
     """SPL2: a split's pairs of submissions that are there, with options, correct labels, and the submission's media files in order.
 
+    The split's trees and its distribution of rules are tables of their own: split_trees, distribution.
+
     files: (file); a file is a submission's if the submission's id and an underscore begin its name.
     """
     known = submissions.select("submission_id").distinct()
@@ -97,6 +99,27 @@ def assembled(pairs: DataFrame, submissions: DataFrame, files: DataFrame) -> Dat
     return rows.withColumn("media_files", F.coalesce("media_files", F.array().cast("array<string>"))).withColumn("num_media", F.size("media_files"))
 
 
+def split_trees(pairs: DataFrame, comments: DataFrame, by: tuple[str, ...] = ("subreddit", "split")) -> DataFrame:
+    """SPL2: the comment trees of a split, as rows of (by, comments' columns): those of submissions that its pairs belong to. A tree that two splits use is in both. Trees stay rows, as one of any size does; their links are in the comments' parent_id."""
+    used = pairs.select(*by, F.col("submission_id").alias("_s")).distinct()
+    return comments.join(used, F.col("submission_id") == F.col("_s")).select(*by, *comments.columns)
+
+
+def distribution(pairs: DataFrame, by: tuple[str, ...] = ("subreddit", "split"), rule: str = "rule") -> DataFrame:
+    """SPL2: (by, total_thread_pairs, n_rules, jsd_from_uniform) of each split.
+
+    The divergence of rules in use from a uniform spread over them; pairs without a rule count in the total alone, and a split without any rule has 1. No list of all groups and rules is made: a rule that a split does not use takes no part.
+    """
+    used = F.coalesce(F.col(rule), F.lit("")) != ""
+    counts = pairs.groupBy(*by, F.when(used, F.col(rule)).alias("_rule")).agg(F.count("*").alias("_n"))
+    ruled = F.col("_rule").isNotNull()
+    found = counts.groupBy(*by).agg(F.sum("_n").cast("bigint").alias("total_thread_pairs"), F.count_if(ruled).alias("n_rules"), F.sum(F.when(ruled, F.col("_n"))).alias("_all"), F.collect_list(F.when(ruled, F.col("_n"))).alias("_counts"))
+    p, u = lambda n: n / F.col("_all"), F.lit(1.0) / F.col("n_rules")
+    term = lambda n: p(n) * F.log(2 * p(n) / (p(n) + u)) + u * F.log(2 * u / (p(n) + u))
+    jsd = 0.5 * F.aggregate(F.array_sort("_counts"), F.lit(0.0), lambda a, n: a + term(n))
+    return found.select(*by, "total_thread_pairs", "n_rules", F.when(F.col("n_rules") > 0, jsd).otherwise(F.lit(1.0)).alias("jsd_from_uniform"))
+
+
 def stratified(pool: DataFrame, total: int, seed: int, key: str = "key") -> DataFrame:
     """SMP1: uniform targets over clusters but `Other`, no community twice, then filled from `Other`.
 

@@ -41,9 +41,9 @@ def test_same_as_sql(spark, duck, smallest, name):
 
 
 def test_queries_without_sql_are_tested_in_python():
-    """In test_plain.py, test_whole_jobs.py, test_neighbours.py, test_layout.py and test_resamples.py."""
+    """In test_plain.py, test_whole_jobs.py, test_neighbours.py, test_layout.py, test_geometry.py and test_resamples.py."""
     plain = {"str_clean_entities", "spl_assign_seeded", "smp_stratified", "prj_thread_prompt", "tree_greedy_pairs", "clu_kmeans_quality"}
-    whole = {"clu_grid_search", "sim_matrix_all", "sim_match_threshold_all", "bst_ci", "clu_grid_tables", "clu_neighbour_graph", "clu_layout", "bst_exact_ci"}
+    whole = {"clu_grid_search", "sim_matrix_all", "sim_match_threshold_all", "bst_ci", "clu_grid_tables", "clu_neighbour_graph", "clu_layout", "bst_exact_ci", "clu_coloured"}
     assert set(catalog.QUERIES) - set(catalog.ORACLES) == plain | whole
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import random
 
 import numpy as np
@@ -304,3 +305,18 @@ def test_streams(spark, tmp_path):
     query = completion.completed(stream, expected).writeStream.format("memory").queryName("done").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert [tuple(r) for r in spark.sql("SELECT * FROM done WHERE complete").collect()] == [("p", 3, True)]
+
+
+def test_split_trees_and_distribution(spark):
+    from parley.operators import splits
+
+    pairs = spark.createDataFrame([("a", "test", "s1", "r"), ("a", "train", "s1", "r"), ("a", "train", "s2", "q"), ("a", "train", "s2", "q"), ("b", "test", "s3", None), ("b", "test", "lost", ""), (None, "val", "s4", "r")], "subreddit string, split string, submission_id string, rule string")
+    comments = spark.createDataFrame([("s1", "c1", None), ("s1", "c2", "c1"), ("s2", "c3", None), ("s9", "c4", None)], "submission_id string, comment_id string, parent_id string")
+    trees = {tuple(r) for r in splits.split_trees(pairs, comments).collect()}
+    assert trees == {("a", "test", "s1", "c1", None), ("a", "test", "s1", "c2", "c1"), ("a", "train", "s1", "c1", None), ("a", "train", "s1", "c2", "c1"), ("a", "train", "s2", "c3", None)}
+    found = {(r["subreddit"], r["split"]): (r["total_thread_pairs"], r["n_rules"], r["jsd_from_uniform"]) for r in splits.distribution(pairs).collect()}
+    assert found[("a", "test")] == (1, 1, 0.0) and found[("b", "test")] == (2, 0, 1.0) and found[(None, "val")] == (1, 1, 0.0)
+    p, u = [1 / 3, 2 / 3], 1 / 2
+    jsd = sum(x * math.log(2 * x / (x + u)) + u * math.log(2 * u / (x + u)) for x in p) / 2
+    assert found[("a", "train")][:2] == (3, 2) and abs(found[("a", "train")][2] - jsd) < 1e-12
+    assert splits.distribution(pairs.limit(0)).count() == 0
