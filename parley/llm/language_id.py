@@ -8,7 +8,7 @@ not accepted.
 
 Only text and non-null `lang` of documents that are not held out are learned from.
 Their whole texts are cut into passages of PASSAGE_CHARS characters, and of each
-language at most PASSAGES_A_LANGUAGE are fitted, chosen by a hash of id, text and
+language at most PASSAGES_A_LANGUAGE are tried, chosen by a hash of id, text and
 place, so that every part of every text has its chance; each language has its
 document of the smallest hash at least. HELD_PASSAGES more of each language set the
 margin: the least one, between MIN_MARGIN and MAX_MARGIN, that is right for a share
@@ -28,12 +28,13 @@ from __future__ import annotations
 import math
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, held_out, packed, text_batches, unpacked
+from .common import column, held_out, packed, staged, text_batches, unpacked
 
 LEVEL = 12
 CHUNK_BYTES = 4096
@@ -90,36 +91,48 @@ def fit(docs: DataFrame, modulus: int = 5, remainder: int = 0, dictionary_bytes:
     counts = {r["lang"]: (r["n"], r["least"]) for r in found}
     if not counts:
         return [], MIN_MARGIN
-    own: dict[str, list[tuple[int, str]]] = {}
-    for r in _passages(rows, counts, passages + HELD_PASSAGES).collect():
-        own.setdefault(r["lang"], []).append((r["_n"], r["text"]))
-    out, held = [], []
-    for lang in counts:
+    chosen = staged(_passages(rows, counts, passages + HELD_PASSAGES), "passages")
+
+    def dictionary(df: pd.DataFrame) -> pd.DataFrame:
         buffer, seen = bytearray(), set()
-        for n, text in sorted(own[lang]):
+        for text in df.sort_values("_n")["text"]:
             data = normalised(text)
-            if n > passages:
-                held.append((lang, text))
-            elif data not in seen and len(buffer) + len(data) < dictionary_bytes:
+            if data not in seen and len(buffer) + len(data) < dictionary_bytes:
                 seen.add(data)
                 buffer += data + b"\n"
-        if len(buffer) >= 8:
-            out.append((lang, bytes(buffer)))
-    return out, fitted_margin(held, out)
+        return pd.DataFrame({"lang": [df["lang"].iloc[0]], "dictionary": [bytes(buffer)]})
+
+    # A language's group holds at most `passages` of them.
+    made = chosen.where(F.col("_n") <= passages).groupBy("lang").applyInPandas(dictionary, "lang string, dictionary binary").collect()
+    built = {r["lang"]: bytes(r["dictionary"]) for r in made}
+    out = [(lang, built[lang]) for lang in counts if len(built.get(lang, b"")) >= 8]
+    # Held passages are compressed in tasks; margins with counts come back.
+    held = identify(chosen.where(F.col("_n") > passages).select("lang", "text"), out, "text", min_margin=MIN_MARGIN).where("accepted")
+    judged = held.groupBy("margin").agg(F.count("*").alias("n"), F.count_if(F.col("lang_pred") == F.col("lang")).alias("right")).collect()
+    return out, _least_margin([(r["margin"], r["n"], r["right"]) for r in judged])
 
 
 def fitted_margin(held: list[tuple[str, str]], dictionaries: list[tuple[str, bytes]]) -> float:
-    """The least margin between MIN_MARGIN and MAX_MARGIN with which a share PRECISION of the texts accepted is told right; MAX_MARGIN where none has."""
+    """The margin that a few texts at hand set; fit() compresses its own in tasks."""
     found = classify([text for _, text in held], dictionaries, min_margin=MIN_MARGIN)
-    judged = sorted(((margin, pred == lang) for (lang, _), (pred, _, margin, accepted) in zip(held, found, strict=True) if accepted), reverse=True)
-    right, best = 0, MIN_MARGIN if not judged else MAX_MARGIN
-    for n, (margin, ok) in enumerate(judged, 1):
-        right += ok
-        whole = n == len(judged) or judged[n][0] < margin
-        if whole and right >= PRECISION * n:
+    return _least_margin([(margin, 1, int(pred == lang)) for (lang, _), (pred, _, margin, accepted) in zip(held, found, strict=True) if accepted])
+
+
+def _least_margin(judged: list[tuple[float, int, int]]) -> float:
+    """The least margin between MIN_MARGIN and MAX_MARGIN with which a share PRECISION of the texts accepted is told right; MAX_MARGIN where none has. judged: margin, texts of it and how many of them are told right."""
+    by_margin: dict[float, list[int]] = {}
+    for margin, n, right in judged:
+        of = by_margin.setdefault(margin, [0, 0])
+        of[0] += n
+        of[1] += right
+    n = right = 0
+    best = MAX_MARGIN if judged else MIN_MARGIN
+    for margin in sorted(by_margin, reverse=True):
+        n, right = n + by_margin[margin][0], right + by_margin[margin][1]
+        if right >= PRECISION * n:
             best = min(best, margin)
     # Where all are accepted at the least margin, nothing argues for more.
-    return MIN_MARGIN if right >= PRECISION * len(judged) else best
+    return MIN_MARGIN if right >= PRECISION * n else best
 
 
 def _compressors(dictionaries: list[tuple[str, bytes]], level: int) -> list:
