@@ -12,7 +12,11 @@ each with the chance that the text goes on, and of the chance that it ends; the
 chances are learned from the training texts' words and ends.
 
 `rounds` above 0 fits the pieces' weights to the training words, from the file's, by
-expectation-maximisation over whole lattices. The query does not.
+expectation-maximisation over whole lattices. `whole_words` adds one arc to each lattice
+whose word the training texts hold: the word as a piece, with its share c / (n + v) of
+their n words, of which v are distinct. All cuts into the vocabulary's pieces share the
+rest, v / (n + v). As they then stand for words that the training texts lack, weights are
+fitted to each distinct training word once. The query does both.
 
 Texts are tokenised once, in blocks of up to BLOCK_BYTES that stay within a
 partition. A block gives its distinct words with training counts, and for each
@@ -263,8 +267,8 @@ def _tokenise(batches):
         yield from _block(number + 1, ids, held, texts)
 
 
-def _expected(words: DataFrame, shipped, logs: np.ndarray) -> np.ndarray:
-    """Expected counts of all pieces over the training words: a row for each piece and task, then one for each piece."""
+def _expected(words: DataFrame, shipped, logs: np.ndarray, once: bool) -> np.ndarray:
+    """Expected counts of all pieces over the training words (once: each distinct one counts once): a row for each piece and task, then one for each piece."""
     shared = words.sparkSession.sparkContext.broadcast(logs)
 
     def run(batches):
@@ -276,7 +280,7 @@ def _expected(words: DataFrame, shipped, logs: np.ndarray) -> np.ndarray:
             some = np.nonzero(found)[0]
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some])], names=["piece", "n"])
 
-    rows = words.where("c > 0 AND token <> X''").select("token", "c").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    rows = words.where("c > 0 AND token <> X''").select("token", F.lit(1).cast("bigint").alias("c") if once else "c").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(len(logs))
     for r in rows:
         out[r["piece"]] = r["n"]
@@ -289,10 +293,10 @@ def file_logs(proto: bytes) -> np.ndarray:
     return np.log(weights / weights.sum())
 
 
-def lm_scores(docs: DataFrame, model_path: str, modulus: int = 7, remainder: int = 2, rounds: int = 0) -> DataFrame:
+def lm_scores(docs: DataFrame, model_path: str, modulus: int = 7, remainder: int = 2, rounds: int = 0, whole_words: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every document.
 
-    rounds: of fitting the pieces' weights to the training words; none leaves the vocabulary's own.
+    rounds: of fitting the pieces' weights to the training words; none leaves the vocabulary's own. whole_words: words of the training texts are pieces too.
     """
     spark = docs.sparkSession
     proto = read_shipped(model_path)
@@ -315,7 +319,7 @@ def lm_scores(docs: DataFrame, model_path: str, modulus: int = 7, remainder: int
     ending = (ends + 1) / (trained + 2)
     logs = file_logs(proto)
     for _ in range(rounds if trained > ends else 0):
-        known = _expected(words, shipped, logs) + SMOOTHING
+        known = _expected(words, shipped, logs, whole_words) + SMOOTHING
         logs = np.log(known / known.sum())
     shared = spark.sparkContext.broadcast(logs)
 
@@ -332,6 +336,8 @@ def lm_scores(docs: DataFrame, model_path: str, modulus: int = 7, remainder: int
     over = float(trained + distinct + 1)
     # An end has no lattice: its value is null.
     end_value, going_on = math.log(ending), math.log1p(-ending)
+    plain, kinds_of = trained - ends, distinct - (ends > 0)  # words of the training texts, and distinct ones
+    joined = whole_words and plain > 0
 
     def score(own: pa.Table, found: pa.Table) -> pa.Table:
         at = found.column("number").to_numpy()
@@ -339,6 +345,9 @@ def lm_scores(docs: DataFrame, model_path: str, modulus: int = 7, remainder: int
         p = np.zeros(len(at))
         c[at], p[at] = found.column("c").to_numpy(), found.column("log_p").to_numpy().astype(float)
         base = np.log10((c + 1) / over)
+        if joined:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                p = np.logaddexp(np.log(c / (plain + kinds_of)), p + math.log(kinds_of / (plain + kinds_of)))
         p = np.where(np.isnan(p), end_value, p + going_on) / math.log(10)
         out = []
         for numbers, times in zip(own.column("numbers").to_pylist(), own.column("times").to_pylist(), strict=True):

@@ -190,6 +190,29 @@ def test_scores_of_documents(some):
     assert found.keys() == want.keys() and all(abs(found[i] - want[i]) < 1e-6 for i in want)
 
 
+def test_whole_words_are_arcs_of_the_lattice(spark):
+    """Words of the training texts as further pieces, against an enumeration; the rest is shared by all segmentations."""
+    weights = plain_weights()
+    texts = ["the cat", "THE  Cats\nsat", "\u00e9a xq $$", "", "a a a b", "thing", "new words here"]
+    rows = [(i, t) for i, t in enumerate(texts * 4)]
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+    words = {i: WORD.findall(lowered(t)) for i, t in rows}
+    c = Counter(x for i, own in words.items() if not held[i] for x in own)
+    n, v, ends = sum(c.values()), len(c), sum(not h for h in held.values())
+    e = (ends + 1) / (n + ends + 2)
+    chance = lambda x: (c[x] + v * all_segmentations(b"\xff" + x.encode(), weights)) / (n + v)
+    want = {i: math.log10(e) + sum(math.log10((1 - e) * chance(x)) for x in own) for i, own in words.items()}
+    found = {r["doc_id"]: r["score"] for r in lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), P.path("piece_bpe_32k.model"), whole_words=True).collect()}
+    assert found.keys() == want.keys() and all(abs(found[i] - want[i]) < 1e-9 for i in want)
+
+
+def test_query_scores_held_out_texts_near_their_base(spark, smallest):
+    """The base gives words that training lacks more than any sum over all strings can, so the score may stay a little below."""
+    rows = registry.QUERIES["op5_lm_scoring"](spark, smallest).where("held_out").collect()
+    score, base = (sum(r[k] for r in rows) for k in ("score", "base_score"))
+    assert rows and all(math.isfinite(r["score"]) and r["score"] < 0 for r in rows) and score > 1.4 * base
+
+
 def test_expected_counts_of_pieces():
     tool = lm_scoring.pieces(open(P.path("piece_bpe_32k.model"), "rb").read())
     logs = np.log(tool.first / tool.first.sum())
