@@ -7,13 +7,13 @@ smallest total wins; where the second is within MIN_MARGIN of it, the document i
 not accepted.
 
 Only text and non-null `lang` of documents that are not held out are learned from.
-Their whole texts are cut into passages of PASSAGE_CHARS characters, and of each
-language at most PASSAGES_A_LANGUAGE are tried, chosen by a hash of id, text and
-place, so that every part of every text has its chance; each language has its
-document of the smallest hash at least. HELD_PASSAGES more of each language set the
-margin: the least one, between MIN_MARGIN and MAX_MARGIN, that is right for a share
-PRECISION of them that it accepts. More than MAX_LANGUAGES languages raise: none is
-dropped.
+The words of all of them are counted, and a dictionary holds the most frequent ones of
+its language, as many as it has room for, the most frequent next to the text. Where it
+has room for all, passages of PASSAGE_CHARS characters fill the rest, at most
+PASSAGES_A_LANGUAGE by a hash of id, text and place. All texts that are learned from set
+the margin: the least one, in steps of STEP between MIN_MARGIN and MAX_MARGIN, that is
+right for a share PRECISION of them that it accepts. More than MAX_LANGUAGES languages
+raise: none is dropped.
 
 Cases. Null text or text without a letter: `und`, score 0, not accepted. A tie in
 size: the language with more training documents, of equally many the first by name;
@@ -30,7 +30,7 @@ from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,11 +43,11 @@ DICTIONARY_BYTES = 110_000
 MAX_LANGUAGES = 256
 PASSAGE_CHARS = 2048
 PASSAGES_A_LANGUAGE = 400
-HELD_PASSAGES = 100
 #: Relative lead of the smallest size over the next: the least that is asked for, the most, and the precision that sets it between.
 MIN_MARGIN = 0.002
 MAX_MARGIN = 0.02
 PRECISION = 0.999
+STEP = 1e-5
 #: Bytes of lead that make the score, a logistic of it, move by one unit.
 SCORE_BYTES = 8.0
 BATCH_BYTES = 2 << 20
@@ -79,41 +79,72 @@ def _passages(rows: DataFrame, counts: dict[str, tuple[int, float]], most: int)
     return cut.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= most).select("lang", "text", "_n")
 
 
-def fit(docs: DataFrame, modulus: int = 5, remainder: int = 0, dictionary_bytes: int = DICTIONARY_BYTES, passages: int = PASSAGES_A_LANGUAGE) -> tuple[list[tuple[str, bytes]], float]:
-    """(language, dictionary), the most frequent language first, and the margin: bounded by the parameters, whatever the input."""
+def _training(docs: DataFrame, modulus: int, remainder: int) -> DataFrame:
+    """id, lang, text, _u of what is learned from."""
     rows = packed(docs)
     rows = rows.select(column(rows, "doc_id", "string").alias("id"), column(rows, "text", "string").alias("text"), column(rows, "lang", "string").alias("lang"))
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id"), modulus, remainder))
-    rows = rows.withColumn("_u", F.pmod(F.xxhash64(F.lit("sample"), "id", "text"), F.lit(1 << 30)) / float(1 << 30))
+    return rows.withColumn("_u", F.pmod(F.xxhash64(F.lit("sample"), "id", "text"), F.lit(1 << 30)) / float(1 << 30))
+
+
+def _words(rows: DataFrame, dictionary_bytes: int) -> DataFrame:
+    """lang, text, _n: of each language the words that a dictionary can hold, by how often all its texts have them."""
+    words = rows.select("lang", F.explode(F.split(F.lower("text"), "[^\\p{L}\\p{M}]+")).alias("text")).where(f"text <> '' AND octet_length(text) < {dictionary_bytes}")
+    often = Window.partitionBy("lang").orderBy(F.desc("_c"), "text")
+    # A word and the space behind it take two bytes at least.
+    counted = words.groupBy("lang", "text").agg(F.count("*").alias("_c"))
+    return counted.withColumn("_n", F.row_number().over(often)).where(F.col("_n") <= dictionary_bytes // 2).select("lang", "text", "_n")
+
+
+def learned(docs: DataFrame, modulus: int = 5, remainder: int = 0, dictionary_bytes: int = DICTIONARY_BYTES, passages: int = PASSAGES_A_LANGUAGE) -> list[tuple[str, bytes]]:
+    """(language, dictionary), the most frequent language first: bounded by the parameters, whatever the input."""
+    rows = _training(docs, modulus, remainder)
     found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("_u").alias("least")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()
     if len(found) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages: their dictionaries are not shipped whole")
     counts = {r["lang"]: (r["n"], r["least"]) for r in found}
     if not counts:
-        return [], MIN_MARGIN
-    chosen = staged(_passages(rows, counts, passages + HELD_PASSAGES), "passages")
+        return []
+    # Passages have numbers below zero: they fill what words leave, and lie farther from the text.
+    chosen = _words(rows, dictionary_bytes).unionByName(_passages(rows, counts, passages).withColumn("_n", -F.col("_n")))
 
     def dictionary(df: pd.DataFrame) -> pd.DataFrame:
-        buffer, seen = bytearray(), set()
-        for text in df.sort_values("_n")["text"]:
+        words, seen, size = [], set(), 0
+        for text in df[df["_n"] > 0].sort_values("_n")["text"]:
+            data = text.encode() + b" "
+            if size + len(data) < dictionary_bytes:
+                words.append(data)
+                size += len(data)
+        before = bytearray()
+        for text in df[df["_n"] < 0].sort_values("_n", ascending=False)["text"]:
             data = normalised(text)
-            if data not in seen and len(buffer) + len(data) < dictionary_bytes:
+            if data not in seen and size + len(before) + len(data) < dictionary_bytes:
                 seen.add(data)
-                buffer += data + b"\n"
-        return pd.DataFrame({"lang": [df["lang"].iloc[0]], "dictionary": [bytes(buffer)]})
+                before += data + b"\n"
+        # The most frequent words lie next to the text.
+        return pd.DataFrame({"lang": [df["lang"].iloc[0]], "dictionary": [bytes(before) + b"".join(reversed(words))]})
 
-    # A language's group holds at most `passages` of them.
-    made = chosen.where(F.col("_n") <= passages).groupBy("lang").applyInPandas(dictionary, "lang string, dictionary binary").collect()
+    # A language's group holds the words of one dictionary and at most `passages`.
+    made = staged(chosen, "dictionary-parts").groupBy("lang").applyInPandas(dictionary, "lang string, dictionary binary").collect()
     built = {r["lang"]: bytes(r["dictionary"]) for r in made}
-    out = [(lang, built[lang]) for lang in counts if len(built.get(lang, b"")) >= 8]
-    # Held passages are compressed in tasks; margins with counts come back.
-    held = identify(chosen.where(F.col("_n") > passages).select("lang", "text"), out, "text", min_margin=MIN_MARGIN).where("accepted")
-    judged = held.groupBy("margin").agg(F.count("*").alias("n"), F.count_if(F.col("lang_pred") == F.col("lang")).alias("right")).collect()
-    return out, _least_margin([(r["margin"], r["n"], r["right"]) for r in judged])
+    return [(lang, built[lang]) for lang in counts if len(built.get(lang, b"")) >= 8]
+
+
+def learned_margin(found: DataFrame) -> float:
+    """The margin that all training texts of found (lang, lang_pred, margin, accepted) set; lang is null where a text is not learned from. Margins come back in steps of STEP, those from MAX_MARGIN on as one."""
+    step = F.floor(F.least("margin", F.lit(MAX_MARGIN)) / F.lit(STEP)).cast("int")
+    judged = found.where("accepted AND lang IS NOT NULL").groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.count_if(F.col("lang_pred") == F.col("lang")).alias("right")).collect()
+    return _least_margin([(r["step"] * STEP, r["n"], r["right"]) for r in judged])
+
+
+def fit(docs: DataFrame, modulus: int = 5, remainder: int = 0, dictionary_bytes: int = DICTIONARY_BYTES, passages: int = PASSAGES_A_LANGUAGE) -> tuple[list[tuple[str, bytes]], float]:
+    """The dictionaries of learned(), and the margin that the training texts set."""
+    dictionaries = learned(docs, modulus, remainder, dictionary_bytes, passages)
+    return dictionaries, learned_margin(identify(_training(docs, modulus, remainder).select("lang", "text"), dictionaries, "text"))
 
 
 def fitted_margin(held: list[tuple[str, str]], dictionaries: list[tuple[str, bytes]]) -> float:
-    """The margin that a few texts at hand set; fit() compresses its own in tasks."""
+    """The margin that a few texts at hand set; learned_margin() counts those of all training texts."""
     found = classify([text for _, text in held], dictionaries, min_margin=MIN_MARGIN)
     return _least_margin([(margin, 1, int(pred == lang)) for (lang, _), (pred, _, margin, accepted) in zip(held, found, strict=True) if accepted])
 
@@ -189,18 +220,24 @@ def identify(rows: DataFrame, dictionaries: list[tuple[str, bytes]], text: str,
     return rows.mapInArrow(run, schema)
 
 
+def _labels(rows: DataFrame, modulus: int, remainder: int) -> Column:
+    """A row's language where it is learned from, else null."""
+    return F.when(~held_out(column(rows, "doc_id", "string"), modulus, remainder), column(rows, "lang", "string"))
+
+
 def language_id(docs: DataFrame, modulus: int = 5, remainder: int = 0) -> DataFrame:
     """doc_id, held_out, lang_pred, score, margin and accepted of every document."""
-    dictionaries, least = fit(docs, modulus, remainder)
     rows = packed(docs)
-    rows = rows.select(column(rows, "doc_id", "bigint").alias("doc_id"), column(rows, "text", "string").alias("text"))
-    found = identify(rows, dictionaries, "text", min_margin=least)
-    return found.select("doc_id", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), "lang_pred", "score", "margin", "accepted")
+    rows = rows.select(column(rows, "doc_id", "bigint").alias("doc_id"), column(rows, "text", "string").alias("text"), _labels(rows, modulus, remainder).alias("lang"))
+    # Every text is compressed once, for its prediction and, where it is learned from, for the margin.
+    found = staged(identify(rows, learned(docs, modulus, remainder), "text").drop("text"), "identified")
+    accepted = F.col("accepted") & (F.col("margin") >= learned_margin(found))
+    return found.select("doc_id", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), "lang_pred", "score", "margin", accepted.alias("accepted"))
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
+def keep_identified(docs: DataFrame, modulus: int = 5, remainder: int = 0) -> DataFrame:
     """The documents whose language is told with enough margin; their columns as they were."""
-    dictionaries, least = fit(docs)
     rows = packed(docs)
-    rows = rows.select("_row", column(rows, "text", "string").alias("_text"))
-    return unpacked(identify(rows, dictionaries, "_text", min_margin=least).where("accepted"))
+    rows = rows.select("_row", column(rows, "text", "string").alias("_text"), _labels(rows, modulus, remainder).alias("lang"))
+    found = staged(identify(rows, learned(docs, modulus, remainder), "_text").where("accepted").drop("_text"), "identified")
+    return unpacked(found.where(F.col("margin") >= learned_margin(found)))

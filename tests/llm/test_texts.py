@@ -155,6 +155,18 @@ def test_language_sizes_are_the_librarys(spark, some):
     assert language_id.classify(["some words of text"], twice)[0] == ("b", 0.5, 0.0, False)
 
 
+def test_all_training_texts_are_learned_from(spark):
+    """Words of texts beyond any number of passages reach the dictionary by their counts, and a wrong text among many moves the margin."""
+    rows = [(None, f"ab{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} word", "x") for i in range(2600)] + [(None, "und der nicht", "y")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = dict(language_id.learned(docs))
+    assert {w for _, t, lang in rows if lang == "x" for w in t.split()} <= set(found["x"].decode().split())
+    assert found["x"].endswith(b" word ") and b"der " in found["y"]
+    judged = [("a", "a" if i else "b", 0.01, True) for i in range(1500)] + [("a", "b", 0.005, True)] * 3 + [(None, "b", 0.5, True)] * 50
+    margin = language_id.learned_margin(spark.createDataFrame(judged, "lang string, lang_pred string, margin double, accepted boolean"))
+    assert margin == pytest.approx(0.01, abs=2e-5)
+
+
 def test_margin_by_precision(monkeypatch):
     q = language_id
     assert q.fitted_margin([], []) == q.MIN_MARGIN
