@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from parley import catalog
 from parley.operators import clusters as C
@@ -82,6 +84,38 @@ def test_similarities_take_all_vectors(spark, tmp_path):
     assert want and {tuple(r) for r in catalog.QUERIES["sim_match_threshold_all"](spark, str(tmp_path)).collect()} == want
 
 
+@pytest.mark.parametrize("shape", [(3, 4), (1024, 1024)])
+def test_matches_hold_no_table_of_scores(spark, shape):
+    """Blocked products in three passes against a plain loop: ties, equal scores, nulls, not-a-numbers, other lengths, string ids."""
+    from parley.operators import similarity
+
+    rng = np.random.default_rng(5)
+    rows = [(int(i), [float(x) for x in rng.integers(-2, 3, 3)], int(rng.integers(0, 2))) for i in range(60)]
+    rows += [(60, None, 0), (61, [1.0, None, 1.0], 0), (62, [1.0], 0), (63, [float("nan"), 0.0, 0.0], 1), (64, [1.0, 0.0, 0.0], None), (65, [1.0, 1.0, 1.0], 7)]
+    df = spark.createDataFrame(rows, "rule_index long, embedding array<double>, subreddit int")
+    comments = df.withColumn("comment_id", F.col("rule_index")).drop("rule_index")
+
+    def plain(x, y):
+        if x is None or y is None or len(x) != len(y) or None in x or None in y:
+            return None
+        return float(np.float32(sum(a * b for a, b in zip(x, y))))
+
+    want = {(k, a, b): plain(x, y) for a, x, k in rows for b, y, j in rows if k is not None and k == j}
+    got = {tuple(r)[:3]: r["score"] for r in similarity.similarities(comments, df, slice_=shape[0], block=shape[1]).collect()}
+    assert got.keys() == want.keys() and all(got[k] == want[k] or (got[k] != got[k] and want[k] != want[k]) for k in got)
+    for apart, low, high in ((False, 50.0, 60.0), (True, 98.0, 99.2), (True, 90.0, 95.0)):
+        scores = {k: s for k, s in want.items() if s is not None and 63 not in k[1:] and not (apart and k[1] == k[2])}
+        cuts = [np.float32(np.percentile([s for s in scores.values()], q)) for q in (low, high)]
+        expected = set()
+        for k, a in {k[:2] for k in scores}:
+            own = [(s, -b) for (j, c, b), s in scores.items() if (j, c) == (k, a)]
+            if sum(s > cuts[0] for s, _ in own) <= 1 and max(own)[0] >= cuts[1]:
+                expected.add((k, a, -max(own)[1]))
+        found = similarity.matches(comments.where("comment_id <> 63"), df.where("rule_index <> 63"), low, high, apart=apart, slice_=shape[0], block=shape[1])
+        assert {tuple(r)[:3] for r in found.collect()} == expected
+    assert similarity.matches(comments.limit(0), df).count() == 0
+
+
 def test_intervals_of_both_groups_with_all_replicates(spark, smallest):
     got = {(r["grouping"], r["value"]): (r["low"], r["high"]) for r in catalog.QUERIES["bst_ci"](spark, smallest).collect()}
     assert {g for g, _ in got} == {"overall", "lang", "source"}
