@@ -61,20 +61,43 @@ def assigned(pairs: DataFrame, by: str, key: str, rng: str = "sha2") -> DataFram
 
 
 def _shuffled(pairs: DataFrame, by: str, key: str) -> DataFrame:
-    """Places of the keys of each group in its seeded shuffle. A group's keys are held together in one task, no other column is: for groups of up to some millions; `sha2` has no such bound."""
+    """Places of the keys of each group in its seeded shuffle. Groups stand together, sorted, within a partition, and go through in batches; a group's keys are held together, no other column is: for groups of up to some millions; `sha2` has no such bound."""
     import random
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(key)
-        order = list(range(len(df)))
-        random.Random(N.stable_hash(str(df[by].iloc[0]))).shuffle(order)
-        place = [0] * len(order)
+    import pyarrow as pa
+
+    def places(group, n: int) -> list[int]:
+        if n == 1:
+            return [1]
+        order, place = list(range(n)), [0] * n
+        random.Random(N.stable_hash(str(group))).shuffle(order)
         for at, i in enumerate(order):
             place[i] = at + 1
-        return df.assign(_place=place)
+        return place
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []  # the end of the last batches: one group
+        group, n = None, 0
+        for batch in batches:
+            groups, out, start = batch.column(0).to_pylist(), [], 0
+            for i, g in enumerate(groups):
+                if n and g != group:
+                    out += places(group, n)
+                    start, n = i, 0
+                group, n = g, n + 1
+            if out:
+                whole = pa.Table.from_batches([*held, batch.slice(0, start)])
+                yield from whole.append_column("_place", pa.array(out, pa.int32())).to_batches()
+                held = []
+            if start < len(groups):
+                held.append(batch.slice(start))
+        if n:
+            yield from pa.Table.from_batches(held).append_column("_place", pa.array(places(group, n), pa.int32())).to_batches()
 
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
-    return pairs.select(by, key).groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {key} {kinds[key]}, _place int")
+    # Rows without a group have no place: they meet nothing later.
+    rows = pairs.select(by, key).where(F.col(by).isNotNull()).repartition(by).sortWithinPartitions(F.asc(by), F.asc_nulls_last(key))
+    return rows.mapInArrow(run, f"{by} {kinds[by]}, {key} {kinds[key]}, _place int")
 
 
 def with_labels(pairs: DataFrame) -> DataFrame:

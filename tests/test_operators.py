@@ -320,3 +320,28 @@ def test_split_trees_and_distribution(spark):
     jsd = sum(x * math.log(2 * x / (x + u)) + u * math.log(2 * u / (x + u)) for x in p) / 2
     assert found[("a", "train")][:2] == (3, 2) and abs(found[("a", "train")][2] - jsd) < 1e-12
     assert splits.distribution(pairs.limit(0)).count() == 0
+
+
+def test_seeded_places_over_batches(spark):
+    """Groups that reach over batches, of one key, of many, and string groups, as one shuffle of each group's sorted keys; groups take no pandas call each."""
+    import random
+
+    from parley.functions import numbers as N
+    from parley.operators import splits
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(f"g{i % 5}", i * 37 % 101) for i in range(101)] + [("one", 5), (None, 3)] + [("long", i) for i in range(50)]
+        df = spark.createDataFrame(rows, "g string, k long")
+        found = splits._shuffled(df, "g", "k")
+        got = {(r["g"], r["k"]): r["_place"] for r in found.collect()}
+        assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for g in {g for g, _ in rows if g}:
+        keys = sorted(k for h, k in rows if h == g)
+        order = list(range(len(keys)))
+        random.Random(N.stable_hash(g)).shuffle(order)
+        want |= {(g, keys[i]): at + 1 for at, i in enumerate(order)}
+    assert got == want
