@@ -17,6 +17,14 @@ from .filters import by_moderator, removed
 
 #: Rounds of doubling: threads up to two to this power deep.
 MOST_ROUNDS = 24
+#: Rows that a task of a join sorts: what a task holds does not grow with the table.
+TASK_ROWS = 1 << 18
+
+
+def _spread(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """rows dealt by keys for a join by merging, n of them at most on the larger side. Small files of much text are not broadcast."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(cores, -(-n // TASK_ROWS)), *keys).hint("merge")
 
 
 def edges(comments: DataFrame) -> DataFrame:
@@ -37,35 +45,38 @@ def depths(tree: DataFrame) -> DataFrame:
     now = staged(tree.select("submission_id", "comment_id", "parent_id", "is_root", F.when(F.col("is_root"), F.lit(0)).alias("depth"), F.col("parent_id").alias("up"), F.lit(1).alias("far")), "depths")
     settled = now.where("depth IS NOT NULL")
     # No thread is longer than its submission: pointers that reach farther go in circles.
-    longest = now.groupBy("submission_id").count().agg(F.max("count")).first()[0] or 0
+    longest, n = now.groupBy("submission_id").count().agg(F.max("count"), F.sum("count")).first()
+    longest, n = longest or 0, n or 0
     for i in range(MOST_ROUNDS):
         open_ = now.where("depth IS NULL")
         if 1 << i > longest or open_.isEmpty():
             break
         above = settled.unionByName(open_).select("submission_id", F.col("comment_id").alias("up"), F.col("depth").alias("_d"), F.col("up").alias("_up"), F.col("far").alias("_far"))
-        met = open_.join(above, ["submission_id", "up"])  # a pointer to nothing never meets a root
+        met = _spread(open_, n, "submission_id", "up").join(_spread(above, n, "submission_id", "up"), ["submission_id", "up"])  # a pointer to nothing never meets a root
         now = staged(met.select("submission_id", "comment_id", "parent_id", "is_root", (F.col("_d") + F.col("far")).alias("depth"), F.col("_up").alias("up"), (F.col("far") + F.col("_far")).alias("far")).select(*columns), "depths")
         settled = settled.unionByName(now.where("depth IS NOT NULL"))
     return settled.select("submission_id", "comment_id", "parent_id", "is_root", "depth")
 
 
 def walked(nodes: DataFrame) -> DataFrame:
-    """(submission_id, comment_id, ids, issue) of nodes (submission_id, comment_id, parent_id, issue): the ids from the comment to its root, or as far as parents are known, and the first issue on that way.
+    """nodes (submission_id, comment_id, parent_id, issue and others) without parent_id, with ids, the ids from the comment to its root, or as far as parents are known, issue, the first on that way, and above, the first on it after the comment itself.
 
     Pointers double every round, and what lies between is joined on: a round writes the nodes that have not come to their root.
     """
-    now = staged(nodes.select("submission_id", "comment_id", F.col("parent_id").alias("up"), F.array("comment_id").alias("ids"), "issue"), "walked")
+    rest = [c for c in nodes.columns if c not in ("submission_id", "comment_id", "parent_id", "issue")]
+    now = staged(nodes.select("submission_id", "comment_id", F.col("parent_id").alias("up"), F.array("comment_id").alias("ids"), "issue", F.lit(None).cast("string").alias("above"), *rest), "walked")
+    n = now.count()
     done = now.where("up IS NULL")
     for _ in range(MOST_ROUNDS):
         open_ = now.where("up IS NOT NULL")
         if open_.isEmpty():
             break
         above = done.unionByName(open_).select("submission_id", F.col("comment_id").alias("up"), F.col("up").alias("_up"), F.col("ids").alias("_ids"), F.col("issue").alias("_issue"))
-        met = open_.join(above, ["submission_id", "up"], "left")
+        met = _spread(open_, n, "submission_id", "up").join(_spread(above, n, "submission_id", "up"), ["submission_id", "up"], "left")
         ids = F.when(F.col("_ids").isNull(), F.col("ids")).otherwise(F.concat("ids", "_ids"))
-        now = staged(met.select("submission_id", "comment_id", F.col("_up").alias("up"), ids.alias("ids"), F.coalesce("issue", "_issue").alias("issue")), "walked")
+        now = staged(met.select("submission_id", "comment_id", F.col("_up").alias("up"), ids.alias("ids"), F.coalesce("issue", "_issue").alias("issue"), F.coalesce("above", "_issue").alias("above"), *rest), "walked")
         done = done.unionByName(now.where("up IS NULL"))
-    return done.select("submission_id", "comment_id", "ids", "issue")
+    return done.drop("up")
 
 
 def has_media() -> Column:
@@ -92,39 +103,45 @@ def threads(comments: DataFrame, tree: DataFrame) -> DataFrame:
     """TREE4: each comment's thread root to leaf (ids, with level), its length, and the first issue met from leaf to root in either role."""
     keys = ["submission_id", "comment_id"]
     flags = comment_flags(comments, tree)
-    nodes = staged(tree.select(*keys, "parent_id").join(flags, keys), "threads")
-    found = walked(nodes)
+    # What a leaf has of its own goes with it, so that nothing is joined to the paths again.
+    rows = walked(tree.select(*keys, "parent_id").join(flags.withColumn("own", F.col("issue")), keys))
     # At the leaf its own three checks come before the role's; then its ancestors'.
-    above = found.select("submission_id", F.col("comment_id").alias("parent_id"), F.col("issue").alias("_above"))
-    rows = nodes.join(found.select(*keys, "ids"), keys).join(above, ["submission_id", "parent_id"], "left")
     return rows.select(
         *keys,
         F.transform(F.reverse("ids"), lambda x, i: F.struct(i.alias("level"), x.alias("id"))).alias("thread"),
-        F.coalesce("issue", F.when(F.col("edited_leaf"), "edited_comment"), "_above").alias("violating_issue"),
-        F.coalesce("issue", F.when(F.col("answered_leaf"), "mod_response"), "_above").alias("compliant_issue"),
+        F.coalesce("own", F.when(F.col("edited_leaf"), "edited_comment"), "above").alias("violating_issue"),
+        F.coalesce("own", F.when(F.col("answered_leaf"), "mod_response"), "above").alias("compliant_issue"),
         "score",
         F.size("ids").alias("length"),
     )
 
 
-def candidates(violating: DataFrame, tree: DataFrame) -> DataFrame:
-    """TREE5: for each violating comment (mod_comment_id, submission_id, comment_id, depth, parent_id), comments at its depth and, from depth 2, at the one above but its own parent: two equi-joins."""
-    v = violating.select("mod_comment_id", "submission_id", F.col("comment_id").alias("violating_id"), F.col("depth").alias("violating_depth"), F.col("parent_id").alias("violating_parent"))
-    alt = tree.select("submission_id", F.col("comment_id").alias("alt_id"), F.col("depth").alias("alt_depth"))
-    same = v.withColumn("alt_depth", F.col("violating_depth")).join(alt, ["submission_id", "alt_depth"])
-    above = v.where("violating_depth >= 2").withColumn("alt_depth", F.col("violating_depth") - 1).join(alt, ["submission_id", "alt_depth"]).where(~F.col("alt_id").eqNullSafe(F.col("violating_parent")))
-    return same.unionByName(above).where("alt_id <> violating_id")
+def candidates(violating: DataFrame, tree: DataFrame, of_violating: tuple[str, ...] = (), of_others: tuple[str, ...] = ()) -> DataFrame:
+    """TREE5: for each violating comment (mod_comment_id, submission_id, comment_id, depth, parent_id), comments at its depth and, from depth 2, at the one above but its own parent: one equi-join. of_violating, of_others: further columns of either side that its pairs keep."""
+    v = violating.select("mod_comment_id", "submission_id", F.col("comment_id").alias("violating_id"), F.col("depth").alias("violating_depth"), F.col("parent_id").alias("violating_parent"), *of_violating)
+    alt = tree.select("submission_id", F.col("comment_id").alias("alt_id"), F.col("depth").alias("alt_depth"), *of_others)
+    own, on = F.col("violating_depth"), ["submission_id", "alt_depth"]
+    v = v.withColumn("alt_depth", F.explode(F.when(own >= 2, F.array(own, own - 1)).otherwise(F.array(own))))
+    n = tree.count()
+    rows = _spread(v, n, *on).join(_spread(alt, n, *on), on)
+    return rows.where((F.col("alt_depth") == own) | ~F.col("alt_id").eqNullSafe(F.col("violating_parent"))).where("alt_id <> violating_id")
 
 
-def ranked_candidates(found: DataFrame, thread: DataFrame) -> DataFrame:
-    """TREE6, WIN7: candidates without issues by shared ancestors and length, the most first, then score, the least first, then id."""
+def ranked_candidates(violating: DataFrame, tree: DataFrame, thread: DataFrame) -> DataFrame:
+    """TREE5, TREE6, WIN7: candidates() without issues by shared ancestors and length, the most first, then score, the least first, then id.
+
+    Threads are joined to comments, before these meet: pairs never carry one through a shuffle.
+    """
     from ..functions.numbers import common_prefix
 
-    ids = F.transform("thread", lambda c: c["id"])
-    a = thread.select("submission_id", F.col("comment_id").alias("violating_id"), ids.alias("_v"))
-    b = thread.where("compliant_issue IS NULL").select("submission_id", F.col("comment_id").alias("alt_id"), ids.alias("_c"), F.col("length").alias("alt_length"), F.col("score").alias("alt_score"))
-    rows = found.join(a, ["submission_id", "violating_id"]).join(b, ["submission_id", "alt_id"])
-    rows = rows.withColumn("common_ancestors", common_prefix(F.col("_v"), F.col("_c"))).drop("_v", "_c")
+    keys, ids = ["submission_id", "comment_id"], F.transform("thread", lambda c: c["id"])
+    n = thread.count()
+    a = _spread(thread.select(*keys, ids.alias("_v")), n, *keys)
+    b = _spread(thread.where("compliant_issue IS NULL").select(*keys, ids.alias("_c"), F.col("length").alias("alt_length"), F.col("score").alias("alt_score")), n, *keys)
+    v = _spread(violating.select(*keys, "mod_comment_id", "depth", "parent_id"), n, *keys).join(a, keys)
+    others = staged(_spread(tree.select(*keys, "depth"), n, *keys).join(b, keys), "others")
+    rows = candidates(v, others, ("_v",), ("_c", "alt_length", "alt_score"))
+    rows = rows.withColumn("common_ancestors", common_prefix(F.col("_v"), F.col("_c"))).drop("_v", "_c", "violating_depth", "violating_parent", "alt_depth")
     w = Window.partitionBy("submission_id", "mod_comment_id").orderBy(F.desc("common_ancestors"), F.desc("alt_length"), "alt_score", "alt_id")
     return rows.withColumn("rank", F.row_number().over(w).cast("bigint"))
 
@@ -167,7 +184,11 @@ def pairs(comments: DataFrame, matches: DataFrame) -> DataFrame:
     v = v.join(thread.select("submission_id", "comment_id", "violating_issue", F.col("thread").alias("violating_thread"), F.col("score").alias("violating_score")), ["submission_id", "comment_id"], "left")
     status = F.when(F.col("_there").isNull(), "missing_violating_comment").when(F.col("depth").isNull(), "missing_depth").when(F.col("violating_issue").isNotNull(), F.concat(F.lit("violating_thread_has_"), F.col("violating_issue")))
     v = staged(v.withColumn("status", status), "violating")
-    order = staged(ranked_candidates(candidates(v.where("status IS NULL"), tree), thread), "candidates")
+    open_ = v.where("status IS NULL").select("mod_comment_id", "submission_id", "comment_id", "depth", "parent_id")
+    order = ranked_candidates(open_, tree, thread).select("submission_id", "mod_comment_id", "rank", "alt_id", "common_ancestors")
+    # Of a submission's i-th moderator comment, the ones before take i - 1 alternatives at most.
+    place = F.dense_rank().over(Window.partitionBy("submission_id").orderBy("mod_comment_id"))
+    order = staged(order.withColumn("_place", place).where(F.col("rank") <= F.col("_place")).drop("_place"), "candidates")
     chosen = greedy(order).join(order, ["submission_id", "mod_comment_id", "alt_id"])
     c = thread.select("submission_id", F.col("comment_id").alias("compliant_comment_id"), F.col("thread").alias("compliant_thread"), F.col("score").alias("compliant_score"))
     chosen = chosen.select("submission_id", "mod_comment_id", F.col("alt_id").alias("compliant_comment_id"), "common_ancestors").join(c, ["submission_id", "compliant_comment_id"])

@@ -345,3 +345,36 @@ def test_seeded_places_over_batches(spark):
         random.Random(N.stable_hash(g)).shuffle(order)
         want |= {(g, keys[i]): at + 1 for at, i in enumerate(order)}
     assert got == want
+
+
+def test_ranked_candidates_join_threads_before_pairs(spark, monkeypatch):
+    """Ranks against a plain loop, with joins dealt into tasks of few rows; greedy choice from ranks up to a comment's place is that from all ranks."""
+    import random
+
+    from pyspark.sql import Window
+
+    from parley.operators import trees
+
+    monkeypatch.setattr(trees, "TASK_ROWS", 16)
+    rng = random.Random(4)
+    parent = {(s, i): rng.randrange(i) if i > 2 else None for s in "ab" for i in range(40)}
+    path = lambda s, i: [] if i is None else [*path(s, parent[s, i]), i]
+    tree = spark.createDataFrame([(s, f"{i:02}", None if p is None else f"{p:02}", len(path(s, i)) - 1) for (s, i), p in parent.items()], "submission_id string, comment_id string, parent_id string, depth int")
+    thread = spark.createDataFrame([(s, f"{i:02}", [{"id": f"{x:02}"} for x in path(s, i)], "bad" if i % 11 == 5 else None, len(path(s, i)), i % 4) for s, i in parent], "submission_id string, comment_id string, thread array<struct<id:string>>, compliant_issue string, length int, score long")
+    v = tree.where("comment_id % 3 = 0").selectExpr("*", "concat('m', comment_id) AS mod_comment_id")
+    ranked = trees.ranked_candidates(v, tree, thread)
+    want = set()
+    for s, i in parent:
+        own, found = path(s, i), []
+        for _, j in (k for k in parent if k[0] == s and i % 3 == 0 and k[1] != i):
+            other = path(s, j)
+            if j % 11 != 5 and (len(other) == len(own) or (len(own) >= 3 and len(other) == len(own) - 1 and j != parent[s, i])):
+                common = next((n for n, (x, y) in enumerate(zip(own, other)) if x != y), min(len(own), len(other)))
+                found.append((-common, -len(other), j % 4, f"{j:02}"))
+        want |= {(s, f"m{i:02}", f[3], -f[0], rank) for rank, f in enumerate(sorted(found), 1)}
+    got = {(r["submission_id"], r["mod_comment_id"], r["alt_id"], r["common_ancestors"], r["rank"]) for r in ranked.collect()}
+    assert got == want
+    place = F.dense_rank().over(Window.partitionBy("submission_id").orderBy("mod_comment_id"))
+    few = ranked.withColumn("_place", place).where("rank <= _place")
+    assert {tuple(r) for r in trees.greedy(few).collect()} == {tuple(r) for r in trees.greedy(ranked).collect()}
+    assert trees._spread(tree, 160, "comment_id").rdd.getNumPartitions() >= 10
