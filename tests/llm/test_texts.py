@@ -273,6 +273,15 @@ def test_flac_features(some):
         assert r["feature"] == want and r["status"] == "ok"
 
 
+def test_flac_media_of_texts_are_stored_small(some):
+    texts = dict(texts_of(some))
+    rows = flac.flac_media(some).collect()
+    payload = sum(len(flac.padded_payload(texts[r["doc_id"]])[0]) for r in rows)
+    assert len(zlib.compress(b"".join(bytes(r["media"]) for r in rows))) < 0.6 * payload
+    tone = (np.sin(np.arange(1 << 14) / 20) * 100 + 128).astype(np.uint8).tobytes()  # where prediction saves more, it is still used
+    assert len(flac.encode_streams([tone], least_saved=flac.LEAST_SAVED)[0]) < 0.7 * len(tone)
+
+
 def test_flac_blocks_have_offsets(spark, some):
     media = flac.flac_media(some.limit(20))
     blocks = flac.pcm_blocks(media).collect()
