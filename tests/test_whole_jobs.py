@@ -53,6 +53,19 @@ def test_grid_takes_all_points_and_combinations(spark, tmp_path):
         assert np.isclose(r["dbcv"], plain_dbcv(d, labels, g["n_components"]))
 
 
+def test_grid_has_a_task_for_each_tree(spark):
+    points = spark.createDataFrame([(i, np.random.default_rng(i).normal(size=3).tolist()) for i in range(40)], "id long, embedding array<double>")
+    found = C.searched(points, C.grid(spark, neighbours=(5,), components=(2, 3), min_samples=(1, 5, 10)))
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() == 6
+
+
+def test_distances_of_equal_rows_are_zero():
+    x = np.random.default_rng(3).normal(size=(60, 40)) * 1e3
+    x[30:] = x[:30]
+    to, d = C.distances(x), np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    assert np.allclose(to(np.arange(60)), d) and np.allclose(to(7), d[7]) and to(7)[37] == 0 and (to(np.arange(30))[range(30), range(30, 60)] == 0).all()
+
+
 def test_spanning_tree_is_minimal():
     x = np.random.default_rng(2).normal(size=(150, 5))
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
