@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import text_slices
+
 # Tokens whose presence in a name marks a bot; media hosts and extensions.
 BOT_MARKS = ("bot", "automod", "automoderator", "modteam", "-modteam", "removal", "helper", "reminder", "converter", "translator")
 GONE = ("[deleted]", "[removed]")
@@ -53,9 +56,11 @@ def _squeezed(x: Column) -> Column:
 
 def unescape_html() -> Column:
     """An Arrow function for HTML entities, for which there is no built-in."""
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: html.unescape(t) if isinstance(t, str) and "&" in t else t)
+    @F.arrow_udf("string")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:
+            for texts in text_slices(part):
+                yield pa.array([html.unescape(t) if t and "&" in t else t for t in texts.to_pylist()], pa.string())
 
     return run
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from parley import catalog
 from parley.functions import numbers as N
+from parley.functions import text as S
 from parley.operators import splits
 
 
@@ -108,3 +109,13 @@ def test_context_flags_that_are_wrong_raise(spark):
         with pytest.raises(Exception, match="context flag"):
             spark.createDataFrame([(bad,)], "c string").select(S.context_flags(F.col("c"))).collect()
     assert splits.SEED == 42
+
+
+def test_python_functions_hold_few_texts_at_a_time(spark):
+    from parley.operators import models
+
+    rows = spark.range(40, numPartitions=1).select(F.col("id").alias("n"), F.when(F.col("id") != 7, F.repeat(F.lit("&amp;x"), 50_000)).alias("text"))
+    found = models.token_lengths(rows, lambda: lambda texts: [sum(map(len, texts))] * len(texts)).select("n", "n_tokens").collect()
+    assert {r["n"] for r in found} == set(range(40)) and max(r["n_tokens"] for r in found) <= 2 << 20
+    plain = rows.select("n", S.unescape_html()("text").alias("t")).select("n", F.length("t").alias("k")).collect()
+    assert {r["n"]: r["k"] for r in plain} == {i: None if i == 7 else 100_000 for i in range(40)}
