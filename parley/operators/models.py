@@ -9,9 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..functions.batches import text_slices
 
 
 #: Fixed value: what a second model goes on from.
@@ -75,11 +79,14 @@ class NoFetcher:
 
 
 def _mapped(rows: DataFrame, column: str, into: str, kind: str, factory: Callable[[], object], call: Callable[[object, list], list]) -> DataFrame:
-    @F.pandas_udf(kind)
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    into_kind = to_arrow_type(T._parse_datatype_string(kind))
+
+    @F.arrow_udf(kind)
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = factory()
-        for s in parts:
-            yield pd.Series(call(model, s.fillna("").tolist()), dtype=object)
+        for part in parts:
+            for texts in text_slices(part):
+                yield pa.array(call(model, texts.fill_null("").to_pylist()), into_kind)
 
     return rows.withColumn(into, run(F.col(column)))
 
