@@ -19,8 +19,10 @@ from .splits import LEVEL, MOST_CELLS, REPLICATES, SEED
 
 #: Words of a chunk of the stream; even, as a step of the generator gives two.
 CHUNK = 1 << 22
-#: Draws that one task makes together.
-TOGETHER = 1 << 22
+#: Words drawn at a time, few enough for a core's cache, and replicates whose means are taken together.
+TOGETHER, MEANS = 1 << 16, 256
+#: Ranges of replicates, each drawn in one go.
+RANGES = 256
 #: Rows of a test set, whose cells (four bytes each) every task holds; more raise.
 MOST_ROWS = 50_000_000
 
@@ -28,15 +30,43 @@ MOST_ROWS = 50_000_000
 def words(seed: int, start: int, count: int) -> np.ndarray:
     """32-bit words start to start + count of the seed's stream. start is even."""
     bits = np.random.PCG64(seed).advance(start // 2)
-    raw = bits.random_raw(-(-count // 2))
-    return np.stack([raw & 0xFFFFFFFF, raw >> 32], 1).ravel()[:count]
+    return bits.random_raw(-(-count // 2)).astype("<u8", copy=False).view("<u4")[:count]
+
+
+def _skipped(drawn: np.ndarray, n: int) -> np.ndarray:
+    """Which words are skipped: the lower halves of their products with n are too small."""
+    return drawn * np.uint32(n) < np.uint32(((1 << 32) - n) % n)
 
 
 def places(drawn: np.ndarray, n: int) -> np.ndarray:
     """What the words draw of n, the skipped ones left out."""
-    product = drawn.astype(np.uint64) * np.uint64(n)
-    kept = (product & np.uint64(0xFFFFFFFF)) >= np.uint64(((1 << 32) - n) % n)
-    return (product[kept] >> np.uint64(32)).astype(np.int64)
+    drawn = drawn.astype(np.uint32, copy=False)
+    skipped = _skipped(drawn, n)
+    product = (drawn[~skipped] if skipped.any() else drawn).astype(np.uint64)
+    product *= np.uint64(n)
+    product >>= np.uint64(32)
+    return product.view(np.int64)
+
+
+class Stream:
+    """The places that the one stream draws of n, from the start-th on. before: of accepted()."""
+
+    def __init__(self, seed: int, n: int, before: np.ndarray, start: int, chunk: int = CHUNK):
+        at = int(np.searchsorted(before, start, "right")) - 1
+        self.n, self.bits, self.left = n, np.random.PCG64(seed).advance(at * chunk // 2), np.zeros(0, np.int64)
+        skip = start - int(before[at])
+        while skip:
+            skip -= len(self.take(min(skip, TOGETHER)))
+
+    def take(self, count: int) -> np.ndarray:
+        """The next places, as many as asked for."""
+        parts, have = [self.left], len(self.left)
+        while have < count:
+            parts.append(places(self.bits.random_raw(TOGETHER // 2).astype("<u8", copy=False).view("<u4"), self.n))
+            have += len(parts[-1])
+        found = np.concatenate(parts) if len(parts) > 1 else parts[0]
+        self.left = found[count:]
+        return found[:count]
 
 
 def _spread(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -51,9 +81,12 @@ def accepted(spark: SparkSession, n: int, replicates: int, seed: int = SEED, chu
     # A word is skipped with a chance below n / 2^32: so many chunks are enough with a margin, else more are asked for.
     chunks = -(-int(need * (1 + n / 2**31) + chunk) // chunk)
 
+    def kept(c: int) -> int:
+        return chunk - sum(int(np.count_nonzero(_skipped(words(seed, c * chunk + a, min(TOGETHER, chunk - a)), n))) for a in range(0, chunk, TOGETHER))
+
     def count(batches):
         for df in batches:
-            yield pd.DataFrame({"chunk": df["chunk"], "kept": [len(places(words(seed, c * chunk, chunk), n)) for c in df["chunk"]]})
+            yield pd.DataFrame({"chunk": df["chunk"], "kept": [kept(c) for c in df["chunk"]]})
 
     while True:
         rows = _spread(spark, [(c,) for c in range(chunks)], "chunk long").mapInPandas(count, "chunk long, kept long").collect()
@@ -65,18 +98,11 @@ def accepted(spark: SparkSession, n: int, replicates: int, seed: int = SEED, chu
 
 def replicate_places(seed: int, n: int, before: np.ndarray, first: int, count: int, chunk: int = CHUNK) -> np.ndarray:
     """Replicates first to first + count, a row of n places each. before: of accepted()."""
-    start, need = first * n, count * n
-    at = int(np.searchsorted(before, start, "right")) - 1
-    parts, skip, have = [], start - int(before[at]), 0
-    while have < need:
-        own = places(words(seed, at * chunk, chunk), n)[skip:]
-        parts.append(own[: need - have])
-        have, skip, at = have + len(parts[-1]), 0, at + 1
-    return np.concatenate(parts).reshape(count, n) if parts else np.zeros((count, n), np.int64)
-
-
-def _ranges(n: int, replicates: int) -> list[tuple[int, int]]:
-    step = max(1, TOGETHER // n)
+    return Stream(seed, n, before, first * n, chunk).take(count * n).reshape(count, n)
+
+
+def _ranges(replicates: int) -> list[tuple[int, int]]:
+    step = -(-replicates // RANGES) or 1
     return [(i, min(step, replicates - i)) for i in range(0, replicates, step)]
 
 
@@ -87,9 +113,12 @@ def indices(spark: SparkSession, n: int, replicates: int = REPLICATES, seed: int
     def run(batches):
         for df in batches:
             for first, count in df.itertuples(index=False):
-                yield pd.DataFrame({"replicate": np.arange(first, first + count), "places": list(replicate_places(seed, n, before, first, count, chunk))})
+                stream, step = Stream(seed, n, before, first * n, chunk), max(1, TOGETHER // n)
+                for a in range(first, first + count, step):
+                    k = min(step, first + count - a)
+                    yield pd.DataFrame({"replicate": np.arange(a, a + k), "places": list(stream.take(k * n).reshape(k, n))})
 
-    return _spread(spark, _ranges(n, replicates), "first long, count long").mapInPandas(run, "replicate long, places array<long>")
+    return _spread(spark, _ranges(replicates), "first long, count long").mapInPandas(run, "replicate long, places array<long>")
 
 
 def cached_indices(spark: SparkSession, path: str, n: int, replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
@@ -120,7 +149,7 @@ def intervals(scores: DataFrame, order: str, groups: tuple[str, ...] = (), repli
     for k in keys:
         one = F.col(k).eqNullSafe(F.col(f"_{k}"))
         same = one if same is None else same & one
-    cells = scores.join(names, same).orderBy(order, "cell").select("cell").toPandas()["cell"].to_numpy(np.int32)
+    cells = scores.join(names, same).orderBy(order, "cell").select("cell").toPandas()["cell"].to_numpy(np.min_scalar_type(max(1, len(counted) - 1)))
     labels: list[tuple[str, str | None]] = [("overall", None)]
     member = [np.ones(len(counted))]
     for g in groups:
@@ -135,13 +164,22 @@ def intervals(scores: DataFrame, order: str, groups: tuple[str, ...] = (), repli
         cells, who, v, c, labels, before = shared.value
         for df in batches:
             for first, count in df.itertuples(index=False):
-                at = cells[replicate_places(seed, n, before, first, count, chunk)] + (np.arange(count) * len(v))[:, None]
-                drawn = np.bincount(at.ravel(), minlength=count * len(v)).reshape(count, len(v)).astype(float)
-                mean = lambda x: (drawn * np.nan_to_num(x)) @ who.T / np.maximum((drawn * ~np.isnan(x)) @ who.T, 1)
-                value = (mean(v) + mean(c)) / 2
-                yield pd.DataFrame({"grouping": [g for g, _ in labels] * count, "value": [x for _, x in labels] * count, "accuracy": value.ravel()})
-
-    drawn = _spread(spark, _ranges(n, replicates), "first long, count long").mapInPandas(run, "grouping string, value string, accuracy double")
+                stream, step = Stream(seed, n, before, first * n, chunk), max(1, TOGETHER // n)
+                for a in range(first, first + count, MEANS):
+                    many = min(MEANS, first + count - a)
+                    drawn = np.zeros((many, len(v)))
+                    for r in range(0, many, step):  # several small replicates, or one of many pieces
+                        k = min(step, many - r)
+                        for piece in range(0, k * n, TOGETHER):
+                            at = cells[stream.take(min(TOGETHER, k * n - piece))]
+                            if k > 1:
+                                at = at + np.repeat(np.arange(k) * len(v), n)
+                            drawn[r : r + k] += np.bincount(at, minlength=k * len(v)).reshape(k, len(v))
+                    mean = lambda x: (drawn * np.nan_to_num(x)) @ who.T / np.maximum((drawn * ~np.isnan(x)) @ who.T, 1)  # noqa: B023, E731
+                    value = (mean(v) + mean(c)) / 2
+                    yield pd.DataFrame({"grouping": [g for g, _ in labels] * many, "value": [x for _, x in labels] * many, "accuracy": value.ravel()})
+
+    drawn = _spread(spark, _ranges(replicates), "first long, count long").mapInPandas(run, "grouping string, value string, accuracy double")
     tail = (1 - level) / 2
     cut = F.percentile("accuracy", F.array(F.lit(tail), F.lit(1 - tail)))
     return drawn.groupBy("grouping", "value").agg(cut.alias("c")).select("grouping", "value", F.col("c")[0].alias("low"), F.col("c")[1].alias("high"))

@@ -54,3 +54,12 @@ def test_cache_is_kept_by_seed_and_size(spark, tmp_path):
     other = R.cached_indices(spark, str(tmp_path), 9, 20, seed=7)
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(a) == rows(again) != rows(other) and set(a.inputFiles()) == set(again.inputFiles())
+
+
+def test_replicates_draw_little_more_than_they_need(monkeypatch):
+    n, first, count, drawn, places = 100_000, 50, 10, [], R.places
+    monkeypatch.setattr(R, "places", lambda words, n: drawn.append(len(words)) or places(words, n))
+    before = np.append(0, np.cumsum([len(places(R.words(42, c * R.CHUNK, R.CHUNK), n)) for c in range(2)]))
+    got = R.replicate_places(42, n, before, first, count)
+    assert sum(drawn) < 1.5 * (first * n - before[1] + count * n)
+    assert (got == np.random.default_rng(42).choice(n, size=(first + count, n))[first:]).all()
