@@ -134,3 +134,49 @@ def test_intervals_of_both_groups_with_all_replicates(spark, smallest):
     assert {g for g, _ in got} == {"overall", "lang", "source"}
     want = splits.bootstrap(catalog._results(catalog.Tables(spark, smallest)), ("lang", "source"), 100_000).collect()
     assert {(r["grouping"], r["value"]): (r["low"], r["high"]) for r in want} == got
+
+
+def test_grid_takes_more_points_than_the_old_cap(spark, monkeypatch):
+    """Lists and powers in parts of few points, copies among them; no number of points raises."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 0.4, (25, 4)) for c in (0, 5)])
+    x[30:34] = x[26:30]
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    grid = C.grid(spark, neighbours=(5,), components=(2, 4), min_sizes=(5,), min_samples=(1, 5))
+    monkeypatch.setattr(C, "MAX_POINTS", 40, raising=False)  # the cap that was
+    monkeypatch.setattr(C, "CHUNK", 16)
+    got = {r["combination"]: r for r in C.searched(points, grid).collect()}
+    u, s, _ = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    for g in grid.collect():
+        reduced = (u * s)[:, : g["n_components"]]
+        labels, strength = C.density_labels(reduced, 5, g["min_samples"])
+        found, r = C.quality(reduced, labels), got[g["combination"]]
+        assert np.isclose(r["dbcv"], found[0]) and (r["noise_ratio"], r["n_clusters"]) == found[1:] and np.isclose(r["mean_probability"], strength.mean())
+
+
+@pytest.mark.parametrize("dims", [2, 5, 64])
+def test_cores_of_several_labellings(dims):
+    """Sums that labellings share against a plain loop: copies, lone points, far and near scales, parts of the rows."""
+    rng = np.random.default_rng(dims)
+    x = rng.normal(size=(90, dims)) * np.where(rng.random((90, 1)) < 0.5, 1, 1e6)
+    x[50:55] = x[40:45]
+    labellings = [rng.integers(-1, 3, 90), np.where(np.arange(90) == 7, 1, 0)]
+    got = C.all_points_cores(x, slice(None), labellings)
+    for labels, found in zip(labellings, got, strict=True):
+        for i in range(90):
+            d = [np.linalg.norm(x[i] - x[j]) for j in range(90) if j != i and labels[j] == labels[i]]
+            if labels[i] < 0 or not d or not min(d):
+                assert found[i] == 0
+            else:
+                assert np.isclose(found[i], min(d) * np.mean((min(d) / np.array(d)) ** dims) ** (-1 / dims), rtol=1e-6)
+    assert all(np.allclose(part, whole[20:60]) for part, whole in zip(C.all_points_cores(x, slice(20, 60), labellings), got, strict=True))
+
+
+def test_tree_by_lists_is_the_tree_by_rows():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 3))
+    x[200:220] = x[:20]
+    for samples in (1, 4):
+        core, tree = C.spanning(x, samples)
+        plain = C._tree(x, core)
+        assert np.isclose(sum(w for w, _, _ in tree), sum(w for w, _, _ in plain)) and sorted(i for _, _, i in tree) == list(range(1, 300))
