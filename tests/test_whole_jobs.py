@@ -129,6 +129,22 @@ def test_matches_hold_no_table_of_scores(spark, shape):
     assert similarity.matches(comments.limit(0), df).count() == 0
 
 
+def test_rows_are_sent_a_bounded_number_of_times(spark, monkeypatch):
+    """However many slices and blocks a community has, its rows go to SIDES cells, unless parts grow too large."""
+    from parley.operators import similarity
+
+    rows = spark.range(120).select(F.col("id").alias("rule_index"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"), F.lit(1).alias("subreddit"))
+
+    def sent():
+        counted = lambda left, right: left.select(["comment_id"]).append_column("n", [[right.num_rows] * left.num_rows])
+        found = similarity._met(rows.withColumnRenamed("rule_index", "comment_id"), rows, "subreddit", 2, 3, counted, "comment_id long, n long")
+        return found.withColumn("p", F.spark_partition_id()).groupBy("comment_id").agg(F.sum("n").alias("met"), F.countDistinct("p").alias("cells")).collect()
+
+    assert all(r["met"] == 120 and r["cells"] <= similarity.SIDES for r in sent())
+    monkeypatch.setattr(similarity, "PART", 20)
+    assert {r["met"] for r in sent()} == {120} and max(r["cells"] for r in sent()) == 6
+
+
 def test_intervals_of_both_groups_with_all_replicates(spark, smallest):
     got = {(r["grouping"], r["value"]): (r["low"], r["high"]) for r in catalog.QUERIES["bst_ci"](spark, smallest).collect()}
     assert {g for g, _ in got} == {"overall", "lang", "source"}
